@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from gridloom.llm.queries import op09
+from gridloom.llm.queries import op06, op09
 
 QUERIES = {
+    "op6_quality_rules": op06.op6_quality_rules,
     "op9_chat_formatting": op09.op9_chat_formatting,
 }
 
 ORACLES = {
+    "op6_quality_rules": op06.ORACLE,
     "op9_chat_formatting": op09.ORACLE,
 }

@@ -125,7 +125,7 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    out = np.full(n, _MIX[1] * np.uint64(size))
+    out = np.full(n, np.uint64(size)) * _MIX[1]
     for j in range(size):
         out += hashes[j : j + n] * _MIX[2 + j]
     return mix(out)
