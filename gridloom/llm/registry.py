@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from gridloom.llm.queries import op06, op09
+from gridloom.llm.queries import op06, op09, op10
 
 QUERIES = {
     "op6_quality_rules": op06.op6_quality_rules,
     "op9_chat_formatting": op09.op9_chat_formatting,
+    "op10_quality_classifier": op10.op10_quality_classifier,
 }
 
 ORACLES = {
