@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from gridloom.llm.queries import op06, op09, op10
+from gridloom.llm.queries import op02, op06, op09, op10
 
 QUERIES = {
+    "op2_secret_scans": op02.op2_secret_scans,
     "op6_quality_rules": op06.op6_quality_rules,
     "op9_chat_formatting": op09.op9_chat_formatting,
     "op10_quality_classifier": op10.op10_quality_classifier,
