@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from gridloom.llm.queries import op02, op06, op09, op10
+from gridloom.llm.queries import op01, op02, op06, op09, op10
 
 QUERIES = {
+    "op1_minhash_near_dedup": op01.op1_minhash_near_dedup,
     "op2_secret_scans": op02.op2_secret_scans,
     "op6_quality_rules": op06.op6_quality_rules,
     "op9_chat_formatting": op09.op9_chat_formatting,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_minhash_near_dedup": op01.ORACLE,
     "op6_quality_rules": op06.ORACLE,
     "op9_chat_formatting": op09.ORACLE,
 }
