@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from gridloom.llm.queries import op01, op02, op03, op06, op09, op10
+from gridloom.llm.queries import op01, op02, op03, op04, op06, op09, op10
 
 QUERIES = {
     "op1_minhash_near_dedup": op01.op1_minhash_near_dedup,
     "op2_secret_scans": op02.op2_secret_scans,
     "op3_lm_scoring": op03.op3_lm_scoring,
+    "op4_bpe_encoding": op04.op4_bpe_encoding,
     "op6_quality_rules": op06.op6_quality_rules,
     "op9_chat_formatting": op09.op9_chat_formatting,
     "op10_quality_classifier": op10.op10_quality_classifier,
