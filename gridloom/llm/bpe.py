@@ -11,8 +11,8 @@ ends are nodes of their own.
 Sorted words are the leaves of the trie in depth-first order; the walk keeps the path to the current
 leaf and goes back to the common prefix, so no nodes need to be kept.
 
-Words that were met are remembered up to ``REMEMBERED`` in a worker; beyond that memory starts anew,
-which costs time and changes nothing.  Texts are processed whole; null and empty texts have no ids.
+A worker remembers words in two generations of about ``REMEMBERED``; what neither has met lately is
+encoded again, which costs time and changes nothing.  Texts are processed whole; null and empty texts have no ids.
 Repeated rows get the same ids; other columns are carried along as asked.
 """
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -31,11 +32,12 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import textkit as tk
 
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: White space of the vocabulary's patterns (the Unicode property).
 _WHITE = "\t-\r \x85\xa0  -     　"
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + _WHITE + r"\p{L}\p{N}]+")
 _END = "</w>"
+_SHORT = (2, 1)
 
 
 def _byte_letters() -> list[str]:
@@ -84,12 +86,21 @@ class Encoder:
         self.made = {ids[a + b]: (r, ids[a], ids[b]) for r, (a, b) in enumerate(vocabulary.merges)}
         self.inner = {s: i for s, i in ids.items() if not s.endswith(_END)}
         self.final = {s[: -len(_END)]: i for s, i in ids.items() if s.endswith(_END)}
-        self.longest = max((len(s) for s in (*self.inner, *self.final)), default=1)
         self._joins: dict[int, bool] = {}
         self._edges: tuple[dict[int, list], dict[int, list]] = ({}, {})
         self._special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self._word_ids: dict[bytes, bytes] = {}
         self._word_text: dict[bytes, bytes] = {}
+        self._older: tuple[dict, dict] = ({}, {})
+        self._tails = (self._sizes(self.inner), self._sizes(self.final))
+
+    @staticmethod
+    def _sizes(tokens: dict[str, int]) -> dict[str, list[int]]:
+        """Sizes of tokens, falling, by the last three letters (or all, if there are fewer)."""
+        found: dict[str, set[int]] = {}
+        for t in tokens:
+            found.setdefault(t[-3:], set(_SHORT)).add(len(t))
+        return {tail: sorted(sizes, reverse=True) for tail, sizes in found.items()}
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The pieces at one edge of a token while it is merged, from a single symbol up, each with the
@@ -130,34 +141,45 @@ class Encoder:
             self._joins[key] = known
         return known
 
-    def _last(self, word: str, depth: int, tokens: dict[str, int], state: list[tuple[int, int]]) -> tuple[int, int]:
-        """(last token, its length) of the prefix of this depth."""
-        for start in range(max(0, depth - self.longest), depth):
-            token = tokens.get(word[start:depth])
-            if token is not None and (start == 0 or self._join(state[start][0], token)):
-                return token, depth - start
-        raise ValueError(f"no encoding of {word[:depth]!r}")
-
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Ids of distinct words (in byte letters, not empty)."""
         out: dict[str, list[int]] = {}
-        path, state = "", [(-1, 0)]
+        joins, inner, final = self._joins.get, self.inner.get, self.final.get
+        inner_tails, final_tails = self._tails
+        path, last, length = "", [-1], [0]  # of each prefix on the path: its last token, and that token's length
         for word in sorted(words):
             n, shared = len(word), 0
             most = min(n - 1, len(path))
             while shared < most and path[shared] == word[shared]:
                 shared += 1
-            del state[shared + 1 :]
-            for depth in range(shared + 1, n):
-                state.append(self._last(word, depth, self.inner, state))
-            path = word[: n - 1]
-            token, length = self._last(word, n, self.final, state)
-            ids, at = [token], n - length
+            del last[shared + 1 :], length[shared + 1 :]
+            for depth in range(shared + 1, n + 1):
+                lookup, tails = (inner, inner_tails) if depth < n else (final, final_tails)
+                for size in tails.get(word[max(0, depth - 3) : depth], _SHORT):
+                    start = depth - size
+                    if start < 0:
+                        continue
+                    token = lookup(word[start:depth])
+                    if token is None:
+                        continue
+                    if start:
+                        fits = joins(last[start] << 20 | token)
+                        if not (self._join(last[start], token) if fits is None else fits):
+                            continue
+                    last.append(token)
+                    length.append(size)
+                    break
+                else:
+                    raise ValueError(f"no encoding of {word[:depth]!r}")
+            ids, at = [], n
             while at:
-                token, length = state[at]
-                ids.append(token)
-                at -= length
-            out[word] = ids[::-1]
+                ids.append(last[at])
+                at -= length[at]
+            ids.reverse()
+            out[word] = ids
+            path = word[: n - 1]
+            last.pop()
+            length.pop()
         return out
 
     @staticmethod
@@ -170,19 +192,30 @@ class Encoder:
 
     def _learn(self, chunks: Iterable[bytes]) -> None:
         split = {c: self.pieces(c.decode()) for c in chunks}
+        strings, ids_of, text_of = self.strings, self._word_ids, self._word_text
         found = self.encode_words({p for pieces in split.values() for p in pieces})
+        told = {p: (array("I", ids).tobytes(), "".join([strings[i] + " " for i in ids]).encode()) for p, ids in found.items()}
         for chunk, pieces in split.items():
-            ids = [i for p in pieces for i in found[p]]
-            self._word_ids[chunk] = np.array(ids, dtype="<u4").tobytes()
-            self._word_text[chunk] = "".join([self.strings[i] + " " for i in ids]).encode()
+            if len(pieces) == 1:
+                ids_of[chunk], text_of[chunk] = told[pieces[0]]
+            else:
+                ids_of[chunk] = b"".join([told[p][0] for p in pieces])
+                text_of[chunk] = b"".join([told[p][1] for p in pieces])
 
     def encode(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
         """For each text its ids (little-endian, 32 bits) and their decoding."""
         if len(self._word_ids) > REMEMBERED:
-            self._word_ids.clear()
-            self._word_text.clear()
+            self._older = (self._word_ids, self._word_text)
+            self._word_ids, self._word_text = {}, {}
         parted = [self._parts(t) for t in texts]
-        new = {w for parts in parted for p in parts if isinstance(p, list) for w in p} - self._word_ids.keys()
+        new = {w for parts in parted for p in parts if isinstance(p, list) for w in p}
+        new -= self._word_ids.keys()
+        older_ids, older_text = self._older
+        if older_ids:
+            again = new & older_ids.keys()
+            self._word_ids.update((w, older_ids[w]) for w in again)
+            self._word_text.update((w, older_text[w]) for w in again)
+            new -= again
         self._learn(new)
         out = []
         for parts in parted:
