@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from gridloom.llm.queries import op01, op02, op03, op04, op06, op09, op10
+from gridloom.llm.queries import op01, op02, op03, op04, op05, op06, op07, op09, op10
 
 QUERIES = {
     "op1_minhash_near_dedup": op01.op1_minhash_near_dedup,
     "op2_secret_scans": op02.op2_secret_scans,
     "op3_lm_scoring": op03.op3_lm_scoring,
     "op4_bpe_encoding": op04.op4_bpe_encoding,
+    "op5_best_fit_packing": op05.op5_best_fit_packing,
     "op6_quality_rules": op06.op6_quality_rules,
+    "op7_url_filters": op07.op7_url_filters,
     "op9_chat_formatting": op09.op9_chat_formatting,
     "op10_quality_classifier": op10.op10_quality_classifier,
 }
@@ -17,5 +19,6 @@ QUERIES = {
 ORACLES = {
     "op1_minhash_near_dedup": op01.ORACLE,
     "op6_quality_rules": op06.ORACLE,
+    "op7_url_filters": op07.ORACLE,
     "op9_chat_formatting": op09.ORACLE,
 }
