@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm.queries import op01, op02, op03, op04, op05, op06, op07, op09, op10
+from gridloom.llm.queries import op01, op02, op03, op04, op05, op06, op07, op08, op09, op10
 
 QUERIES = {
     "op1_minhash_near_dedup": op01.op1_minhash_near_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_best_fit_packing": op05.op5_best_fit_packing,
     "op6_quality_rules": op06.op6_quality_rules,
     "op7_url_filters": op07.op7_url_filters,
+    "op8_document_fingerprints": op08.op8_document_fingerprints,
     "op9_chat_formatting": op09.op9_chat_formatting,
     "op10_quality_classifier": op10.op10_quality_classifier,
 }
