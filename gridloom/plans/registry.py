@@ -1,6 +1,371 @@
-"""Queries over the driver tables, and the SQL that states the same result for DuckDB."""
+"""Queries over the driver tables, and the SQL that states the same result for DuckDB.
+
+At a number of columns that no line reaches, rows are lines, which SQL can state on its own; narrower
+layouts are held by golden cases and invariants in the tests.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.functions.width import WidthProfile
+from gridloom.operators import layout, projection, ranges, rows, search
+from gridloom.operators.kernel import Options
+from gridloom.sources import text as source
+
+KEPT = Options(white_space="pre-wrap")
+UNBOUNDED = 10_000_000
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source.read_documents(spark, f"{sf_dir}/documents.parquet")
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source.read_documents(spark, f"{sf_dir}/benchmark.parquet", key="item_id")
+
+
+def line_stats_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    stats = layout.line_stats(docs, 80, options=KEPT)
+    joined = docs.select("doc_id", "lang").join(stats, "doc_id")
+    return joined.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("rows").alias("rows"), F.max("max_line_width").alias("max_line_width"))
+
+
+def sanitize_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dirty = F.concat(F.lit("‮"), F.regexp_replace("text", "e", "\u0007e\u009b"), F.lit("\x1b"))
+    return _docs(spark, sf_dir).select("doc_id", F.md5(source.sanitize_plain(dirty)).alias("digest"))
+
+
+def quarantine_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    marked = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\x1b[31m"))).otherwise(F.col("text")))
+    kept, rejected = source.quarantine(marked)
+    return kept.select("doc_id", F.lit(True).alias("accepted")).unionAll(rejected.select("doc_id", F.lit(False)))
+
+
+def normalize_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spaced = F.concat(F.lit(" \t"), F.regexp_replace("text", " ", " \t "), F.lit("\n\n"))
+    return _docs(spark, sf_dir).select("doc_id", F.md5(source.normalise_column(spaced)).alias("digest"))
+
+
+def normalize_prewrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fed = F.regexp_replace(F.regexp_replace("text", "\n", "\r\n"), "e ", "e\r\f")
+    return _docs(spark, sf_dir).select("doc_id", F.md5(source.normalise_column(fed, "pre-wrap")).alias("digest"))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = F.posexplode(F.split("text", "\n"))
+    return _items(spark, sf_dir).select("doc_id", lines.alias("line", "text"))
+
+
+def text_width_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select("doc_id", "line", layout.text_width(F.col("text")).alias("width"))
+
+
+def text_width_ambiguous_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = WidthProfile(name="wide", ambiguous="wide")
+    return _lines(spark, sf_dir).select("doc_id", "line", layout.text_width(F.col("text"), wide).alias("width"))
+
+
+def tab_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
+    column = (F.col("event_id") % 97).cast("int")
+    return events.select("event_id", layout.tab_advance(column, 8).cast("int").alias("advance8"), layout.tab_advance(column, 3).cast("int").alias("advance3"))
+
+
+def _line_rows(spark: SparkSession, sf_dir: str, texts: bool = False) -> DataFrame:
+    return layout.walk(_docs(spark, sf_dir), UNBOUNDED, options=KEPT, texts=texts)
+
+
+def _told(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", "row", "src_start", "src_end", "width", F.col("break.kind").alias("break_kind"))
+
+
+def walk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told(_line_rows(spark, sf_dir))
+
+
+def walk_many_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = layout.walk(_docs(spark, sf_dir), [36, 52, 80, 100], options=KEPT)
+    return found.groupBy("columns").agg(F.count("*").alias("rows"), F.max("width").alias("max_width"), F.count("overflow").alias("overflows"))
+
+
+def materialize_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    found = layout.materialize(docs, rows.rows_between(layout.walk(docs, UNBOUNDED, options=KEPT), 0, 4), KEPT)
+    return found.select("doc_id", "row", F.md5("text").alias("text_md5"), F.md5("source_text").alias("source_md5"))
+
+
+def layout_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.layout_rows(_docs(spark, sf_dir), UNBOUNDED, options=KEPT)
+
+
+def line_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.line_stats(_docs(spark, sf_dir), UNBOUNDED, options=KEPT)
+
+
+def prepare_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = layout.prepare(_items(spark, sf_dir), KEPT).select("doc_id", "source_len", F.explode("segments").alias("s"))
+    return found.groupBy("doc_id", "source_len", F.col("s.kind").alias("kind")).agg(F.sum(F.length("s.text")).alias("chars"))
+
+
+def row_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told(rows.row_at(_line_rows(spark, sf_dir), 2))
+
+
+def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told(rows.page(_line_rows(spark, sf_dir), 1, 3))
+
+
+def tail_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told(rows.tail(_line_rows(spark, sf_dir), 2))
+
+
+def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.index_stats(_line_rows(spark, sf_dir), 4)
+
+
+OFFSETS = (0, 7, 60, 333, 100_000)
+
+
+def _asked(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.explode(F.array(*[F.lit(o) for o in OFFSETS])).alias("offset"))
+
+
+def cursor_for_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _items(spark, sf_dir)
+    return projection.cursor_for_offset(layout.clusters(docs, KEPT), _asked(docs)).select("doc_id", "offset", "src_offset", "exact")
+
+
+def project_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _items(spark, sf_dir)
+    found = projection.project_offset(docs, _asked(docs), UNBOUNDED, options=KEPT)
+    return found.select("doc_id", "offset", "row", "column", "src_offset", "exact", "at_end")
+
+
+def project_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _items(spark, sf_dir)
+    cells = docs.select("doc_id", F.lit(0).alias("q_row"), F.lit(4).alias("q_column"))
+    return projection.project_cell(docs, cells, UNBOUNDED, options=KEPT).select("doc_id", "row", "column", "src_offset", "exact")
+
+
+def project_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _items(spark, sf_dir)
+    asked = docs.select("doc_id", F.lit(9).alias("q_start"), F.lit(250).alias("q_end"))
+    found = projection.project_range(docs, asked, UNBOUNDED, options=KEPT)
+    return found.select("doc_id", "row", "src_start", "src_end", "start_col", "end_col")
+
+
+def selection_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _items(spark, sf_dir)
+    asked = docs.select("doc_id", F.lit(9).alias("q_start"), F.lit(250).alias("q_end"))
+    found = projection.extract(docs, asked, UNBOUNDED, options=KEPT)
+    return found.select("doc_id", "source_text", "visible_text", F.size("visible_rows").alias("visible_rows"))
+
+
+def _line_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    start = (F.col("l_linenumber") * 3).cast("int")
+    ident = F.concat_ws("-", "l_linenumber", "l_partkey", F.row_number().over(_numbered()).cast("string"))
+    length = (F.col("l_quantity") % 11).cast("int")
+    return items.select(F.col("l_orderkey").alias("doc_id"), ident.alias("id"), F.lit("item").alias("kind"), start.alias("src_start"), (start + length).alias("src_end"))
+
+
+def _numbered():
+    from pyspark.sql import Window
+
+    return Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity")
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("doc_id"))
+
+
+def ranges_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _orders(spark, sf_dir).select("doc_id", F.lit(9).alias("offset"))
+    found = ranges.at_offset(ranges.create(_line_ranges(spark, sf_dir)), asked)
+    return found.select("doc_id", "id", "src_start", "src_end")
+
+
+def ranges_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _orders(spark, sf_dir).select("doc_id", F.lit(6).alias("q_start"), (F.lit(6) + F.col("doc_id") % 9).cast("int").alias("q_end"))
+    found = ranges.for_source_range(ranges.create(_line_ranges(spark, sf_dir)), asked)
+    return found.select("doc_id", "q_end", "id", "src_start", "src_end")
+
+
+def ranges_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = _orders(spark, sf_dir).select("doc_id", F.lit("order").alias("id"), F.lit("order").alias("kind"), F.lit(0).alias("src_start"), F.lit(5).alias("src_end"))
+    both = ranges.append(_line_ranges(spark, sf_dir), more)
+    return both.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("src_start").cast("long").alias("first"), F.sum("src_end").alias("ends"))
+
+
+def search_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.search(_docs(spark, sf_dir), "the", options=KEPT)
+    return found.select("doc_id", "match_index", "src_start", "src_end")
+
+
+def search_ignoring_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.search(_docs(spark, sf_dir), "THE", case_sensitive=False, options=KEPT)
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+def search_whole_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.search(_docs(spark, sf_dir), "the", whole_word=True, options=KEPT)
+    return found.select("doc_id", "src_start", "src_end")
+
+
+def search_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.search(_docs(spark, sf_dir), "[0-9]{3,}", mode="regex", options=KEPT)
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("match_text")).alias("chars"))
+
+
+def _scopes(docs: DataFrame) -> DataFrame:
+    one = docs.select("doc_id", F.lit("head").alias("scope_id"), F.lit(0).alias("s_start"), F.lit(200).alias("s_end"))
+    return one.unionAll(docs.select("doc_id", F.lit("next").alias("scope_id"), F.lit(100).alias("s_start"), F.lit(400).alias("s_end")))
+
+
+def search_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    found = search.search(docs, "the", scopes=_scopes(docs), match_limit=5, options=KEPT)
+    return found.select("doc_id", "match_index", "src_start", "src_end", "scope_id")
+
+
+def search_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return search.stats(docs, search.search(docs, "the", options=KEPT), 6)
+
+
+def search_before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.search(_docs(spark, sf_dir), "the", options=KEPT)
+    side = lambda frame, name: frame.select("doc_id", F.lit(name).alias("side"), "match_index", "src_start")
+    return side(search.after_offset(found, 150), "after").unionAll(side(search.before_offset(found, 150), "before"))
+
+
+def search_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.search(_docs(spark, sf_dir), "the", options=KEPT)
+    return search.for_source_range(found, 50, 300, limit=4).select("doc_id", "match_index", "src_start")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        line_stats_by_lang, sanitize_plain, quarantine_plain, normalize_normal, normalize_prewrap, text_width_narrow, text_width_ambiguous_wide,
+        tab_advance, walk_rows, walk_many_widths, materialize_rows, layout_rows, line_stats, prepare_segments, row_at, page_rows, tail_rows,
+        index_stats, cursor_for_offset, project_offset, project_cell, project_range, selection_extract, ranges_at, ranges_overlap, ranges_append,
+        search_literal, search_ignoring_case, search_whole_word, search_regex, search_scoped, search_limit, search_before_after, search_range,
+    )
+}
+
+
+def _lines_sql(table: str = "documents", key: str = "doc_id") -> str:
+    """Lines as rows: a final line feed ends the last row and makes no other."""
+    return f"""
+    parted AS (
+        SELECT {key} AS doc_id, text, CASE WHEN text = '' THEN [] WHEN ends_with(text, chr(10))
+            THEN string_split(text[1:length(text) - 1], chr(10)) ELSE string_split(text, chr(10)) END AS lines
+        FROM {table} WHERE text IS NOT NULL
+    ), each AS (
+        SELECT doc_id, text, unnest(lines) AS line, unnest(range(len(lines))) AS row, len(lines) AS n FROM parted
+    ), ended AS (
+        SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY row) - 1 AS stop FROM each
+    ), lined AS (
+        SELECT doc_id, CAST(row AS INT) AS row, CAST(stop - length(line) AS INT) AS src_start, CAST(stop AS INT) AS src_end,
+            CAST(length(line) AS INT) AS width, CASE WHEN row + 1 < n OR ends_with(text, chr(10)) THEN 'hard' ELSE 'end' END AS break_kind, line, n, text
+        FROM ended
+    )"""
+
+
+_HITS = """
+    split AS (
+        SELECT doc_id, string_split(text, 'the') AS parts, text FROM documents WHERE text IS NOT NULL
+    ), piece AS (
+        SELECT doc_id, text, unnest(parts) AS part, unnest(range(len(parts))) AS k, len(parts) AS n FROM split
+    ), hits AS (
+        SELECT doc_id, text, CAST(k AS INT) AS match_index, n,
+            CAST(sum(length(part) + 3) OVER (PARTITION BY doc_id ORDER BY k) - 3 AS INT) AS src_start
+        FROM piece
+    ), hit AS (
+        SELECT doc_id, text, match_index, src_start, src_start + 3 AS src_end FROM hits WHERE match_index + 1 < n
+    )"""
+
+_TOLD = "doc_id, row, src_start, src_end, width, break_kind"
+_RANGES = """
+    ranged AS (
+        SELECT l_orderkey AS doc_id, concat_ws('-', l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey
+            ORDER BY l_linenumber, l_partkey, l_quantity)) AS id, l_linenumber * 3 AS src_start,
+            l_linenumber * 3 + CAST(l_quantity % 11 AS INT) AS src_end
+        FROM lineitem
+    )"""
+_ASKED = "asked AS (SELECT item_id AS doc_id, text, unnest([0, 7, 60, 333, 100000]) AS \"offset\" FROM benchmark)"
+
+ORACLES = {
+    "sanitize_plain": "SELECT doc_id, md5(text) AS digest FROM documents",
+    "quarantine_plain": "SELECT doc_id, doc_id % 3 <> 0 AS accepted FROM documents",
+    "normalize_normal": "SELECT doc_id, md5(trim(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g'), ' ')) AS digest FROM documents",
+    "normalize_prewrap": "SELECT doc_id, md5(replace(text, 'e ', 'e' || chr(10) || chr(10))) AS digest FROM documents",
+    "text_width_narrow": """WITH p AS (SELECT item_id AS doc_id, string_split(text, chr(10)) AS l FROM benchmark),
+        q AS (SELECT doc_id, unnest(range(len(l))) AS line, unnest(l) AS t FROM p)
+        SELECT doc_id, CAST(line AS INT) AS line, CAST(length(t) AS INT) AS width FROM q""",
+    "text_width_ambiguous_wide": """WITH p AS (SELECT item_id AS doc_id, string_split(text, chr(10)) AS l FROM benchmark),
+        q AS (SELECT doc_id, unnest(range(len(l))) AS line, unnest(l) AS t FROM p)
+        SELECT doc_id, CAST(line AS INT) AS line, CAST(length(t) + len(regexp_extract_all(t, '[ÆÐ×ØÞßàáæèéêìíðòó÷øùúüþ]')) AS INT) AS width FROM q""",
+    "tab_advance": """SELECT event_id, CAST(8 - (event_id % 97) % 8 AS INT) AS advance8, CAST(3 - (event_id % 97) % 3 AS INT) AS advance3 FROM events""",
+    "walk_rows": f"WITH {_lines_sql()} SELECT {_TOLD} FROM lined",
+    "materialize_rows": f"WITH {_lines_sql()} SELECT doc_id, row, md5(line) AS text_md5, md5(line) AS source_md5 FROM lined WHERE row < 4",
+    "layout_rows": f"WITH {_lines_sql()} SELECT doc_id, CAST(len(lines) AS INT) AS rows FROM parted",
+    "line_stats": f"""WITH {_lines_sql()} SELECT p.doc_id, CAST(len(lines) AS INT) AS rows,
+        CAST(coalesce(list_max(list_transform(lines, lambda l: length(l))), 0) AS INT) AS max_line_width FROM parted p""",
+    "prepare_segments": """WITH c AS (SELECT item_id AS doc_id, CAST(length(text) AS INT) AS source_len, unnest(string_split(text, '')) AS ch FROM benchmark)
+        SELECT doc_id, source_len, CASE ch WHEN ' ' THEN 'preserved-space' WHEN chr(10) THEN 'hard-break' ELSE 'text' END AS kind,
+            count(*) AS chars FROM c WHERE ch <> '' GROUP BY ALL""",
+    "row_at": f"WITH {_lines_sql()} SELECT {_TOLD} FROM lined WHERE row = 2",
+    "page_rows": f"WITH {_lines_sql()} SELECT {_TOLD} FROM lined WHERE row BETWEEN 1 AND 3",
+    "tail_rows": f"WITH {_lines_sql()} SELECT {_TOLD} FROM lined WHERE row >= n - 2",
+    "index_stats": f"""WITH {_lines_sql()} SELECT doc_id, CAST(count(*) FILTER (WHERE row % 4 = 0) AS INT) AS anchor_count,
+        CAST(count(*) AS INT) AS rows FROM lined GROUP BY doc_id""",
+    "cursor_for_offset": f"""WITH {_ASKED} SELECT doc_id, "offset", CAST(least("offset", length(text)) AS INT) AS src_offset,
+        "offset" <= length(text) AS exact FROM asked""",
+    "project_offset": f"""WITH {_ASKED}, placed AS (
+            SELECT *, least("offset", length(text)) AS spot, text[1:least("offset", length(text))] AS head FROM asked
+        ) SELECT doc_id, "offset", CAST(length(head) - length(replace(head, chr(10), '')) AS INT) AS row,
+            CAST(length(list_last(string_split(head, chr(10)))) AS INT) AS "column", CAST(spot AS INT) AS src_offset,
+            "offset" <= length(text) AS exact, spot = length(text) AS at_end FROM placed""",
+    "project_cell": """SELECT item_id AS doc_id, 0 AS row, CAST(least(4, length(string_split(text, chr(10))[1])) AS INT) AS "column",
+        CAST(least(4, length(string_split(text, chr(10))[1])) AS INT) AS src_offset, length(string_split(text, chr(10))[1]) >= 4 AS exact FROM benchmark""",
+    "project_range": f"""WITH {_lines_sql("benchmark", "item_id")} SELECT doc_id, row, greatest(src_start, 9) AS src_start,
+            least(src_end, 250) AS src_end, greatest(src_start, 9) - src_start AS start_col, least(src_end, 250) - src_start AS end_col
+        FROM lined WHERE greatest(src_start, 9) < least(src_end, 250)""",
+    "selection_extract": """SELECT item_id AS doc_id, text[10:250] AS source_text, text[10:250] AS visible_text,
+        CAST(len(string_split(text[10:250], chr(10))) AS INT) AS visible_rows FROM benchmark""",
+    "ranges_at": f"""WITH {_RANGES} SELECT r.doc_id, id, src_start, src_end FROM ranged r JOIN orders ON o_orderkey = r.doc_id
+        WHERE src_start <= 9 AND 9 < src_end OR src_start = src_end AND src_start = 9""",
+    "ranges_overlap": f"""WITH {_RANGES}, asked AS (SELECT o_orderkey AS doc_id, 6 AS q_start, CAST(6 + o_orderkey % 9 AS INT) AS q_end FROM orders)
+        SELECT r.doc_id, q_end, id, src_start, src_end FROM ranged r JOIN asked a ON a.doc_id = r.doc_id
+        WHERE CASE WHEN q_start = q_end THEN src_start <= q_start AND (q_start < src_end OR src_end = q_start AND src_start = q_start)
+            WHEN src_start = src_end THEN src_start >= q_start AND src_start < q_end ELSE src_start < q_end AND src_end > q_start END""",
+    "ranges_append": f"""WITH {_RANGES}, both_ranges AS (SELECT doc_id, src_start, src_end FROM ranged UNION ALL SELECT o_orderkey, 0, 5 FROM orders)
+        SELECT doc_id, count(*) AS n, CAST(min(src_start) AS BIGINT) AS first, CAST(sum(src_end) AS BIGINT) AS ends FROM both_ranges GROUP BY doc_id""",
+    "search_literal": f"WITH {_HITS} SELECT doc_id, match_index, src_start, src_end FROM hit",
+    "search_ignoring_case": """SELECT doc_id, CAST(len(string_split(lower(text), 'the')) - 1 AS BIGINT) AS n FROM documents
+        WHERE contains(lower(text), 'the')""",
+    "search_whole_word": f"""WITH {_HITS} SELECT doc_id, src_start, src_end FROM hit
+        WHERE NOT regexp_matches(text[src_start:src_start], '^[0-9A-Za-z_]$') AND NOT regexp_matches(text[src_end + 1:src_end + 1], '^[0-9A-Za-z_]$')""",
+    "search_regex": """WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{3,}')) AS t FROM documents)
+        SELECT doc_id, count(*) AS n, CAST(sum(length(t)) AS BIGINT) AS chars FROM m GROUP BY doc_id""",
+    "search_scoped": f"""WITH {_HITS}, scoped AS (
+            SELECT doc_id, src_start, src_end, scope_id FROM hit, (VALUES ('head', 0, 200), ('next', 100, 400)) s(scope_id, a, b)
+            WHERE a <= src_start AND src_end <= b
+        ), numbered AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY src_start, src_end, scope_id) - 1 AS INT) AS match_index FROM scoped
+        ) SELECT doc_id, match_index, src_start, src_end, scope_id FROM numbered WHERE match_index < 5""",
+    "search_limit": """WITH c AS (SELECT doc_id, len(string_split(text, 'the')) - 1 AS n FROM documents)
+        SELECT doc_id, CAST(6 AS BIGINT) AS match_limit, CAST(least(n, 6) AS BIGINT) AS stored, n > 6 AS truncated FROM c""",
+    "search_before_after": f"""WITH {_HITS} SELECT doc_id, 'after' AS side, min(match_index) AS match_index, min(src_start) AS src_start
+        FROM hit WHERE src_start >= 150 GROUP BY doc_id
+        UNION ALL SELECT doc_id, 'before', max(match_index), max(src_start) FROM hit WHERE src_start < 150 GROUP BY doc_id""",
+    "search_range": f"""WITH {_HITS}, met AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY match_index) AS k FROM hit
+            WHERE src_start < 300 AND src_end > 50)
+        SELECT doc_id, match_index, src_start FROM met WHERE k <= 4""",
+}
