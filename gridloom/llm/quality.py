@@ -44,8 +44,9 @@ class Measures:
         """The measures of some rows, with what is known of them."""
         lengths = np.diff(self.offsets)[rows]
         offsets = np.concatenate([[0], np.cumsum(lengths)])
-        held = np.repeat(rows, np.diff(self.offsets))
-        out = Measures(offsets, self.data[held])
+        chosen = np.zeros(len(self.offsets) - 1, dtype=bool)
+        chosen[rows] = True
+        out = Measures(offsets, self.data[np.repeat(chosen, np.diff(self.offsets))])
         out._known = {k: v[rows] for k, v in self._known.items() if not k.startswith("words")}
         return out
 
@@ -175,8 +176,10 @@ class _Masked:
         return self.inner.only(self.rows[rows])
 
 
-def judge(docs: DataFrame, rules: Sequence[Rule] | None = None, metrics: Sequence[str] = (), keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, the asked metrics and ``kept``; one row per input row."""
+def judge(
+    docs: DataFrame, rules: Sequence[Rule] | None = None, metrics: Sequence[str] = (), keep: Sequence[str] = ("doc_id",), verdict_name: str = "kept"
+) -> DataFrame:
+    """``keep`` columns, the asked metrics and the verdict; one row per input row."""
     ordered = list(rules) if rules is not None else plan_cascade(docs)
     wanted = list(metrics)
 
@@ -189,14 +192,13 @@ def judge(docs: DataFrame, rules: Sequence[Rule] | None = None, metrics: Sequenc
                 verdict = cascade(measures, ordered)
                 arrays = [c.slice(first, end - first) for c in passed]
                 arrays += [pa.array(measures[m].astype(np.int64)) for m in wanted] + [pa.array(verdict)]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *wanted, "kept"])
+                yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *wanted, verdict_name])
 
     source = docs.select(*dict.fromkeys([*keep, "text"]))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in keep]
-    return source.mapInArrow(run, ", ".join([*kinds, *(f"{m} long" for m in wanted), "kept boolean"]))
+    return source.mapInArrow(run, ", ".join([*kinds, *(f"{m} long" for m in wanted), f"`{verdict_name}` boolean"]))
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The rows that no rule rejects, with all their columns."""
-    kept = judge(docs, keep=docs.columns)
-    return kept.filter("kept").drop("kept")
+    return judge(docs, keep=docs.columns, verdict_name="_no_rule_rejects").filter("_no_rule_rejects").drop("_no_rule_rejects")
