@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.width import WidthProfile
-from gridloom.operators import layout, projection, ranges, rows, search
+from gridloom.operators import layout, projection, ranges, rich, rows, search
 from gridloom.operators.kernel import Options
 from gridloom.sources import text as source
+from gridloom.streaming import flow
 
 KEPT = Options(white_space="pre-wrap")
 UNBOUNDED = 10_000_000
@@ -34,7 +35,7 @@ def line_stats_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sanitize_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dirty = F.concat(F.lit("‮"), F.regexp_replace("text", "e", "\u0007e\u009b"), F.lit("\x1b"))
+    dirty = F.concat(F.lit("\u202e"), F.regexp_replace("text", "e", "\u0007e\u009b"), F.lit("\x1b"))
     return _docs(spark, sf_dir).select("doc_id", F.md5(source.sanitize_plain(dirty)).alias("digest"))
 
 
@@ -248,6 +249,41 @@ def search_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.for_source_range(found, 50, 300, limit=4).select("doc_id", "match_index", "src_start")
 
 
+def _ansi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with every word ``the`` in red, a link around ``of`` and a cleared line at the end."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    key = (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id")
+    red = F.regexp_replace("text", "the", "\x1b[1;31mthe\x1b[0m")
+    linked = F.regexp_replace(red, " of ", " \x1b]8;;https://e.test/a\x1b\\\\of\x1b]8;;\x1b\\\\ ")
+    return turns.select(key, F.concat(linked, F.lit("\x1b[2K")).alias("text"))
+
+
+def rich_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rich.visible(_ansi(spark, sf_dir), KEPT).select("doc_id", F.md5("text").alias("digest"), "spans", "diagnostics")
+
+
+def rich_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rich.spans(_ansi(spark, sf_dir), KEPT).filter("kind = 'style'")
+    return found.select("doc_id", "src_start", "src_end", F.col("style.fg").alias("fg"), F.col("style.bold").alias("bold"))
+
+
+def rich_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rich.fragments(_ansi(spark, sf_dir), UNBOUNDED, options=KEPT)
+    joined = F.array_join(F.transform("fragments", lambda f: f["text"]), "")
+    return found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.sum(F.size("fragments")).alias("parts"), F.count_if(joined != F.col("text")).alias("torn"))
+
+
+def rich_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rich.diagnostics(_ansi(spark, sf_dir), KEPT)
+    return found.groupBy("kind", "code", "family", "raw_length", "fingerprint").agg(F.count("*").alias("n"))
+
+
+def append_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), "text")
+    found = flow.replay(turns, KEPT)
+    return found.select("doc_id", "seq", "generation", "appended", "stable_prefix", (F.col("stable_prefix") + F.length("source_delta")).alias("length"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -255,6 +291,7 @@ QUERIES = {
         tab_advance, walk_rows, walk_many_widths, materialize_rows, layout_rows, line_stats, prepare_segments, row_at, page_rows, tail_rows,
         index_stats, cursor_for_offset, project_offset, project_cell, project_range, selection_extract, ranges_at, ranges_overlap, ranges_append,
         search_literal, search_ignoring_case, search_whole_word, search_regex, search_scoped, search_limit, search_before_after, search_range,
+        rich_visible, rich_spans, rich_fragments, rich_diagnostics, append_flow,
     )
 }
 
@@ -368,4 +405,14 @@ ORACLES = {
     "search_range": f"""WITH {_HITS}, met AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY match_index) AS k FROM hit
             WHERE src_start < 300 AND src_end > 50)
         SELECT doc_id, match_index, src_start FROM met WHERE k <= 4""",
+    "rich_visible": """SELECT conv_id * 1000 + turn AS doc_id, md5(text) AS digest,
+        CAST(len(string_split(text, 'the')) - 1 + len(string_split(text, ' of ')) - 1 AS INT) AS spans, 1 AS diagnostics FROM conversations""",
+    "rich_spans": f"""WITH {_HITS.replace("SELECT doc_id, string_split(text, 'the') AS parts, text FROM documents", "SELECT conv_id * 1000 + turn AS doc_id, string_split(text, 'the') AS parts, text FROM conversations")}
+        SELECT doc_id, src_start, src_end, 'ansi:31' AS fg, TRUE AS bold FROM hit""",
+    "rich_diagnostics": """SELECT 'unsupported-control' AS kind, 'csi-unsupported' AS code, 'csi' AS family, 4 AS raw_length,
+        '9a378348' AS fingerprint, count(*) AS n FROM conversations""",
+    "append_flow": """WITH t AS (SELECT conv_id AS doc_id, turn AS seq, text FROM conversations)
+        SELECT doc_id, seq, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seq, text) - 1 AS INT) AS generation, CAST(length(text) AS INT) AS appended,
+            CAST(coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY seq, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS stable_prefix,
+            CAST(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY seq, text) AS INT) AS length FROM t""",
 }
