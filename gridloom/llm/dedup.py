@@ -2,9 +2,9 @@
 
 A text is a set of distinct word shingles.  Its signature is ``SLOTS`` minima, of which ``BITS`` bits
 are kept.  Two sets with Jaccard similarity s differ in each slot with probability (1 - s) at most,
-so pairs at or above the link threshold differ in at most ``MAX_DISTANCE`` slots but for a chance of
-about one in a million.  All pairs within that distance are found for certain: the slots are cut in
-(MAX_DISTANCE + 1) / 2 chunks, by pigeonhole some chunk of such a pair has at most one error, and
+so pairs at or above the link threshold differ in at most ``max_distance`` slots but for a chance of
+``MISS``.  All pairs within that distance are found for certain: the slots are cut in
+(max_distance + 1) / 2 chunks, by pigeonhole some chunk of such a pair has at most one error, and
 every chunk enumerates its possible errors as keys with one slot left out.
 
 Stages:
@@ -12,11 +12,13 @@ Stages:
 1. sets: shingle sets are hashed; documents with equal sets form a class with its least id as
    representative, so exact copies cost one row from here on.
 2. index: the keys of each representative meet in buckets.  Each member of a bucket is compared with
-   the bucket's least member, which is linear.  Only buckets in which some member is far from the
-   least one are compared pair by pair, in blocks of bounded size, and a block gives back a forest.
+   the bucket's least member, which is linear.  In buckets that fall into several components by then,
+   all members outside the largest component meet all others, in blocks of bounded size; a meeting
+   gives back a forest.
 3. groups: components of near signatures hold all candidate pairs.
-4. links: each group is compared on full shingle sets, again in blocks of bounded size; a block of
-   a group meets every other block of it, and each meeting gives back a forest of exact links.
+4. links on full shingle sets: a group is dealt to blocks, and each block, with the group's least
+   member, is compared pair by pair.  Where a group of several blocks is not one component then, the
+   members outside its largest component meet all others as above.
 5. components of the links, spread over classes.
 
 No group is ever in one task as a whole, and no list of pairs of a group is made.
@@ -28,6 +30,7 @@ an id are one document: they share component and verdict.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,8 +44,8 @@ from gridloom.llm import textkit as tk
 
 SLOTS = 64
 BITS = 16
-MAX_DISTANCE = 25
-CHUNKS = (MAX_DISTANCE + 1) // 2
+#: The chance at most of a pair at the threshold to differ in more slots than the index covers.
+MISS = 2e-6
 #: Members of a block; two blocks meet at a time.
 BLOCK = 64
 
@@ -50,7 +53,15 @@ _RNG = np.random.default_rng(77)
 _MULT = _RNG.integers(1, 1 << 31, SLOTS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _RNG.integers(0, 1 << 32, SLOTS, dtype=np.uint32)
 _SLOT_CODE = _RNG.integers(1, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_EDGES = np.linspace(0, SLOTS, CHUNKS + 1).round().astype(int)
+
+
+def max_distance(percent: int) -> int:
+    """The least odd distance that covers pairs of this similarity but for a chance of ``MISS``."""
+    differ = 1 - percent / 100
+    for t in range(1, SLOTS, 2):
+        if sum(math.comb(SLOTS, k) * differ**k * (1 - differ) ** (SLOTS - k) for k in range(t + 1, SLOTS + 1)) <= MISS:
+            return t
+    return SLOTS - 1
 
 
 def shingle_sets(offsets: np.ndarray, data: np.ndarray, size: int) -> list[np.ndarray]:
@@ -84,11 +95,12 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def index_keys(sig: np.ndarray) -> np.ndarray:
+def index_keys(sig: np.ndarray, distance: int) -> np.ndarray:
     """(rows, SLOTS) keys: one for each chunk and each slot of it that may be wrong."""
     coded = tk.mix((sig.astype(np.uint64) + np.uint64(1)) * _SLOT_CODE)
     keys = np.empty(sig.shape, dtype=np.uint64)
-    for a, b in zip(_EDGES[:-1], _EDGES[1:], strict=True):
+    edges = np.linspace(0, SLOTS, (distance + 1) // 2 + 1).round().astype(int)
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
         keys[:, a:b] = coded[:, a:b].sum(axis=1, dtype=np.uint64)[:, None] - coded[:, a:b]
     return tk.mix(keys + np.arange(SLOTS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
@@ -163,16 +175,44 @@ def _forest(ids: np.ndarray, first: np.ndarray, second: np.ndarray) -> list[tupl
     return [(int(ids[i]), int(ids[j])) for i, j in zip(first.tolist(), second.tolist(), strict=True) if forest.tie(i, j)]
 
 
-def block_meetings(members: DataFrame, by: str, block: int = BLOCK) -> DataFrame:
-    """Each member of a group in every meeting of its block with another (columns bi <= bj, mine).
+def _dealt(members: DataFrame, by: list[str], block: int) -> DataFrame:
+    """Adds ``blocks``, ceil(size / block) of each group, and ``mine``, a block by a hash of the id."""
+    sizes = members.groupBy(*by).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = members.join(sizes, by)
+    return dealt.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+
+
+def own_blocks(members: DataFrame, by: str, block: int = BLOCK) -> DataFrame:
+    """Each member in its block of its group (bi = bj), and the group's least member in all of them."""
+    least = members.groupBy(by).agg(F.min("rep").alias("least"), F.count("*").alias("size")).filter("size > 1")
+    dealt = _dealt(members.join(least.select(by, "least"), by), [by], block)
+    to = F.when(F.col("rep") == F.col("least"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("mine"))
+    return dealt.withColumn("bi", F.explode(to)).withColumn("bj", F.col("bi")).withColumn("mine", F.col("bi")).drop("least")
 
-    Members are dealt to ceil(size / block) blocks by a hash of their id; a group of one block meets itself.
+
+def open_meetings(members: DataFrame, by: str, block: int = BLOCK) -> DataFrame:
+    """Meetings of blocks for all pairs of members with different ``root`` in a group.
+
+    The largest component's members have no business with each other, so only the members outside it
+    are sent to several meetings: each of their blocks meets each other one (bj >= 0) and each block of
+    the largest component (bj < 0).
     """
-    sizes = members.groupBy(by).agg(F.count("*").alias("size")).filter("size > 1")
-    n = F.ceil(F.col("size") / block).cast("int")
-    dealt = members.join(sizes, by).withColumn("blocks", n).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return met.withColumn("bi", F.least("mine", "other")).withColumn("bj", F.greatest("mine", "other")).drop("size", "blocks", "other")
+    counts = members.groupBy(by, "root").agg(F.count("*").alias("n"))
+    largest = counts.groupBy(by).agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("roots")).filter("roots > 1")
+    sided = members.join(largest.select(by, "largest"), by).withColumn("inner", F.col("root") == F.col("largest")).drop("largest")
+    dealt = _dealt(sided, [by, "inner"], block)
+    across = dealt.groupBy(by).agg(F.max(F.when(F.col("inner"), F.col("blocks"))).alias("gb"), F.max(F.when(~F.col("inner"), F.col("blocks"))).alias("mb"))
+    dealt = dealt.join(across, by)
+    outer = F.sequence(F.lit(0), F.col("mb") - 1)
+    met = F.when(
+        F.col("inner"), F.transform(outer, lambda i: F.struct(i.alias("bi"), (-1 - F.col("mine")).alias("bj"), F.lit(1).alias("mine")))
+    ).otherwise(
+        F.concat(
+            F.transform(outer, lambda i: F.struct(F.least(i, "mine").alias("bi"), F.greatest(i, "mine").alias("bj"), F.col("mine").alias("mine"))),
+            F.transform(F.sequence(F.lit(1), F.col("gb")), lambda j: F.struct(F.col("mine").alias("bi"), (-j).alias("bj"), F.lit(0).alias("mine"))),
+        )
+    )
+    return dealt.withColumn("at", F.explode(met)).drop("inner", "blocks", "gb", "mb", "mine").select("*", "at.*").drop("at")
 
 
 def _meet(met: DataFrame, by: str, links: Callable[[pa.Table], list[tuple[int, int]]], payload: list[str]) -> DataFrame:
@@ -193,18 +233,21 @@ def _sig_matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, SLOTS)
 
 
-def _near_links(table: pa.Table) -> list[tuple[int, int]]:
-    """Forest of the pairs of different groups within the distance, in one meeting of two blocks."""
-    ids, root = table["rep"].to_numpy(), table["root"].to_numpy()
-    sig, mine = _sig_matrix(table["sig"]), table["mine"].to_numpy()
-    bi, bj = table["bi"][0].as_py(), table["bj"][0].as_py()
-    near = np.zeros((len(ids), len(ids)), dtype=np.int16)
-    for i in range(SLOTS):
-        near += sig[:, i][:, None] != sig[:, i][None, :]
-    ok = (near <= MAX_DISTANCE) & (root[:, None] != root[None, :])
-    if bi != bj:
-        ok &= mine[:, None] != mine[None, :]
-    return _forest(ids, *np.nonzero(np.triu(ok, 1)))
+def _near_links(distance: int) -> Callable[[pa.Table], list[tuple[int, int]]]:
+    """Forest of the pairs of different components within the distance, in one meeting of two blocks."""
+
+    def links(table: pa.Table) -> list[tuple[int, int]]:
+        ids, root = table["rep"].to_numpy(), table["root"].to_numpy()
+        sig, mine = _sig_matrix(table["sig"]), table["mine"].to_numpy()
+        differ = np.zeros((len(ids), len(ids)), dtype=np.int16)
+        for i in range(SLOTS):
+            differ += sig[:, i][:, None] != sig[:, i][None, :]
+        ok = (differ <= distance) & (root[:, None] != root[None, :])
+        if table["bi"][0].as_py() != table["bj"][0].as_py():
+            ok &= mine[:, None] != mine[None, :]
+        return _forest(ids, *np.nonzero(np.triu(ok, 1)))
+
+    return links
 
 
 def _exact_links(size: int, percent: int) -> Callable[[pa.Table], list[tuple[int, int]]]:
@@ -234,6 +277,9 @@ def _exact_links(size: int, percent: int) -> Callable[[pa.Table], list[tuple[int
         inter = shared.astype(np.int64)
         union = sizes[:, None] + sizes[None, :] - inter
         ok = 100 * inter >= percent * union
+        if "root" in table.column_names:
+            root = table["root"].to_numpy()
+            ok &= root[:, None] != root[None, :]
         if bi != bj:
             ok &= mine[:, None] != mine[None, :]
         return _forest(ids, *np.nonzero(np.triu(ok, 1)))
@@ -241,26 +287,26 @@ def _exact_links(size: int, percent: int) -> Callable[[pa.Table], list[tuple[int
     return links
 
 
-def _distance(pairs: DataFrame) -> DataFrame:
+def _distance(pairs: DataFrame, distance: int) -> DataFrame:
     """pairs with sig_u, sig_v -> u, v, far."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 a, b = _sig_matrix(batch.column(2)), _sig_matrix(batch.column(3))
-                far = (a != b).sum(axis=1) > MAX_DISTANCE
+                far = (a != b).sum(axis=1) > distance
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far)], names=["u", "v", "far"])
 
     return pairs.select("u", "v", "sig_u", "sig_v").mapInArrow(run, "u long, v long, far boolean")
 
 
-def _bucket_keys(reps: DataFrame) -> DataFrame:
+def _bucket_keys(reps: DataFrame, distance: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             step = 4096
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                keys = index_keys(_sig_matrix(part.column(1)))
+                keys = index_keys(_sig_matrix(part.column(1)), distance)
                 rep = np.repeat(part.column(0).to_numpy(), SLOTS)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(rep)], names=["key", "rep"])
 
@@ -270,13 +316,14 @@ def _bucket_keys(reps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Every row's doc_id, n_shingles, component_id and kept.  Links need a similarity of
     ``percent`` / 100 or more on sets of ``shingle`` words; ids must be integers."""
+    distance = max_distance(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = storage.table(_sketch(docs, shingle), "sketch")
     known = sketch.filter("set_key is not null and doc_id is not null")
     reps = storage.table(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")), "classes")
     # One id may have several rows with different sets, so an id may represent several sets; any of
     # them stands for the id in the index, and all of them are in the full comparison.
-    keys = _bucket_keys(reps)
+    keys = _bucket_keys(reps, distance)
     buckets = keys.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("n")).filter("least < most")
     shared = storage.table(keys.join(buckets.select("key", "least", "n"), "key"), "buckets")
     stars = shared.filter("rep <> least").select(F.col("least").alias("u"), F.col("rep").alias("v")).distinct()
@@ -284,7 +331,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     paired = stars.join(sigs.select(F.col("rep").alias("u"), F.col("sig").alias("sig_u")), "u").join(
         sigs.select(F.col("rep").alias("v"), F.col("sig").alias("sig_v")), "v"
     )
-    judged = storage.table(_distance(paired), "stars")
+    judged = storage.table(_distance(paired, distance), "stars")
     near = judged.filter("not far").select("u", "v")
     # Buckets of three and more with a member that is far from the least one.
     mixed = shared.filter("n > 2 and rep <> least").join(
@@ -298,16 +345,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         .join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
         .withColumn("root", F.coalesce("root", "rep"))
     )
-    # A bucket whose members are all in one group has nothing to add.
-    open_keys = members.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("key")
-    met = block_meetings(members.join(open_keys, "key", "left_semi"), "key").join(sigs, "rep")
-    more = storage.table(_meet(met, "key", _near_links, ["root", "sig"]), "near")
+    met = open_meetings(members, "key").join(sigs, "rep")
+    more = storage.table(_meet(met, "key", _near_links(distance), ["root", "sig"]), "near")
     groups = storage.table(graph.components(near.unionAll(more)), "groups") if not more.isEmpty() else roots
-    grouped = groups.select(F.col("node").alias("rep"), "root")
-    texts = _class_texts(docs, reps, grouped)
-    met = block_meetings(texts, "root")
-    links = storage.table(_meet(met, "root", _exact_links(shingle, percent), ["text"]), "links")
+    grouped = groups.select(F.col("node").alias("rep"), F.col("root").alias("grp"))
+    texts = storage.table(_class_texts(docs, reps, grouped), "texts")
+    links = storage.table(_meet(own_blocks(texts, "grp"), "grp", _exact_links(shingle, percent), ["text"]), "links")
     linked = graph.components(links)
+    # Groups of several blocks that are not one component yet.
+    large = grouped.groupBy("grp").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("grp")
+    if not large.isEmpty():
+        rooted = grouped.join(large, "grp", "left_semi").join(linked.select(F.col("node").alias("rep"), "root"), "rep", "left")
+        rooted = storage.table(rooted.withColumn("root", F.coalesce("root", "rep")), "rooted")
+        met = open_meetings(rooted, "grp").join(texts.select("rep", "text"), "rep")
+        links = links.unionAll(storage.table(_meet(met, "grp", _exact_links(shingle, percent), ["root", "text"]), "links"))
+        linked = graph.components(links)
     # Ids of a class follow its representative.
     ids = known.select("doc_id", "set_key").distinct().join(reps.select("set_key", "rep"), "set_key").select("doc_id", "rep")
     doubled = known.groupBy("doc_id").agg(F.count_distinct("set_key").alias("n")).filter("n > 1")
@@ -327,9 +379,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
 
 def _class_texts(docs: DataFrame, reps: DataFrame, grouped: DataFrame) -> DataFrame:
-    """rep, root and text of every class in a group."""
-    wanted = reps.join(grouped, "rep").select("rep", "root")
-    return docs.withColumnRenamed("doc_id", "rep").join(wanted.distinct(), "rep").select("rep", "root", "text")
+    """rep, grp and text of every class in a group."""
+    wanted = reps.join(grouped, "rep").select("rep", "grp")
+    return docs.withColumnRenamed("doc_id", "rep").join(wanted.distinct(), "rep").select("rep", "grp", "text")
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
