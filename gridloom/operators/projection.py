@@ -86,11 +86,7 @@ class Projector:
         return n, self.column(row, offset), at, offset, exact, cursor >= row.end or offset == self.length, True
 
     def column(self, row: Row, offset: int) -> int:
-        if offset <= row.src_start:
-            return row.start_column
-        if offset >= row.src_end:
-            return row.start_column + row.width
-        return max(c for x, c in self.layout.boundaries(row) if x <= offset)
+        return self.layout.column(row, self.points(offset))
 
     def offset(self, offset: int, bias: str = "closest") -> tuple:
         found, cursor = self.cursor(offset, bias)
