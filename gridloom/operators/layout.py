@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.functions import bidi
 from gridloom.functions import width as W
 from gridloom.functions.wrap import Row, check
 from gridloom.operators.kernel import Options, gated, run_kernel
@@ -40,8 +41,9 @@ def prepare(docs: DataFrame, options: Options = Options()) -> DataFrame:
 
     def rows_of(layout, row):
         p = layout.prepared
+        level = bidi.levels(p.source)
         segments = [
-            {"text": t, "kind": k, "src_start": p.offset(s), "break_after": b}
+            {"text": t, "kind": k, "src_start": p.offset(s), "break_after": b, "level": level[s] if level else None}
             for t, k, s, b in zip(p.texts, p.kinds, p.starts, p.breaks, strict=True)
         ]
         yield row["doc_id"], p.source, p.offset(len(p.source)), layout.tab, layout.hyphen, options.key, segments
@@ -49,7 +51,7 @@ def prepare(docs: DataFrame, options: Options = Options()) -> DataFrame:
     key = docs.schema["doc_id"].dataType.simpleString()
     schema = (
         f"doc_id {key}, source string, source_len int, tab int, hyphen_width int, layout_key string,"
-        " segments array<struct<text:string,kind:string,src_start:int,break_after:boolean>>"
+        " segments array<struct<text:string,kind:string,src_start:int,break_after:boolean,level:int>>"
     )
     return run_kernel(gated(docs, options).select("doc_id", "text"), schema, rows_of, options)
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from gridloom.functions import ansi, segment, width, wrap
+from gridloom.functions import ansi, bidi, segment, width, wrap
 from gridloom.operators.projection import Projector
 from gridloom.sources import text as source
 from gridloom.streaming import flow
@@ -207,3 +207,11 @@ def test_appends_equal_one_text(mode):
             assert state.length == before and got.endswith(state.open_source)
         whole = source.normalise("".join(parts), mode)
         assert got == whole
+
+
+@pytest.mark.parametrize(
+    ("text", "levels"),
+    [("abc", None), ("אב", [1, 1]), ("a אב", [0, 0, 1, 1]), ("א a", [1, 1, 2]), ("א 12", [1, 1, 2, 2]), ("a אב 1", [0, 0, 1, 1, 1, 2]), ("عر 1,2", [1, 1, 1, 2, 2, 2])],
+)
+def test_levels(text, levels):
+    assert bidi.levels(text) == levels

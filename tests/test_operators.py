@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import layout, projection, ranges, rich, rows, search
+from gridloom.operators import layout, projection, ranges, rich, rows, search, telemetry
 from gridloom.operators.kernel import Options
 from gridloom.sources import text as source
 from gridloom.streaming import flow
@@ -129,3 +129,11 @@ def test_stream_of_appends_equals_replay(spark, tmp_path):
     query()
     told = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert told == {tuple(r) for r in flow.replay(frame, KEPT).collect()} and len(told) == 12
+
+
+def test_telemetry(spark, docs):
+    found, seen = telemetry.counted(layout.walk(docs, 9), "walk", rows=F.count(F.lit(1)))
+    assert telemetry.combined(telemetry.rows_estimate(found)).first().bytes == 160 * seen.get["rows"]
+    assert spark.range(1).select(telemetry.estimated_bytes(chars=3, slots=1, entries=1, ranges=1).alias("b")).first().b == 142
+    with pytest.raises(ValueError):
+        telemetry.estimated_bytes(pages=1)
