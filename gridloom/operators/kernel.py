@@ -50,9 +50,17 @@ class Options:
         return Layout(prepare(normalised, self.white_space == "pre-wrap", self.word_break == "keep-all"), self.profile, self.tab_size)
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """Documents over at least as many partitions as there are cores; a table of many files stays as it is."""
+    if docs.isStreaming:
+        return docs
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+
+
 def gated(docs: DataFrame, options: Options, text: str = "text") -> DataFrame:
     """Texts behind the input gate, normalised; null texts go."""
-    kept = docs.filter(F.col(text).isNotNull())
+    kept = spread(docs.filter(F.col(text).isNotNull()))
     if options.on_error == "quarantine":
         kept = kept.filter(~source.is_rejected(F.col(text)))
         checked = F.col(text)

@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from gridloom.functions import ansi
 from gridloom.functions.segment import Prepared
 from gridloom.functions.wrap import check
-from gridloom.operators.kernel import OUT_ROWS, Options, _batch
+from gridloom.operators.kernel import OUT_ROWS, Options, _batch, spread
 
 STYLE = "struct<fg:string,bg:string,bold:boolean,dim:boolean,italic:boolean,underline:boolean,inverse:boolean,strikethrough:boolean>"
 _STYLE_NAMES = ("fg", "bg", "bold", "dim", "italic", "underline", "inverse", "strikethrough")
@@ -43,7 +43,7 @@ def _rows(docs: DataFrame, schema: str, rows_of, options: Options, policy: ansi.
         if out:
             yield _batch(out, arrow)
 
-    return docs.filter(F.col("text").isNotNull()).select("doc_id", "text").mapInArrow(run, kind)
+    return spread(docs.filter(F.col("text").isNotNull()).select("doc_id", "text")).mapInArrow(run, kind)
 
 
 def _utf16(text: str) -> Prepared:
