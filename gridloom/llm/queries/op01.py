@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import dedup
+from gridloom.llm.queries.inputs import documents
 
 SHINGLE, PERCENT = 3, 85
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     return dedup.near_duplicates(docs, SHINGLE, PERCENT)
 
 

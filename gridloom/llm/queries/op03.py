@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import ngram
+from gridloom.llm.queries.inputs import documents
 
 FOLDS, HELD_OUT = 5, 1
 
@@ -15,7 +16,7 @@ def held_out() -> Column:
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     model = ngram.fit(docs.filter(~held_out()))
     return ngram.score(docs, model).select(
         "doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import bpe
+from gridloom.llm.queries.inputs import documents
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -16,5 +17,5 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 def op4_bpe_encoding(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     return bpe.digest(bpe.encode(docs, bpe.Vocabulary.load(path or vocabulary_path())))

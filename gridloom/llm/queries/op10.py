@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import pulearn
+from gridloom.llm.queries.inputs import documents
 
 FOLDS = 5
 THRESHOLD = 0.3
@@ -16,7 +17,7 @@ def fold(column: str = "doc_id") -> Column:
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scorer = pulearn.fit(docs, labels, fold() != 0)
     return pulearn.score(docs, scorer).select(
