@@ -7,6 +7,7 @@ Offsets are code points.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable, Iterator
 
 import regex
@@ -53,10 +54,40 @@ _MARKED_SPACE = regex.compile(r" \p{M}+")
 _HAS_BREAK_CHAR = regex.compile(r"[ \t\n\u00A0\u00AD\u200B\u202F\u2060\uFEFF]")
 
 
+#: Answers about short strings are remembered: texts repeat their words.
+_remember = functools.lru_cache(maxsize=1 << 16)
+
+
 def is_cjk(text: str) -> bool:
     return not text.isascii() and _CJK.search(text) is not None
 
 
+@_remember
+def _traits(part: str) -> tuple[bool, bool]:
+    """(looks like a word, has no character that breaks)."""
+    return _WORD_LIKE.search(part) is not None, _HAS_BREAK_CHAR.search(part) is None
+
+
+@_remember
+def _left_sticky(text: str) -> bool:
+    return _LEFT_CLUSTER.fullmatch(text) is not None or _QUOTE_CLUSTER.fullmatch(text) is not None
+
+
+@_remember
+def _quotes(text: str) -> bool:
+    return _QUOTE_CLUSTER.fullmatch(text) is not None
+
+
+@_remember
+def _openers(text: str) -> bool:
+    return _FORWARD_CLUSTER.fullmatch(text) is not None or _quotes(text)
+
+
+@_remember
+def _chained(text: str) -> bool:
+    return _CHAIN.fullmatch(text) is not None
+
+
 def _numeric(text: str) -> bool:
     return _NUMERIC.fullmatch(text) is not None and _DIGIT.search(text) is not None
 
@@ -86,20 +117,24 @@ def kind_of(cluster: str, keep_spaces: bool) -> str:
     return ZERO_BREAK if cluster == "\u200B" else SOFT_HYPHEN if cluster == "\u00AD" else TEXT
 
 
-def words(text: str) -> Iterator[tuple[str, bool, int]]:
-    """Word segments: (text, looks like a word, offset)."""
+def words(text: str) -> Iterator[tuple[str, int]]:
+    """Word segments: (text, offset)."""
     at = 0
     for line in text.splitlines(keepends=True) if "\r" not in text and text.isascii() else [text]:
         for part in _WORDS.split(line):
             if part:
-                yield part, _WORD_LIKE.search(part) is not None, at
+                yield part, at
                 at += len(part)
 
 
 def pieces(text: str, keep_spaces: bool) -> Iterator[Segment]:
     """Word segments, cut where the kind of break changes."""
-    for part, word, at in words(text):
-        if _HAS_BREAK_CHAR.search(part) is None:
+    for part, at in words(text):
+        if part == " ":
+            yield Segment(part, False, KEPT_SPACE if keep_spaces else SPACE, at)
+            continue
+        word, whole = _traits(part)
+        if whole:
             yield Segment(part, word, TEXT, at)
             continue
         held: Segment | None = None
@@ -142,7 +177,7 @@ def _gather(found: Iterable[Segment]) -> list[Segment]:
                 continue
             else:
                 joined = not piece.word and not is_cjk(last.text) and (
-                    _LEFT_CLUSTER.fullmatch(piece.text) is not None or _QUOTE_CLUSTER.fullmatch(piece.text) is not None or (piece.text == "-" and last.word)
+                    _left_sticky(piece.text) or (piece.text == "-" and last.word)
                 )
             if joined:
                 last.text += piece.text
@@ -157,7 +192,7 @@ def _gather(found: Iterable[Segment]) -> list[Segment]:
 def _glue_quotes(segs: list[Segment]) -> list[Segment]:
     out: list[Segment] = []
     for s in segs:
-        if s.kind == TEXT and not s.word and out and out[-1].kind == TEXT and _QUOTE_CLUSTER.fullmatch(s.text) and not is_cjk(out[-1].text):
+        if s.kind == TEXT and not s.word and out and out[-1].kind == TEXT and _quotes(s.text) and not is_cjk(out[-1].text):
             out[-1].text += s.text
         else:
             out.append(s)
@@ -167,7 +202,7 @@ def _glue_quotes(segs: list[Segment]) -> list[Segment]:
 def _carry_openers(segs: list[Segment]) -> list[Segment]:
     out: list[Segment] = []
     for s in reversed(segs):
-        if s.kind == TEXT and not s.word and out and out[-1].kind == TEXT and _FORWARD_CLUSTER.fullmatch(s.text):
+        if s.kind == TEXT and not s.word and out and out[-1].kind == TEXT and _openers(s.text):
             out[-1].text, out[-1].start = s.text + out[-1].text, s.start
         else:
             out.append(s)
@@ -276,7 +311,7 @@ def _split_hyphens(segs: list[Segment]) -> list[Segment]:
 
 def _fuse_chains(segs: list[Segment]) -> list[Segment]:
     def link(s: Segment) -> bool:
-        return s.kind == TEXT and s.word and _CHAIN.fullmatch(s.text) is not None
+        return s.kind == TEXT and s.word and _chained(s.text)
 
     def take(s: list[Segment], i: int) -> int:
         if not link(s[i]):
