@@ -175,19 +175,18 @@ def _forest(ids: np.ndarray, first: np.ndarray, second: np.ndarray) -> list[tupl
     return [(int(ids[i]), int(ids[j])) for i, j in zip(first.tolist(), second.tolist(), strict=True) if forest.tie(i, j)]
 
 
-def _dealt(members: DataFrame, by: list[str], block: int) -> DataFrame:
-    """Adds ``blocks``, ceil(size / block) of each group, and ``mine``, a block by a hash of the id."""
-    sizes = members.groupBy(*by).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = members.join(sizes, by)
-    return dealt.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-
-
 def own_blocks(members: DataFrame, by: str, block: int = BLOCK) -> DataFrame:
-    """Each member in its block of its group (bi = bj), and the group's least member in all of them."""
-    least = members.groupBy(by).agg(F.min("rep").alias("least"), F.count("*").alias("size")).filter("size > 1")
-    dealt = _dealt(members.join(least.select(by, "least"), by), [by], block)
-    to = F.when(F.col("rep") == F.col("least"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("mine"))
-    return dealt.withColumn("bi", F.explode(to)).withColumn("bj", F.col("bi")).withColumn("mine", F.col("bi")).drop("least")
+    """Each member in its block of its group (bi = bj), and the group's least member in all of them.
+
+    Members are dealt to ceil(size / block) blocks by a hash of their id.
+    """
+    sizes = members.groupBy(by).agg(F.min("rep").alias("least"), F.count("*").alias("size")).filter("size > 1")
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    dealt = members.join(sizes.select(by, "least", blocks.alias("blocks")), by)
+    to = F.when(F.col("rep") == F.col("least"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(
+        F.array(F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    )
+    return dealt.withColumn("bi", F.explode(to)).withColumn("bj", F.col("bi")).withColumn("mine", F.col("bi")).drop("least", "blocks")
 
 
 def open_meetings(members: DataFrame, by: str, block: int = BLOCK) -> DataFrame:
@@ -198,11 +197,14 @@ def open_meetings(members: DataFrame, by: str, block: int = BLOCK) -> DataFrame:
     the largest component (bj < 0).
     """
     counts = members.groupBy(by, "root").agg(F.count("*").alias("n"))
-    largest = counts.groupBy(by).agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("roots")).filter("roots > 1")
-    sided = members.join(largest.select(by, "largest"), by).withColumn("inner", F.col("root") == F.col("largest")).drop("largest")
-    dealt = _dealt(sided, [by, "inner"], block)
-    across = dealt.groupBy(by).agg(F.max(F.when(F.col("inner"), F.col("blocks"))).alias("gb"), F.max(F.when(~F.col("inner"), F.col("blocks"))).alias("mb"))
-    dealt = dealt.join(across, by)
+    groups = counts.groupBy(by).agg(
+        F.max_by("root", F.struct("n", "root")).alias("largest"), F.max("n").alias("n_largest"), F.sum("n").alias("n_all"), F.count("*").alias("roots")
+    )
+    blocks = groups.filter("roots > 1").select(
+        by, "largest", F.ceil(F.col("n_largest") / block).cast("int").alias("gb"), F.ceil((F.col("n_all") - F.col("n_largest")) / block).cast("int").alias("mb")
+    )
+    dealt = members.join(blocks, by).withColumn("inner", F.col("root") == F.col("largest"))
+    dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("rep"), F.when(F.col("inner"), F.col("gb")).otherwise(F.col("mb"))).cast("int"))
     outer = F.sequence(F.lit(0), F.col("mb") - 1)
     met = F.when(
         F.col("inner"), F.transform(outer, lambda i: F.struct(i.alias("bi"), (-1 - F.col("mine")).alias("bj"), F.lit(1).alias("mine")))
@@ -212,7 +214,7 @@ def open_meetings(members: DataFrame, by: str, block: int = BLOCK) -> DataFrame:
             F.transform(F.sequence(F.lit(1), F.col("gb")), lambda j: F.struct(F.col("mine").alias("bi"), (-j).alias("bj"), F.lit(0).alias("mine"))),
         )
     )
-    return dealt.withColumn("at", F.explode(met)).drop("inner", "blocks", "gb", "mb", "mine").select("*", "at.*").drop("at")
+    return dealt.withColumn("at", F.explode(met)).drop("inner", "largest", "gb", "mb", "mine").select("*", "at.*").drop("at")
 
 
 def _meet(met: DataFrame, by: str, links: Callable[[pa.Table], list[tuple[int, int]]], payload: list[str]) -> DataFrame:
