@@ -99,6 +99,13 @@ def materialize_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "row", F.md5("text").alias("text_md5"), F.md5("source_text").alias("source_md5"))
 
 
+def materialize_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of every document; ``materialize_rows`` asks for the first four of each."""
+    docs = _docs(spark, sf_dir)
+    found = layout.materialize(docs, layout.walk(docs, UNBOUNDED, options=KEPT), KEPT)
+    return found.select("doc_id", "row", F.md5("text").alias("text_md5"), F.md5("source_text").alias("source_md5"))
+
+
 def layout_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.layout_rows(_docs(spark, sf_dir), UNBOUNDED, options=KEPT)
 
@@ -288,7 +295,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         line_stats_by_lang, sanitize_plain, quarantine_plain, normalize_normal, normalize_prewrap, text_width_narrow, text_width_ambiguous_wide,
-        tab_advance, walk_rows, walk_many_widths, materialize_rows, layout_rows, line_stats, prepare_segments, row_at, page_rows, tail_rows,
+        tab_advance, walk_rows, walk_many_widths, materialize_rows, materialize_all_rows, layout_rows, line_stats, prepare_segments, row_at, page_rows, tail_rows,
         index_stats, cursor_for_offset, project_offset, project_cell, project_range, selection_extract, ranges_at, ranges_overlap, ranges_append,
         search_literal, search_ignoring_case, search_whole_word, search_regex, search_scoped, search_limit, search_before_after, search_range,
         rich_visible, rich_spans, rich_fragments, rich_diagnostics, append_flow,
@@ -351,6 +358,7 @@ ORACLES = {
     "tab_advance": """SELECT event_id, CAST(8 - (event_id % 97) % 8 AS INT) AS advance8, CAST(3 - (event_id % 97) % 3 AS INT) AS advance3 FROM events""",
     "walk_rows": f"WITH {_lines_sql()} SELECT {_TOLD} FROM lined",
     "materialize_rows": f"WITH {_lines_sql()} SELECT doc_id, row, md5(line) AS text_md5, md5(line) AS source_md5 FROM lined WHERE row < 4",
+    "materialize_all_rows": f"WITH {_lines_sql()} SELECT doc_id, row, md5(line) AS text_md5, md5(line) AS source_md5 FROM lined",
     "layout_rows": f"WITH {_lines_sql()} SELECT doc_id, CAST(len(lines) AS INT) AS rows FROM parted",
     "line_stats": f"""WITH {_lines_sql()} SELECT p.doc_id, CAST(len(lines) AS INT) AS rows,
         CAST(coalesce(list_max(list_transform(lines, lambda l: length(l))), 0) AS INT) AS max_line_width FROM parted p""",
