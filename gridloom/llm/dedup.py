@@ -9,8 +9,9 @@ every chunk enumerates its possible errors as keys with one slot left out.
 
 Stages:
 
-1. sets: shingle sets are hashed; documents with equal sets form a class with its least id as
-   representative, so exact copies cost one row from here on.
+1. sets: shingle sets are hashed; documents with equal sets form a class, numbered ``rep``, with its
+   least id as ``first``, so exact copies cost one row from here on.  An id with several sets is in
+   several classes, each with its own signature and text.
 2. index: the keys of each representative meet in buckets.  Each member of a bucket is compared with
    the bucket's least member, which is linear.  In buckets that fall into several components by then,
    all members outside the largest component meet all others, in blocks of bounded size; a meeting
@@ -19,7 +20,7 @@ Stages:
 4. links on full shingle sets: a group is dealt to blocks, and each block, with the group's least
    member, is compared pair by pair.  Where a group of several blocks is not one component then, the
    members outside its largest component meet all others as above.
-5. components of the links, spread over classes.
+5. components of the links, spread over classes and named by their least id.
 
 No group is ever in one task as a whole, and no list of pairs of a group is made.
 
@@ -106,11 +107,11 @@ def index_keys(sig: np.ndarray, distance: int) -> np.ndarray:
 
 
 def _sketch(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (of equal sets; null for none), sig."""
+    """doc_id, text_key (a hash of the text), n_shingles, set_key (of equal sets; null for none), sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("doc_id"))
+            ids, text_keys = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text_key"))
             for first, end, offsets, data in tk.slices(tk.text_column(batch)):
                 sets = shingle_sets(offsets, data, size)
                 full = [s for s in sets if len(s)]
@@ -119,15 +120,17 @@ def _sketch(docs: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(first, end - first),
+                        text_keys.slice(first, end - first),
                         pa.array([len(s) for s in sets], type=pa.int64()),
                         pa.array([k for k, _ in rows], type=pa.binary()),
                         pa.array([s for _, s in rows], type=pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "set_key", "sig"],
+                    names=["doc_id", "text_key", "n_shingles", "set_key", "sig"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, set_key binary, sig binary")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    return keyed.mapInArrow(run, f"doc_id {kind}, text_key long, n_shingles long, set_key binary, sig binary")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -322,14 +325,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = storage.table(_sketch(docs, shingle), "sketch")
     known = sketch.filter("set_key is not null and doc_id is not null")
-    reps = storage.table(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig")), "classes")
-    # One id may have several rows with different sets, so an id may represent several sets; any of
-    # them stands for the id in the index, and all of them are in the full comparison.
+    classes = known.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("at"), F.min("sig").alias("sig"))
+    # Numbers are fixed by writing them; one id may be the least of several classes.
+    reps = storage.table(
+        classes.select("set_key", F.col("at.doc_id").alias("first"), F.col("at.text_key").alias("text_key"), "sig", F.monotonically_increasing_id().alias("rep")), "classes"
+    )
     keys = _bucket_keys(reps, distance)
     buckets = keys.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("n")).filter("least < most")
     shared = storage.table(keys.join(buckets.select("key", "least", "n"), "key"), "buckets")
     stars = shared.filter("rep <> least").select(F.col("least").alias("u"), F.col("rep").alias("v")).distinct()
-    sigs = reps.groupBy("rep").agg(F.min("sig").alias("sig"))
+    sigs = reps.select("rep", "sig")
     paired = stars.join(sigs.select(F.col("rep").alias("u"), F.col("sig").alias("sig_u")), "u").join(
         sigs.select(F.col("rep").alias("v"), F.col("sig").alias("sig_v")), "v"
     )
@@ -351,7 +356,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     more = storage.table(_meet(met, "key", _near_links(distance), ["root", "sig"]), "near")
     groups = storage.table(graph.components(near.unionAll(more)), "groups") if not more.isEmpty() else roots
     grouped = groups.select(F.col("node").alias("rep"), F.col("root").alias("grp"))
-    texts = storage.table(_class_texts(docs, reps, grouped), "texts")
+    repeated = not known.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    texts = storage.table(_class_texts(docs, reps, grouped, repeated), "texts")
     links = storage.table(_meet(own_blocks(texts, "grp"), "grp", _exact_links(shingle, percent), ["text"]), "links")
     linked = graph.components(links)
     # Groups of several blocks that are not one component yet.
@@ -362,17 +368,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         met = open_meetings(rooted, "grp").join(texts.select("rep", "text"), "rep")
         links = links.unionAll(storage.table(_meet(met, "grp", _exact_links(shingle, percent), ["root", "text"]), "links"))
         linked = graph.components(links)
-    # Ids of a class follow its representative.
-    ids = known.select("doc_id", "set_key").distinct().join(reps.select("set_key", "rep"), "set_key").select("doc_id", "rep")
+    # Ids of a class follow it.
+    ids = known.select("doc_id", "set_key").distinct().join(reps.select("set_key", "rep", "first"), "set_key").select("doc_id", "rep", "first")
     doubled = known.groupBy("doc_id").agg(F.count_distinct("set_key").alias("n")).filter("n > 1")
-    if not doubled.isEmpty():  # an id with several sets ties their classes together
+    if repeated and not doubled.isEmpty():  # an id with several sets ties their classes together
         ties = ids.join(doubled, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("rep").alias("u"), F.collect_set("rep").alias("all"))
         links = links.unionAll(ties.select("u", F.explode("all").alias("v")))
         linked = graph.components(links)
+    linked = linked.select(F.col("node").alias("rep"), "root")
+    named = linked.join(reps.select("rep", "first"), "rep").groupBy("root").agg(F.min("first").alias("name"))
     component = (
-        ids.join(linked.select(F.col("node").alias("rep"), "root"), "rep", "left")
+        ids.join(linked.join(named, "root").select("rep", "name"), "rep", "left")
         .groupBy("doc_id")
-        .agg(F.min(F.coalesce("root", "rep")).alias("component_id"))
+        .agg(F.min(F.coalesce("name", "first")).alias("component_id"))
     )
     component = component.filter("doc_id <> component_id")
     out = sketch.select("doc_id", "n_shingles").join(component, "doc_id", "left")
@@ -380,10 +388,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _class_texts(docs: DataFrame, reps: DataFrame, grouped: DataFrame) -> DataFrame:
-    """rep, grp and text of every class in a group."""
-    wanted = reps.join(grouped, "rep").select("rep", "grp")
-    return docs.withColumnRenamed("doc_id", "rep").join(wanted.distinct(), "rep").select("rep", "grp", "text")
+def _class_texts(docs: DataFrame, reps: DataFrame, grouped: DataFrame, repeated: bool) -> DataFrame:
+    """rep, grp and text of every class in a group: one row each, also where rows repeat an id."""
+    wanted = reps.join(grouped, "rep").select(F.col("first").alias("doc_id"), "text_key", "rep", "grp")
+    found = docs.withColumn("text_key", F.xxhash64("text")).join(wanted, ["doc_id", "text_key"]).select("rep", "grp", "text")
+    return found.dropDuplicates(["rep"]) if repeated else found
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:

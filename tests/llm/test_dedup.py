@@ -91,3 +91,20 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (7, 7)], "u long, v long")
     roots = {r.node: r.root for r in graph.components(edges).collect()}
     assert set(roots.values()) == {0, 1000} and len(roots) == 303
+
+
+def test_a_chain_of_texts_whose_rows_all_occur_twice(spark):
+    words = ["".join(random.Random(i).choices("abcdefghij", k=6)) for i in range(400)]
+    chain = [(i * 37 % 61, " ".join(words[3 * i : 3 * i + 110])) for i in range(60)]
+    found = dedup.near_duplicates(spark.createDataFrame(chain * 2, "doc_id long, text string"), 3, 85).collect()
+    assert len(found) == 120 and {r.component_id for r in found} == {0}
+
+
+def test_each_text_of_an_id_finds_its_partner(spark):
+    words = ["".join(random.Random(i).choices("abcdefghij", k=6)) for i in range(4000)]
+    rows = []
+    for k in range(10):
+        a, b = words[400 * k : 400 * k + 120], words[400 * k + 200 : 400 * k + 320]
+        rows += [(3 * k, " ".join(a)), (3 * k, " ".join(b)), (3 * k + 1, " ".join([*a[:-1], "x"])), (3 * k + 2, " ".join([*b[:-1], "x"]))]
+    found = dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: i // 3 * 3 for i in range(30)}
