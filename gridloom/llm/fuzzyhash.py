@@ -1,9 +1,10 @@
 """Context-triggered piecewise fingerprints and their likeness.
 
 A rolling hash over ``WINDOW`` bytes ends a chunk wherever its value plus one is a multiple of the
-block size; each chunk gives one of 64 letters.  The block size is the least 3 * 2**k whose
-``LETTERS`` blocks cover the text; it follows the length alone, so that texts of like length stay
-comparable.  A fingerprint is ``block:letters:letters at twice the block``; what lies beyond
+block size; each chunk gives one of 64 letters.  The block size starts at the least 3 * 2**k whose
+``LETTERS`` blocks cover the text, and is halved, down to ``LEAST_BLOCK``, while it ends fewer than
+``LETTERS`` / 2 chunks, as in texts of a repeated word, line or passage.  A text of one repeated byte
+or of very few distinct windows may have no boundary at the least block either; it keeps one letter.  A fingerprint is ``block:letters:letters at twice the block``; what lies beyond
 ``LETTERS`` - 1 chunks is one last chunk, so every byte counts.
 
 Two fingerprints are compared where their block sizes are equal or one is twice the other: one minus
@@ -86,6 +87,9 @@ def _fingerprints(texts: list[bytes]) -> list[str]:
             block *= 2
         own = rolled[a:b]
         ends = np.flatnonzero(own % block == 0)
+        while block > LEAST_BLOCK and len(ends) < LETTERS // 2:
+            block //= 2
+            ends = np.flatnonzero(own % block == 0)
         double = ends[own[ends] % (2 * block) == 0]
         out.append(f"{block}:{_letters(ends + (a + 1), a, b, total, down)}:{_letters(double + (a + 1), a, b, total, down)}")
     return out

@@ -60,3 +60,14 @@ def test_each_row_meets_the_next(spark, messy, none, monkeypatch):
         assert sorted(got, key=key) == sorted(plain(table), key=key)
     assert fh.compare_with_edited(none).count() == 0
     assert fh.fingerprint_documents(messy).count() == messy.count()
+
+
+def test_repeated_texts_get_enough_chunks():
+    r = random.Random(7)
+    for _ in range(40):
+        passage = "".join(r.choices("abcdefghij ", k=40))
+        block, letters, _ = fh.fingerprints([(passage * 120).encode()])[0].split(":")
+        assert len(letters) >= fh.LETTERS // 2 or int(block) == fh.LEAST_BLOCK
+    texts = [("".join(r.choices("abcdefghij ", k=80)) * 50).encode() for _ in range(20)]
+    own, cut = fh.fingerprints(texts), fh.fingerprints([t[: len(t) // 2] + b"another end" for t in texts])
+    assert fh.likeness(own, cut).min() > 0 and max(fh.likeness([own[0]] * 19, own[1:])) < 1
