@@ -1,7 +1,8 @@
 """Best-fit packing of texts into bins under conflicts.
 
 A text has a size in words.  A bin holds at most ``CAPACITY`` words and never two texts of the same
-source nor two of the same duplicate cluster.  A longer text is cut into pieces of a bin's capacity,
+source nor two of the same duplicate cluster, which is a component of near-duplicate texts (five-word
+shingles, similarity of 0.8 or more).  A longer text is cut into pieces of a bin's capacity,
 each a bin of its own, and a last piece that is packed like any other.  Nothing is dropped.
 
 Texts are dealt by a hash of their id to shards of about ``SHARD_TEXTS`` texts, as many as the input
@@ -22,10 +23,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm import dedup, storage
 from gridloom.llm import textkit as tk
 
 CAPACITY = 1024
@@ -59,29 +60,37 @@ def pack(items: Iterable[tuple[int, int, int]], capacity: int) -> list[int]:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, source, n_words and cluster: texts with equal lower-cased words are duplicates."""
+    """doc_id, source, text_key (a hash of the text), n_words and cluster (null for texts without words).
+
+    Texts, not ids, are compared, so rows without id and rows that repeat one have clusters too.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            passed = [batch.column(0), batch.column(1)]
+            passed = [batch.column(i) for i in range(3)]
             for first, end, offsets, data in tk.slices(tk.text_column(batch)):
                 words = tk.Words(offsets, tk.LOWER[data])
-                hashes = words.hashes()
-                keys = [xxhash.xxh3_64_intdigest(hashes[a:b].tobytes()) - (1 << 63) if b > a else None for a, b in zip(words.rows[:-1].tolist(), words.rows[1:].tolist(), strict=True)]
-                arrays = [c.slice(first, end - first) for c in passed] + [pa.array(words.counts().astype(np.int64)), pa.array(keys, type=pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "source", "n_words", "cluster"])
+                arrays = [c.slice(first, end - first) for c in passed] + [pa.array(words.counts().astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "source", "text_key", "n_words"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
-    return source.mapInArrow(run, "doc_id long, source string, n_words long, cluster long")
+    key = F.xxhash64("text").alias("text_key")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), key, "text")
+    sized = source.mapInArrow(run, "doc_id long, source string, text_key long, n_words long")
+    near = dedup.near_duplicates(docs.select(key.alias("doc_id"), "text"))
+    # A text that is like no other is a cluster of its own, named by its key.
+    clusters = near.filter("doc_id <> component_id").select(F.col("doc_id").alias("text_key"), F.col("component_id").alias("cluster")).distinct()
+    told = sized.join(clusters, "text_key", "left").withColumn("cluster", F.when(F.col("n_words") > 0, F.coalesce("cluster", "text_key")))
+    return storage.table(told.select("doc_id", "source", "text_key", "n_words", "cluster"), "measured")
 
 
 def best_fit(measured: DataFrame, capacity: int = CAPACITY, shard_texts: int = SHARD_TEXTS) -> DataFrame:
     """doc_id, n_words, piece, start, end (words of the text), bin_id, bin_offset of every piece."""
     shards = max(1, -(-measured.count() // shard_texts))
     placed = (
-        measured.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)).cast("long"))
+        measured.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(shards)).cast("long"))
         .repartition("shard")
         .sortWithinPartitions("shard", "doc_id", "n_words", "cluster", "source")
+        .select("doc_id", "source", "n_words", "cluster", "shard")
     )
 
     def shard_rows(shard: int, cols: list[list]) -> pa.RecordBatch:

@@ -64,3 +64,20 @@ def test_messy_and_empty_tables(messy, none):
     assert {f.doc_id for f in found if f.bin_id is None} == {3, 4, 6}
     assert sum(f.piece == 0 for f in found) == messy.count()
     assert packing.pack_documents(none).count() == 0
+
+
+def test_no_bin_holds_two_near_copies(spark):
+    r = random.Random(9)
+    words = ["w%d" % i for i in range(3000)]
+    rows, group = [], {}
+    for k in range(6):
+        base = r.sample(words, 60)
+        for n in range(5):
+            i = None if (k, n) == (0, 0) else 5 * k + n
+            rows.append((i, " ".join([*base[:-1], f"x{n}"]), f"s{5 * k + n}"))
+            group[i] = k
+    found = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    held = defaultdict(list)
+    for f in found:
+        held[f.bin_id].append(group[f.doc_id])
+    assert len(found) == len(rows) and all(len(m) == len(set(m)) for m in held.values())
