@@ -70,6 +70,21 @@ def text_width_ambiguous_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).select("doc_id", "line", layout.text_width(F.col("text"), wide).alias("width"))
 
 
+def _all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of both text tables."""
+    named = lambda frame, name: frame.select(F.lit(name).alias("source_table"), "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return named(_items(spark, sf_dir), "benchmark").unionAll(named(_docs(spark, sf_dir), "documents"))
+
+
+def text_width_narrow_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _all_lines(spark, sf_dir).select("source_table", "doc_id", "line", layout.text_width(F.col("text")).alias("width"))
+
+
+def text_width_ambiguous_wide_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = WidthProfile(name="wide", ambiguous="wide")
+    return _all_lines(spark, sf_dir).select("source_table", "doc_id", "line", layout.text_width(F.col("text"), wide).alias("width"))
+
+
 def tab_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
     column = (F.col("event_id") % 97).cast("int")
@@ -119,6 +134,11 @@ def prepare_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id", "source_len", F.col("s.kind").alias("kind")).agg(F.sum(F.length("s.text")).alias("chars"))
 
 
+def prepare_segments_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = layout.prepare(_docs(spark, sf_dir), KEPT).select("doc_id", "source_len", F.explode("segments").alias("s"))
+    return found.groupBy("doc_id", "source_len", F.col("s.kind").alias("kind")).agg(F.sum(F.length("s.text")).alias("chars"))
+
+
 def row_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _told(rows.row_at(_line_rows(spark, sf_dir), 2))
 
@@ -173,6 +193,42 @@ def selection_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "source_text", "visible_text", F.size("visible_rows").alias("visible_rows"))
 
 
+def _asked_within(docs: DataFrame) -> DataFrame:
+    """Offsets that follow each text's length: its start, middle, end and beyond."""
+    n = F.length("text")
+    spots = F.array_distinct(F.array(F.lit(0), F.floor(n / 2).cast("int"), n, n + 9))
+    return docs.filter("text is not null").select("doc_id", F.explode(spots).alias("offset"))
+
+
+def _middle(docs: DataFrame) -> DataFrame:
+    """The middle half of each text."""
+    n, quarter = F.length("text"), F.floor(F.length("text") / 4).cast("int")
+    return docs.filter("text is not null").select("doc_id", quarter.alias("q_start"), (n - quarter).alias("q_end"))
+
+
+def cursor_for_offset_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return projection.cursor_for_offset(layout.clusters(docs, KEPT), _asked_within(docs)).select("doc_id", "offset", "src_offset", "exact")
+
+
+def project_offset_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    found = projection.project_offset(docs, _asked_within(docs), UNBOUNDED, options=KEPT)
+    return found.select("doc_id", "offset", "row", "column", "src_offset", "exact", "at_end")
+
+
+def project_range_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    found = projection.project_range(docs, _middle(docs), UNBOUNDED, options=KEPT)
+    return found.select("doc_id", "row", "src_start", "src_end", "start_col", "end_col")
+
+
+def selection_extract_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    found = projection.extract(docs, _middle(docs), UNBOUNDED, options=KEPT)
+    return found.select("doc_id", F.md5("source_text").alias("source_md5"), F.md5("visible_text").alias("visible_md5"), F.size("visible_rows").alias("visible_rows"))
+
+
 def _line_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     start = (F.col("l_linenumber") * 3).cast("int")
@@ -299,6 +355,8 @@ QUERIES = {
         index_stats, cursor_for_offset, project_offset, project_cell, project_range, selection_extract, ranges_at, ranges_overlap, ranges_append,
         search_literal, search_ignoring_case, search_whole_word, search_regex, search_scoped, search_limit, search_before_after, search_range,
         rich_visible, rich_spans, rich_fragments, rich_diagnostics, append_flow,
+        text_width_narrow_all, text_width_ambiguous_wide_all, prepare_segments_documents, cursor_for_offset_documents,
+        project_offset_documents, project_range_documents, selection_extract_documents,
     )
 }
 
@@ -342,6 +400,11 @@ _RANGES = """
             l_linenumber * 3 + CAST(l_quantity % 11 AS INT) AS src_end
         FROM lineitem
     )"""
+_ALL_LINES = """p AS (SELECT 'benchmark' AS source_table, item_id AS doc_id, string_split(text, chr(10)) AS l FROM benchmark
+            UNION ALL SELECT 'documents', doc_id, string_split(text, chr(10)) FROM documents),
+        q AS (SELECT source_table, doc_id, unnest(range(len(l))) AS line, unnest(l) AS t FROM p)"""
+_WITHIN = """asked AS (SELECT doc_id, text, unnest(list_distinct([0, length(text) // 2, length(text), length(text) + 9])) AS "offset"
+        FROM documents WHERE text IS NOT NULL)"""
 _ASKED = "asked AS (SELECT item_id AS doc_id, text, unnest([0, 7, 60, 333, 100000]) AS \"offset\" FROM benchmark)"
 
 ORACLES = {
@@ -423,4 +486,21 @@ ORACLES = {
         SELECT doc_id, seq, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seq, text) - 1 AS INT) AS generation, CAST(length(text) AS INT) AS appended,
             CAST(coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY seq, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS stable_prefix,
             CAST(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY seq, text) AS INT) AS length FROM t""",
+    "text_width_narrow_all": f"WITH {_ALL_LINES} SELECT source_table, doc_id, CAST(line AS INT) AS line, CAST(length(t) AS INT) AS width FROM q",
+    "text_width_ambiguous_wide_all": f"""WITH {_ALL_LINES} SELECT source_table, doc_id, CAST(line AS INT) AS line,
+        CAST(length(t) + len(regexp_extract_all(t, '[ÆÐ×ØÞßàáæèéêìíðòó÷øùúüþ]')) AS INT) AS width FROM q""",
+    "prepare_segments_documents": """WITH c AS (SELECT doc_id, CAST(length(text) AS INT) AS source_len, unnest(string_split(text, '')) AS ch FROM documents)
+        SELECT doc_id, source_len, CASE ch WHEN ' ' THEN 'preserved-space' WHEN chr(10) THEN 'hard-break' ELSE 'text' END AS kind,
+            count(*) AS chars FROM c WHERE ch <> '' GROUP BY ALL""",
+    "cursor_for_offset_documents": f"""WITH {_WITHIN} SELECT doc_id, CAST("offset" AS INT) AS "offset",
+        CAST(least("offset", length(text)) AS INT) AS src_offset, "offset" <= length(text) AS exact FROM asked""",
+    "project_offset_documents": f"""WITH {_WITHIN}, placed AS (
+            SELECT *, least("offset", length(text)) AS spot, text[1:least("offset", length(text))] AS head FROM asked
+        ) SELECT doc_id, CAST("offset" AS INT) AS "offset", CAST(length(head) - length(replace(head, chr(10), '')) AS INT) AS row,
+            CAST(length(list_last(string_split(head, chr(10)))) AS INT) AS "column", CAST(spot AS INT) AS src_offset,
+            "offset" <= length(text) AS exact, spot = length(text) AS at_end FROM placed""",
+    "project_range_documents": f"""WITH {_lines_sql()}, cut AS (
+            SELECT *, greatest(src_start, length(text) // 4) AS lo, least(src_end, length(text) - length(text) // 4) AS hi FROM lined
+        ) SELECT doc_id, row, CAST(lo AS INT) AS src_start, CAST(hi AS INT) AS src_end, CAST(lo - src_start AS INT) AS start_col,
+            CAST(hi - src_start AS INT) AS end_col FROM cut WHERE lo < hi""",
 }

@@ -23,3 +23,20 @@ def test_all_rows_are_materialized(spark, tables):
     digest = lambda t: hashlib.md5(t.encode()).hexdigest()
     told = {(i, n, digest(t), digest(t)) for i, text in docs.items() for n, t in enumerate(text.split("\n"))}
     assert {tuple(r) for r in registry.QUERIES["materialize_all_rows"](spark, top).collect()} == told
+
+
+def test_projections_and_widths_see_documents(spark, tables):
+    top, docs, items = tables
+    found = lambda name, *cols: {tuple(r) for r in registry.QUERIES[name](spark, top).select(*cols).collect()}
+    lines = {(table, i, n, len(t)) for table, texts in (("documents", docs), ("benchmark", items)) for i, text in texts.items() for n, t in enumerate(text.split("\n"))}
+    for name in ("text_width_narrow_all", "text_width_ambiguous_wide_all"):
+        assert found(name, "source_table", "doc_id", "line", "width") == lines
+    spots = {(i, o, min(o, len(t)), o <= len(t)) for i, t in docs.items() for o in (0, len(t) // 2, len(t), len(t) + 9)}
+    for name in ("cursor_for_offset_documents", "project_offset_documents"):
+        assert found(name, "doc_id", "offset", "src_offset", "exact") == spots
+    middle = {i: t[len(t) // 4 : len(t) - len(t) // 4] for i, t in docs.items()}
+    digest = lambda t: hashlib.md5(t.encode()).hexdigest()
+    assert found("selection_extract_documents", "doc_id", "source_md5") == {(i, digest(t)) for i, t in middle.items()}
+    ranged = registry.QUERIES["project_range_documents"](spark, top).collect()
+    assert {i: sum(r.src_end - r.src_start for r in ranged if r.doc_id == i) for i in docs} == {i: len(t.replace("\n", "")) for i, t in middle.items()}
+    assert {r[0] for r in found("prepare_segments_documents", "doc_id")} == set(docs)
