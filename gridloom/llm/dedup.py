@@ -14,11 +14,11 @@ Stages:
    several classes, each with its own signature and text.
 2. index: the keys of each representative meet in buckets.  Each member of a bucket is compared with
    the bucket's least member, which is linear.  In buckets that fall into several components by then,
-   all members outside the largest component meet all others, in blocks of bounded size; a meeting
-   gives back a forest.
+   all members outside the largest component meet all others, in blocks of ``SIG_BLOCK`` signatures;
+   a meeting gives back a forest.
 3. groups: components of near signatures hold all candidate pairs.
-4. links on full shingle sets: a group is dealt to blocks, and each block, with the group's least
-   member, is compared pair by pair.  Where a group of several blocks is not one component then, the
+4. links on full shingle sets: a group is dealt to blocks of ``BLOCK`` texts or ``BLOCK_BYTES``, and
+   each block, with the group's least member, is compared pair by pair.  Where a group of several blocks is not one component then, the
    members outside its largest component meet all others as above.
 5. components of the links, spread over classes and named by their least id.
 
@@ -47,8 +47,10 @@ SLOTS = 64
 BITS = 16
 #: The chance at most of a pair at the threshold to differ in more slots than the index covers.
 MISS = 2e-6
-#: Members of a block; two blocks meet at a time.
-BLOCK = 64
+#: Texts of a block and their bytes; two blocks meet at a time.
+BLOCK, BLOCK_BYTES = 256, 4 << 20
+#: Signatures of a block (128 bytes each), and how many are compared with the other side at once.
+SIG_BLOCK, TILE = 4096, 256
 
 _RNG = np.random.default_rng(77)
 _MULT = _RNG.integers(1, 1 << 31, SLOTS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -178,48 +180,70 @@ def _forest(ids: np.ndarray, first: np.ndarray, second: np.ndarray) -> list[tupl
     return [(int(ids[i]), int(ids[j])) for i, j in zip(first.tolist(), second.tolist(), strict=True) if forest.tie(i, j)]
 
 
+def _blocks(count, size, block: int):
+    """How many blocks hold so many members of so many bytes."""
+    return F.greatest(F.ceil(count / F.lit(block)), F.ceil(size / F.lit(BLOCK_BYTES)), F.lit(1)).cast("int")
+
+
 def own_blocks(members: DataFrame, by: str, block: int = BLOCK) -> DataFrame:
     """Each member in its block of its group (bi = bj), and the group's least member in all of them.
 
-    Members are dealt to ceil(size / block) blocks by a hash of their id.
+    Members are dealt by a hash of their id to as many blocks as bound both members and ``bytes``.
     """
-    sizes = members.groupBy(by).agg(F.min("rep").alias("least"), F.count("*").alias("size")).filter("size > 1")
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    dealt = members.join(sizes.select(by, "least", blocks.alias("blocks")), by)
+    sizes = members.groupBy(by).agg(F.min("rep").alias("least"), F.count("*").alias("size"), F.sum("bytes").alias("all_bytes")).filter("size > 1")
+    dealt = members.join(sizes.select(by, "least", _blocks(F.col("size"), F.col("all_bytes"), block).alias("blocks")), by)
     to = F.when(F.col("rep") == F.col("least"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(
         F.array(F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     )
     return dealt.withColumn("bi", F.explode(to)).withColumn("bj", F.col("bi")).withColumn("mine", F.col("bi")).drop("least", "blocks")
 
 
-def open_meetings(members: DataFrame, by: str, block: int = BLOCK) -> DataFrame:
+def open_meetings(members: DataFrame, by: str, block: int) -> DataFrame:
     """Meetings of blocks for all pairs of members with different ``root`` in a group.
 
     The largest component's members have no business with each other, so only the members outside it
-    are sent to several meetings: each of their blocks meets each other one (bj >= 0) and each block of
-    the largest component (bj < 0).
+    are sent to several meetings: each of their blocks meets each later one (bj > bi) and each block of
+    the largest component (bj < 0); its own pairs are compared where it meets the first of these
+    (bj = -1).  Where each side is one block, as in nearly all groups, every member is sent once.
     """
-    counts = members.groupBy(by, "root").agg(F.count("*").alias("n"))
+    counts = members.groupBy(by, "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("size"))
     groups = counts.groupBy(by).agg(
-        F.max_by("root", F.struct("n", "root")).alias("largest"), F.max("n").alias("n_largest"), F.sum("n").alias("n_all"), F.count("*").alias("roots")
+        F.max_by(F.struct("root", "n", "size"), F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("*").alias("roots")
     )
     blocks = groups.filter("roots > 1").select(
-        by, "largest", F.ceil(F.col("n_largest") / block).cast("int").alias("gb"), F.ceil((F.col("n_all") - F.col("n_largest")) / block).cast("int").alias("mb")
+        by,
+        F.col("top.root").alias("largest"),
+        _blocks(F.col("top.n"), F.col("top.size"), block).alias("gb"),
+        _blocks(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size"), block).alias("mb"),
     )
     dealt = members.join(blocks, by).withColumn("inner", F.col("root") == F.col("largest"))
     dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("rep"), F.when(F.col("inner"), F.col("gb")).otherwise(F.col("mb"))).cast("int"))
     outer = F.sequence(F.lit(0), F.col("mb") - 1)
     met = F.when(
-        F.col("inner"), F.transform(outer, lambda i: F.struct(i.alias("bi"), (-1 - F.col("mine")).alias("bj"), F.lit(1).alias("mine")))
+        F.col("inner"), F.transform(outer, lambda i: F.struct(i.alias("bi"), (-1 - F.col("mine")).alias("bj"), F.lit(-1).alias("mine")))
     ).otherwise(
         F.concat(
-            F.transform(outer, lambda i: F.struct(F.least(i, "mine").alias("bi"), F.greatest(i, "mine").alias("bj"), F.col("mine").alias("mine"))),
-            F.transform(F.sequence(F.lit(1), F.col("gb")), lambda j: F.struct(F.col("mine").alias("bi"), (-j).alias("bj"), F.lit(0).alias("mine"))),
+            F.transform(
+                F.filter(outer, lambda i: i != F.col("mine")),
+                lambda i: F.struct(F.least(i, "mine").alias("bi"), F.greatest(i, "mine").alias("bj"), F.col("mine").alias("mine")),
+            ),
+            F.transform(F.sequence(F.lit(1), F.col("gb")), lambda j: F.struct(F.col("mine").alias("bi"), (-j).alias("bj"), F.col("mine").alias("mine"))),
         )
     )
     return dealt.withColumn("at", F.explode(met)).drop("inner", "largest", "gb", "mb", "mine").select("*", "at.*").drop("at")
 
 
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the members that are compared with each other in a meeting."""
+    mine = table["mine"].to_numpy()
+    bi, bj = table["bi"][0].as_py(), table["bj"][0].as_py()
+    every = np.arange(len(mine))
+    if bi == bj:
+        return every, every
+    own = mine == bi
+    return every[own], every if bj == -1 else every[~own]
+
+
 def _meet(met: DataFrame, by: str, links: Callable[[pa.Table], list[tuple[int, int]]], payload: list[str]) -> DataFrame:
     """Runs ``links`` on the members of each meeting; gives edges u, v."""
     keys = [by, "bi", "bj"]
@@ -239,26 +263,29 @@ def _sig_matrix(column) -> np.ndarray:
 
 
 def _near_links(distance: int) -> Callable[[pa.Table], list[tuple[int, int]]]:
-    """Forest of the pairs of different components within the distance, in one meeting of two blocks."""
+    """Forest of the pairs of different components within the distance, in one meeting."""
 
     def links(table: pa.Table) -> list[tuple[int, int]]:
-        ids, root = table["rep"].to_numpy(), table["root"].to_numpy()
-        sig, mine = _sig_matrix(table["sig"]), table["mine"].to_numpy()
-        differ = np.zeros((len(ids), len(ids)), dtype=np.int16)
-        for i in range(SLOTS):
-            differ += sig[:, i][:, None] != sig[:, i][None, :]
-        ok = (differ <= distance) & (root[:, None] != root[None, :])
-        if table["bi"][0].as_py() != table["bj"][0].as_py():
-            ok &= mine[:, None] != mine[None, :]
-        return _forest(ids, *np.nonzero(np.triu(ok, 1)))
+        ids, root, sig = table["rep"].to_numpy(), table["root"].to_numpy(), _sig_matrix(table["sig"])
+        one, two = _sides(table)
+        slots = np.ascontiguousarray(sig[two].T)
+        forest, found = _Forest(len(ids)), []
+        for at in range(0, len(one), TILE):
+            tile = one[at : at + TILE]
+            differ = np.zeros((len(tile), len(two)), dtype=np.uint8)
+            for i in range(SLOTS):
+                differ += sig[tile, i][:, None] != slots[i][None, :]
+            first, second = np.nonzero((differ <= distance) & (root[tile][:, None] != root[two][None, :]))
+            found += [(int(ids[i]), int(ids[j])) for i, j in zip(tile[first].tolist(), two[second].tolist(), strict=True) if forest.tie(i, j)]
+        return found
 
     return links
 
 
 def _exact_links(size: int, percent: int) -> Callable[[pa.Table], list[tuple[int, int]]]:
     def links(table: pa.Table) -> list[tuple[int, int]]:
-        ids, mine = table["rep"].to_numpy(), table["mine"].to_numpy()
-        bi, bj = table["bi"][0].as_py(), table["bj"][0].as_py()
+        ids = table["rep"].to_numpy()
+        one, two = _sides(table)
         sets: list[np.ndarray] = []
         for chunk in table["text"].chunks:
             for _, _, offsets, data in tk.slices(chunk.fill_null("")):
@@ -270,7 +297,7 @@ def _exact_links(size: int, percent: int) -> Callable[[pa.Table], list[tuple[int
         ranked = flat[order]
         column = np.cumsum(np.concatenate([[0], (ranked[1:] != ranked[:-1]).astype(np.int64)]))
         owner = owner[order]
-        shared = np.zeros((len(sets), len(sets)), dtype=np.float32)
+        shared = np.zeros((len(one), len(two)), dtype=np.float32)
         # Intersections as products of 0/1 matrices, a bounded number of shingles at a time.
         step = 4096
         bounds = np.searchsorted(column, np.arange(0, column[-1] + 1 + step, step))
@@ -278,16 +305,15 @@ def _exact_links(size: int, percent: int) -> Callable[[pa.Table], list[tuple[int
             if b > a:
                 has = np.zeros((len(sets), step), dtype=np.float32)
                 has[owner[a:b], column[a:b] - k * step] = 1.0
-                shared += has @ has.T
+                shared += has[one] @ has[two].T
         inter = shared.astype(np.int64)
-        union = sizes[:, None] + sizes[None, :] - inter
-        ok = 100 * inter >= percent * union
+        union = sizes[one][:, None] + sizes[two][None, :] - inter
+        ok = (100 * inter >= percent * union) & (one[:, None] != two[None, :])
         if "root" in table.column_names:
             root = table["root"].to_numpy()
-            ok &= root[:, None] != root[None, :]
-        if bi != bj:
-            ok &= mine[:, None] != mine[None, :]
-        return _forest(ids, *np.nonzero(np.triu(ok, 1)))
+            ok &= root[one][:, None] != root[two][None, :]
+        first, second = np.nonzero(ok)
+        return _forest(ids, one[first], two[second])
 
     return links
 
@@ -323,6 +349,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     ``percent`` / 100 or more on sets of ``shingle`` words; ids must be integers."""
     distance = max_distance(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    held = storage.Scratch(docs.sparkSession)
     sketch = storage.table(_sketch(docs, shingle), "sketch")
     known = sketch.filter("set_key is not null and doc_id is not null")
     classes = known.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("at"), F.min("sig").alias("sig"))
@@ -332,42 +359,43 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     )
     keys = _bucket_keys(reps, distance)
     buckets = keys.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("n")).filter("least < most")
-    shared = storage.table(keys.join(buckets.select("key", "least", "n"), "key"), "buckets")
+    shared = held.table(keys.join(buckets.select("key", "least", "n"), "key"), "buckets")
     stars = shared.filter("rep <> least").select(F.col("least").alias("u"), F.col("rep").alias("v")).distinct()
     sigs = reps.select("rep", "sig")
     paired = stars.join(sigs.select(F.col("rep").alias("u"), F.col("sig").alias("sig_u")), "u").join(
         sigs.select(F.col("rep").alias("v"), F.col("sig").alias("sig_v")), "v"
     )
-    judged = storage.table(_distance(paired, distance), "stars")
+    judged = held.table(_distance(paired, distance), "stars")
     near = judged.filter("not far").select("u", "v")
     # Buckets of three and more with a member that is far from the least one.
     mixed = shared.filter("n > 2 and rep <> least").join(
         judged.filter("far").select(F.col("u").alias("least"), F.col("v").alias("rep")), ["least", "rep"], "left_semi"
     ).select("key").distinct()
-    roots = storage.table(graph.components(near), "roots")
+    roots = held.table(graph.components(near), "roots")
     members = (
         shared.join(mixed, "key", "left_semi")
         .select("key", "rep")
         .distinct()
         .join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-        .withColumn("root", F.coalesce("root", "rep"))
+        .select("key", "rep", F.coalesce("root", "rep").alias("root"), F.lit(2 * SLOTS).alias("bytes"))
     )
-    met = open_meetings(members, "key").join(sigs, "rep")
-    more = storage.table(_meet(met, "key", _near_links(distance), ["root", "sig"]), "near")
-    groups = storage.table(graph.components(near.unionAll(more)), "groups") if not more.isEmpty() else roots
+    met = open_meetings(members, "key", SIG_BLOCK).join(sigs, "rep")
+    more = held.table(_meet(met, "key", _near_links(distance), ["root", "sig"]), "near")
+    groups = held.table(graph.components(near.unionAll(more)), "groups") if not more.isEmpty() else roots
     grouped = groups.select(F.col("node").alias("rep"), F.col("root").alias("grp"))
     repeated = not known.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    texts = storage.table(_class_texts(docs, reps, grouped, repeated), "texts")
-    links = storage.table(_meet(own_blocks(texts, "grp"), "grp", _exact_links(shingle, percent), ["text"]), "links")
+    texts = held.table(_class_texts(docs, reps, grouped, repeated), "texts")
+    links = storage.table(_meet(own_blocks(texts, "grp", BLOCK), "grp", _exact_links(shingle, percent), ["text"]), "links")
     linked = graph.components(links)
     # Groups of several blocks that are not one component yet.
-    large = grouped.groupBy("grp").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("grp")
+    large = texts.groupBy("grp").agg(F.count("*").alias("n"), F.sum("bytes").alias("size")).filter(_blocks(F.col("n"), F.col("size"), BLOCK) > 1).select("grp")
     if not large.isEmpty():
-        rooted = grouped.join(large, "grp", "left_semi").join(linked.select(F.col("node").alias("rep"), "root"), "rep", "left")
-        rooted = storage.table(rooted.withColumn("root", F.coalesce("root", "rep")), "rooted")
-        met = open_meetings(rooted, "grp").join(texts.select("rep", "text"), "rep")
+        rooted = texts.select("rep", "grp", "bytes").join(large, "grp", "left_semi").join(linked.select(F.col("node").alias("rep"), "root"), "rep", "left")
+        rooted = held.table(rooted.withColumn("root", F.coalesce("root", "rep")), "rooted")
+        met = open_meetings(rooted, "grp", BLOCK).join(texts.select("rep", "text"), "rep")
         links = links.unionAll(storage.table(_meet(met, "grp", _exact_links(shingle, percent), ["root", "text"]), "links"))
         linked = graph.components(links)
+    held.clear()
     # Ids of a class follow it.
     ids = known.select("doc_id", "set_key").distinct().join(reps.select("set_key", "rep", "first"), "set_key").select("doc_id", "rep", "first")
     doubled = known.groupBy("doc_id").agg(F.count_distinct("set_key").alias("n")).filter("n > 1")
@@ -377,8 +405,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         linked = graph.components(links)
     linked = linked.select(F.col("node").alias("rep"), "root")
     named = linked.join(reps.select("rep", "first"), "rep").groupBy("root").agg(F.min("first").alias("name"))
+    named = linked.join(graph.apart(named, "root", "of"), F.col("root") == F.col("of")).select("rep", "name")
     component = (
-        ids.join(linked.join(named, "root").select("rep", "name"), "rep", "left")
+        ids.join(named, "rep", "left")
         .groupBy("doc_id")
         .agg(F.min(F.coalesce("name", "first")).alias("component_id"))
     )
@@ -391,7 +420,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 def _class_texts(docs: DataFrame, reps: DataFrame, grouped: DataFrame, repeated: bool) -> DataFrame:
     """rep, grp and text of every class in a group: one row each, also where rows repeat an id."""
     wanted = reps.join(grouped, "rep").select(F.col("first").alias("doc_id"), "text_key", "rep", "grp")
-    found = docs.withColumn("text_key", F.xxhash64("text")).join(wanted, ["doc_id", "text_key"]).select("rep", "grp", "text")
+    found = docs.withColumn("text_key", F.xxhash64("text")).join(wanted, ["doc_id", "text_key"]).select("rep", "grp", F.octet_length("text").alias("bytes"), "text")
     return found.dropDuplicates(["rep"]) if repeated else found
 
 

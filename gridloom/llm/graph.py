@@ -2,7 +2,7 @@
 
 Each step is a few joins and aggregations on node keys; nothing is collected but two numbers that
 tell whether the edges still change.  Hubs are handled by partial aggregation and by the splitting
-of skewed join partitions.
+of skewed join partitions (see ``apart``).  The edges of a step are deleted when the next ones are written.
 """
 
 from __future__ import annotations
@@ -20,13 +20,21 @@ def _state(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
+def apart(frame: DataFrame, key: str, name: str) -> DataFrame:
+    """The frame with its key under another name, as an expression that the planner does not take for the
+    key by which the frame has been aggregated.  A join on it exchanges both sides for itself, and only
+    such a join can have a hub's partition split by adaptive execution."""
+    return frame.withColumn(name, F.col(key).bitwiseXOR(F.lit(0).cast("long"))).drop(key)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node that has an edge; root is the smallest node it can reach.
 
     ``edges`` has two columns u and v; loops, repeats and either direction are allowed.
     """
-    e = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = storage.table(e, "edges")
+    first = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    held = storage.Scratch(edges.sparkSession)
+    e = held.table(first, "edges")
     before = _state(e)
     for _ in range(MAX_ROUNDS):
         if not before[0]:
@@ -34,12 +42,16 @@ def components(edges: DataFrame) -> DataFrame:
         # Large star: every larger neighbour of u is tied to the least of u and its neighbours.
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.join(apart(least, "u", "w"), F.col("u") == F.col("w")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.filter("u <> v").distinct()
         # Small star: u and its smaller neighbours are tied to the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
+        joined = large.join(apart(low, "u", "w"), F.col("u") == F.col("w"))
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
-        e = storage.table(small.filter("u <> v").distinct(), "edges")
+        step = storage.Scratch(edges.sparkSession)
+        e = step.table(small.filter("u <> v").distinct(), "edges")
+        held.clear()
+        held = step
         after = _state(e)
         if after == before:
             break

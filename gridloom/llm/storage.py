@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; set to a fresh folder only if nothing has set it."""
+    """spark.checkpoint.dir of the session; a fresh local folder only if nothing has set it and all tasks
+    run in this process (as in tests).  On a cluster a local folder would not be shared: an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="gridloom-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(configured)
@@ -30,6 +34,24 @@ def table(frame: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that only feed others: deleted together once those are written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def table(self, frame: DataFrame, what: str) -> DataFrame:
+        path = fresh(self.spark, what)
+        self.paths.append(path)
+        frame.write.parquet(path)
+        return self.spark.read.schema(frame.schema).parquet(path)
+
+    def clear(self) -> None:
+        for path in self.paths:
+            drop(self.spark, path)
+        self.paths = []
+
+
 def drop(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -46,11 +46,11 @@ def copies():
     return [(i * 7 % 1009, t) for i, t in enumerate(docs)]
 
 
-@pytest.mark.parametrize(("size", "percent", "block"), [(3, 85, 64), (3, 85, 8), (5, 80, 16)])
+@pytest.mark.parametrize(("size", "percent", "block"), [(3, 85, 256), (3, 85, 8), (5, 80, 16)])
 def test_components_are_those_of_all_pairs(spark, copies, monkeypatch, size, percent, block):
     monkeypatch.setattr(dedup, "BLOCK", block)
-    for f in (dedup.own_blocks, dedup.open_meetings):
-        monkeypatch.setattr(f, "__defaults__", (block,))
+    monkeypatch.setattr(dedup, "SIG_BLOCK", block)
+    monkeypatch.setattr(dedup, "TILE", block // 2)
     found = dedup.near_duplicates(spark.createDataFrame(copies, "doc_id long, text string"), size, percent).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute(copies, size, percent)
     assert all(r.kept == (r.doc_id == r.component_id) for r in found)
@@ -108,3 +108,22 @@ def test_each_text_of_an_id_finds_its_partner(spark):
         rows += [(3 * k, " ".join(a)), (3 * k, " ".join(b)), (3 * k + 1, " ".join([*a[:-1], "x"])), (3 * k + 2, " ".join([*b[:-1], "x"]))]
     found = dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
     assert {r.doc_id: r.component_id for r in found} == {i: i // 3 * 3 for i in range(30)}
+
+
+def test_blocks_are_bounded_by_bytes_too(spark, copies, monkeypatch):
+    monkeypatch.setattr(dedup, "BLOCK_BYTES", 4000)
+    found = dedup.near_duplicates(spark.createDataFrame(copies, "doc_id long, text string"), 3, 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute(copies, 3, 85)
+
+
+@pytest.mark.parametrize("block", [1, 2, 5, 100])
+def test_meetings_hold_every_pair_of_different_components_once_or_more(spark, block):
+    rows = [("g", i, 0 if i < 20 else i - i % 3, 1) for i in range(33)] + [("h", 1, 1, 1), ("h", 2, 1, 1)]
+    met = dedup.open_meetings(spark.createDataFrame(rows, "grp string, rep long, root long, bytes int"), "grp", block)
+    seen = set()
+    for table in dedup._runs(iter(met.orderBy("grp", "bi", "bj").toArrow().to_batches()), ("grp", "bi", "bj")):
+        one, two = dedup._sides(table)
+        ids, root = table["rep"].to_numpy(), table["root"].to_numpy()
+        seen |= {(*sorted((int(ids[i]), int(ids[j]))),) for i in one for j in two if root[i] != root[j]}
+    root = {i: r for g, i, r, _ in rows if g == "g"}
+    assert seen == {(i, j) for i in root for j in root if i < j and root[i] != root[j]}
