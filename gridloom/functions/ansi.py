@@ -7,11 +7,15 @@ here and become UTF-16 where rows are made.
 
 from __future__ import annotations
 
+import os
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import regex
 
+from gridloom.functions.width import text_width
+
 BIDI = "\u061C\u200E\u200F\u202A-\u202E\u2066-\u2069"
 _END = r"(?P<{0}>\x07|\x9C|\x1B\\)"
 _TOKEN = regex.compile(
@@ -335,39 +339,59 @@ def tokenize(raw: str, white_space: str = "normal", policy: Policy = Policy()) -
     return found
 
 
-def fragments(layout, row, spans: list[tuple], reemit: str = "none", limit: int = 1_000_000) -> tuple[list[tuple], str | None]:
+class SpanIndex:
+    """Spans of each kind by their start; those of one kind never overlap, so their ends are sorted too."""
+
+    def __init__(self, spans: list[tuple]):
+        self.of = {}
+        for kind in ("style", "link"):
+            own = sorted((s for s in spans if s[0] == kind), key=lambda s: s[3])
+            self.of[kind] = own, [s[3] for s in own], [s[4] for s in own]
+
+    def over(self, kind: str, lo: int, hi: int) -> list[tuple]:
+        """Spans that share something with a source range."""
+        own, starts, ends = self.of[kind]
+        return own[bisect_right(ends, lo) : bisect_left(starts, hi)]
+
+
+def fragments(layout, row, spans: SpanIndex | list[tuple], reemit: str = "none", limit: int = 1_000_000) -> tuple[list[tuple], str | None]:
     """Pieces of a row between span edges: (text, source text, start, end, first column, end column, style,
     link), and the row's text with sequences if ``reemit`` asks for them."""
+    index = spans if isinstance(spans, SpanIndex) else SpanIndex(spans)
     text, source = layout.texts(row)
-    a, b = layout.row_source(row)
-    met = [s for s in spans if s[3] < b and s[4] > a]
-    marks = layout.marks(row)
-    edges = sorted({a, b} | {max(a, s[3]) for s in met} | {min(b, s[4]) for s in met})
-    snapped = [max(x for x in marks if x <= e) if e == a else min((x for x in marks if x >= e), default=marks[-1]) for e in edges]
-    out, ansi, column, shown = [], [], row.start_column, 0
+    cells = layout.row_cells(row)
+    a, b, marks = cells.first, cells.last, cells.marks()
+    met = {kind: index.over(kind, a, b) for kind in ("style", "link")}
+    edges = sorted({a, b, *(max(a, s[3]) for own in met.values() for s in own), *(min(b, s[4]) for own in met.values() for s in own)})
+    snapped = [marks[min(bisect_left(marks, e), len(marks) - 1)] for e in edges]
+    out, told, column, shown, size = [], [], row.start_column, 0, 0
+    at = dict.fromkeys(met, 0)
     for lo, hi in zip(snapped, snapped[1:], strict=False):
         if hi <= lo:
             continue
-        piece, width = layout.clip(row, lo, hi, column)
-        if not text.startswith(piece, shown):
-            while piece and not text.startswith(piece, shown):
-                piece = piece[:-1]
-            from gridloom.functions.width import text_width
-
+        piece, width = cells.clip(lo, hi)
+        if not text.startswith(piece, shown):  # spaces that a wrapped row leaves out
+            piece = os.path.commonprefix([piece, text[shown : shown + len(piece)]])
             width = text_width(piece, layout.profile)
         if not piece and not width:
             continue
-        style = next((s[5] for s in met if s[0] == "style" and s[3] < hi and s[4] > lo), None)
-        link = next((s[5] for s in met if s[0] == "link" and s[3] < hi and s[4] > lo), None)
+        value = {}
+        for kind, own in met.items():
+            while at[kind] < len(own) and own[at[kind]][4] <= lo:
+                at[kind] += 1
+            value[kind] = own[at[kind]][5] if at[kind] < len(own) and own[at[kind]][3] < hi else None
+        style, link = value["style"], value["link"]
         out.append((piece, source[lo - a : hi - a], lo, hi, column, column + width, style, link))
         column += width
         shown += len(piece)
         if reemit != "none":
             linked = link is not None and reemit == "sgr-osc8"
-            ansi += [f"\x1b]8;;{link}\x1b\\" if linked else "", style_codes(style) if style else "", piece, "\x1b[0m" if style else "", "\x1b]8;;\x1b\\" if linked else ""]
-            if sum(map(len, ansi)) > limit:
+            new = [f"\x1b]8;;{link}\x1b\\" if linked else "", style_codes(style) if style else "", piece, "\x1b[0m" if style else "", "\x1b]8;;\x1b\\" if linked else ""]
+            told += new
+            size += sum(map(len, new))
+            if size > limit:
                 raise ValueError("text with sequences is longer than the policy allows")
-    return out, "".join(ansi) if reemit != "none" else None
+    return out, "".join(told) if reemit != "none" else None
 
 
 def spans_for_raw(rich: Rich, start: int, end: int) -> Iterator[tuple[int, int, int, int]]:

@@ -8,7 +8,9 @@ Offsets are code points.
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 
 import regex
 
@@ -399,21 +401,23 @@ def analyse(text: str, keep_spaces: bool = False, keep_all: bool = False) -> lis
     return segs
 
 
+#: Units over the classes of clusters: openers p, characters that start no row s, others l; those with CJK are
+#: P, S and K.  An opener takes the next cluster, s always stays, and only text without CJK runs on.
+_UNIT = re.compile("P(?:.[Ss]*)?|p(?:[KPS][Ss]*|[lps]+(?:S[Ss]*)?)?|[KS][Ss]*|[ls][lps]*(?:S[Ss]*)?")
+
+
+@_remember
+def _unit_class(cluster: str) -> str:
+    kind = "s" if cluster in KINSOKU_START + LEFT_STICKY else "p" if cluster in KINSOKU_END else "l"
+    return {"s": "S", "p": "P", "l": "K"}[kind] if is_cjk(cluster) else kind
+
+
 def _cjk_units(text: str) -> list[tuple[int, str]]:
     """(offset, text) of the units of a text with wide characters."""
-    units: list[list] = []  # offset, text, has CJK, is a single opener
-    at = 0
-    for c in clusters(text):
-        cjk = is_cjk(c)
-        last = units[-1] if units else None
-        if last is not None and (last[3] or c in KINSOKU_START or c in LEFT_STICKY or not (last[2] or cjk)):
-            last[1] += c
-            last[2] |= cjk
-            last[3] = False
-        else:
-            units.append([at, c, cjk, c in KINSOKU_END])
-        at += len(c)
-    return [(u[0], u[1]) for u in units]
+    parts = clusters(text)
+    ends = [0, *accumulate(map(len, parts))]
+    found = (m.span() for m in _UNIT.finditer("".join(map(_unit_class, parts))))
+    return [(ends[a], text[ends[a] : ends[b]]) for a, b in found]
 
 
 class Prepared:
@@ -434,8 +438,18 @@ class Prepared:
         return code_point if self.utf16 is None else self.utf16[min(code_point, len(self.utf16) - 1)]
 
 
-def prepare(source: str, keep_spaces: bool = False, keep_all: bool = False) -> Prepared:
-    """Analyses a normalised source."""
+Units = tuple[list[str], list[str], list[int], list[bool]]  # texts, kinds, starts, breaks after
+
+_CHUNKS = regex.compile(r"[^ \t\n]+| +|\t|\n")
+#: Characters that cling to white space before or after them, so that a text cannot be cut there.
+_CLINGING = regex.compile(r"\r|[ \t\n][\p{M}\p{WB=Extend}\p{WB=Format}\p{WB=ZWJ}]| [\u1680\u2000-\u200A\u205F\u3000]|[\u1680\u2000-\u200A\u205F\u3000] ")
+#: Chunks of one word, perhaps with punctuation that sticks to it: a segment each, whatever stands around them.
+_ONE_WORD = re.compile("[A-Za-z0-9\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+[.,!?;:]*")
+#: Longer chunks are not remembered.
+REMEMBERED = 48
+
+
+def _units(source: str, keep_spaces: bool, keep_all: bool) -> Units:
     texts, kinds, starts, speaks = [], [], [], []
     for s in analyse(source, keep_spaces, keep_all):
         if s.kind == TEXT and not s.text.isascii() and any(is_wide(ord(c)) for c in s.text):
@@ -454,4 +468,40 @@ def prepare(source: str, keep_spaces: bool = False, keep_all: bool = False) -> P
             starts.append(s.start)
             speaks.append(s.kind == TEXT and (s.word or is_cjk(s.text)))
     breaks = [a and b for a, b in zip(speaks, speaks[1:], strict=False)] + [False] * bool(speaks)
+    return texts, kinds, starts, breaks
+
+
+_remembered_units = functools.lru_cache(maxsize=1 << 16)(_units)
+
+
+def prepare(source: str, keep_spaces: bool = False, keep_all: bool = False) -> Prepared:
+    """Analyses a normalised source.
+
+    No rule looks across white space, so a text is analysed chunk by chunk between it, and what is known
+    about a chunk serves wherever it occurs again.  Texts whose white space carries marks, and tabs or line
+    feeds that are not kept apart, are analysed as a whole.
+    """
+    if (not source.isascii() or "\r" in source) and _CLINGING.search(source) or (not keep_spaces and ("\t" in source or "\n" in source)):
+        return Prepared(source, *_units(source, keep_spaces, keep_all))
+    texts, kinds, starts, breaks = [], [], [], []
+    white = {" ": KEPT_SPACE if keep_spaces else SPACE, "\t": TAB, "\n": HARD_BREAK}
+    one_word, at = _ONE_WORD.fullmatch, 0
+    for chunk in _CHUNKS.findall(source):
+        if (kind := white.get(chunk[0])) is not None:
+            texts.append(chunk)
+            kinds.append(kind)
+            starts.append(at)
+            breaks.append(False)
+        elif one_word(chunk):
+            texts.append(chunk)
+            kinds.append(TEXT)
+            starts.append(at)
+            breaks.append(False)
+        else:
+            own = (_remembered_units if len(chunk) <= REMEMBERED else _units)(chunk, keep_spaces, keep_all)
+            texts += own[0]
+            kinds += own[1]
+            starts += [at + x for x in own[2]] if len(own[2]) > 1 else (at,)
+            breaks += own[3]
+        at += len(chunk)
     return Prepared(source, texts, kinds, starts, breaks)

@@ -58,9 +58,10 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
 
 
-def gated(docs: DataFrame, options: Options, text: str = "text") -> DataFrame:
+def gated(docs: DataFrame, options: Options, text: str = "text", over_cores: bool = True) -> DataFrame:
     """Texts behind the input gate, normalised; null texts go."""
-    kept = spread(docs.filter(F.col(text).isNotNull()))
+    kept = docs.filter(F.col(text).isNotNull())
+    kept = spread(kept) if over_cores else kept
     if options.on_error == "quarantine":
         kept = kept.filter(~source.is_rejected(F.col(text)))
         checked = F.col(text)
@@ -84,10 +85,10 @@ def run_kernel(frame: DataFrame, schema: str, rows_of: Callable[..., Iterable[tu
             columns = [c.to_pylist() for c in batch.columns]
             at = names.index("text")
             for values in zip(*columns, strict=True):
-                if layout is None or values[at] != held_text:
-                    held_text = values[at]
-                    layout = options.layout(held_text)
                 try:
+                    if layout is None or values[at] != held_text:
+                        layout, held_text = None, values[at]
+                        layout = options.layout(held_text)
                     out.extend(rows_of(layout, dict(zip(names, values, strict=True))))
                 except ValueError:
                     if options.on_error == "raise":
@@ -101,5 +102,13 @@ def run_kernel(frame: DataFrame, schema: str, rows_of: Callable[..., Iterable[tu
     return frame.mapInArrow(run, kind)
 
 
+def with_requests(docs: DataFrame, requests: DataFrame, options: Options) -> DataFrame:
+    """Each document that is asked about, once, with all its requests as an array ``asked``: a text is moved
+    and prepared once, however many requests there are.  A document's requests are bounded by its text."""
+    names = [F.col(f"`{c}`") for c in requests.columns if c != "doc_id"]
+    grouped = requests.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("asked"))
+    return gated(docs, options, over_cores=False).select("doc_id", "text").join(grouped, "doc_id")
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)

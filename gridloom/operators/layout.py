@@ -6,7 +6,9 @@ normalised source.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Sequence
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,12 +18,13 @@ from pyspark.sql import types as T
 from gridloom.functions import bidi
 from gridloom.functions import width as W
 from gridloom.functions.wrap import Row, check
-from gridloom.operators.kernel import Options, gated, run_kernel
+from gridloom.operators.kernel import Options, gated, run_kernel, with_requests
 
 CURSOR = "struct<seg:int,g:int>"
-ROW_FIELDS = (
-    f"start {CURSOR}, end {CURSOR}, src_start int, src_end int, width int, columns int, start_column int,"
-    " break struct<kind:string,src_offset:int,text:string>, overflow struct<width:int,columns:int>"
+#: A row as the kernel gives it; ``_shaped`` makes its structs, without Python.
+_FLAT = (
+    "start_seg int, start_g int, end_seg int, end_g int, src_start int, src_end int, width int, columns int, start_column int,"
+    " break_kind string, overflow int"
 )
 
 
@@ -30,10 +33,20 @@ def start_cursor() -> Column:
 
 
 def row_values(row: Row) -> tuple:
-    cursor = lambda c: {"seg": c[0], "g": c[1]}
-    stop = {"kind": row.break_kind, "src_offset": row.src_end, "text": "-" if row.break_kind == "soft-hyphen" else None}
-    over = None if row.overflow is None else {"width": row.overflow, "columns": row.columns}
-    return (cursor(row.start), cursor(row.end), row.src_start, row.src_end, row.width, row.columns, row.start_column, stop, over)
+    return (*row.start, *row.end, *row[2:])
+
+
+def _shaped(flat: DataFrame, lead: Sequence[str], rest: Sequence[str] = ()) -> DataFrame:
+    hyphen = F.when(F.col("break_kind") == "soft-hyphen", F.lit("-"))
+    stop = F.struct(F.col("break_kind").alias("kind"), F.col("src_end").alias("src_offset"), hyphen.alias("text"))
+    over = F.when(F.col("overflow").isNotNull(), F.struct(F.col("overflow").alias("width"), F.col("columns").alias("columns")))
+    cursor = lambda side: F.struct(F.col(f"{side}_seg").alias("seg"), F.col(f"{side}_g").alias("g")).alias(side)
+    told = ["src_start", "src_end", "width", "columns", "start_column"]
+    return flat.select(*lead, cursor("start"), cursor("end"), *told, stop.alias("break"), over.alias("overflow"), *rest)
+
+
+def _kept(docs: DataFrame, keep: Sequence[str]) -> str:
+    return "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in ("doc_id", *keep))
 
 
 def prepare(docs: DataFrame, options: Options = Options()) -> DataFrame:
@@ -56,39 +69,46 @@ def prepare(docs: DataFrame, options: Options = Options()) -> DataFrame:
     return run_kernel(gated(docs, options).select("doc_id", "text"), schema, rows_of, options)
 
 
-def walk(docs: DataFrame, columns: int | Sequence[int], start_column: int = 0, options: Options = Options(), texts: bool = False) -> DataFrame:
+def walk(
+    docs: DataFrame, columns: int | Sequence[int], start_column: int = 0, options: Options = Options(), texts: bool = False,
+    first_row: int = 0, row_count: int | None = None, last_rows: int | None = None, keep: Sequence[str] = (),
+) -> DataFrame:
     """All rows of all documents, at one or several numbers of columns (a text is prepared once).
 
     ``start_column`` holds for the first row only.  With ``texts`` rows also carry their rendered and
-    source text.
+    source text.  ``row_count`` rows from ``first_row`` on end the walk when they are found, and
+    ``last_rows`` keeps a document's last ones; other columns of the documents go along by ``keep``.
     """
     widths = [columns] if isinstance(columns, int) else list(columns)
     for c in widths:
         check(c, start_column)
 
     def rows_of(layout, row):
+        own = [row[c] for c in ("doc_id", *keep)]
         for c in widths:
-            for n, line in enumerate(layout.rows(c, start_column)):
-                yield (row["doc_id"], n, *row_values(line), *(layout.texts(line) if texts else ()))
+            found = enumerate(layout.rows(c, start_column))
+            if first_row or row_count is not None:
+                found = islice(found, first_row, None if row_count is None else first_row + row_count)
+            if last_rows is not None:
+                found = deque(found, maxlen=last_rows)
+            for n, line in found:
+                yield (*own, n, *row_values(line), *(layout.texts(line) if texts else ()))
 
-    key = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {key}, row int, {ROW_FIELDS}" + (", text string, source_text string" if texts else "")
-    return run_kernel(gated(docs, options).select("doc_id", "text"), schema, rows_of, options)
+    rest = ("text", "source_text") if texts else ()
+    schema = f"{_kept(docs, keep)}row int, {_FLAT}" + "".join(f", {c} string" for c in rest)
+    return _shaped(run_kernel(gated(docs, options).select("doc_id", *keep, "text"), schema, rows_of, options), ["doc_id", *keep, "row"], rest)
 
 
-def line_stats(docs: DataFrame, columns: int, start_column: int = 0, options: Options = Options()) -> DataFrame:
+def line_stats(docs: DataFrame, columns: int, start_column: int = 0, options: Options = Options(), keep: Sequence[str] = ()) -> DataFrame:
     """doc_id, rows and max_line_width; an empty text has none and 0."""
     check(columns, start_column)
 
     def rows_of(layout, row):
-        n = most = 0
-        for line in layout.rows(columns, start_column):
-            n += 1
-            most = max(most, line.width)
-        yield row["doc_id"], n, most
+        widths = [line.width for line in layout.rows(columns, start_column)]
+        yield (*(row[c] for c in ("doc_id", *keep)), len(widths), max(widths, default=0))
 
-    key = docs.schema["doc_id"].dataType.simpleString()
-    return run_kernel(gated(docs, options).select("doc_id", "text"), f"doc_id {key}, rows int, max_line_width int", rows_of, options)
+    schema = f"{_kept(docs, keep)}rows int, max_line_width int"
+    return run_kernel(gated(docs, options).select("doc_id", *keep, "text"), schema, rows_of, options)
 
 
 def layout_rows(docs: DataFrame, columns: int, start_column: int = 0, options: Options = Options()) -> DataFrame:
@@ -100,26 +120,31 @@ def next_row(docs: DataFrame, cursors: DataFrame, columns: int, start_column: in
     check(columns, start_column)
 
     def rows_of(layout, row):
-        at = row["cursor"]
-        if (line := layout.next_row((at["seg"], at["g"]), columns, start_column)) is not None:
-            yield (row["doc_id"], at, *row_values(line))
+        for asked in row["asked"]:
+            at = (asked["cursor"]["seg"], asked["cursor"]["g"])
+            if (line := layout.next_row(at, columns, start_column)) is not None:
+                yield (row["doc_id"], *at, *row_values(line))
 
-    key = docs.schema["doc_id"].dataType.simpleString()
-    joined = gated(docs, options).select("doc_id", "text").join(cursors.select("doc_id", "cursor"), "doc_id")
-    return run_kernel(joined, f"doc_id {key}, cursor {CURSOR}, {ROW_FIELDS}", rows_of, options)
+    flat = run_kernel(with_requests(docs, cursors.select("doc_id", "cursor"), options), f"{_kept(docs, ())}seg int, g int, {_FLAT}", rows_of, options)
+    return _shaped(flat.withColumn("cursor", F.struct("seg", "g")), ["doc_id", "cursor"])
 
 
 def materialize(docs: DataFrame, rows: DataFrame, options: Options = Options()) -> DataFrame:
-    """Adds text and source_text to rows of ``walk`` (any subset of them)."""
+    """Adds text and source_text to rows of ``walk`` (any subset of them).
+
+    A document's rows travel as one array to its text.  Where all rows are wanted, ``walk`` with ``texts``
+    needs no exchange at all.
+    """
+    names = [c for c in rows.columns if c != "doc_id"]
 
     def rows_of(layout, row):
-        line = next(iter([layout.next_row((row["start"]["seg"], row["start"]["g"]), row["columns"], row["start_column"])]))
-        yield (*(row[n] for n in names), *layout.texts(line))
+        for asked in row["asked"]:
+            line = layout.next_row((asked["start"]["seg"], asked["start"]["g"]), asked["columns"], asked["start_column"])
+            yield (row["doc_id"], *(asked[n] for n in names), *layout.texts(line))
 
-    names = rows.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", text string, source_text string"
-    joined = rows.join(gated(docs, options).select("doc_id", "text"), "doc_id")
-    return run_kernel(joined, schema, rows_of, options)
+    told = "".join(f"`{n}` {rows.schema[n].dataType.simpleString()}, " for n in names)
+    found = run_kernel(with_requests(docs, rows, options), f"{_kept(docs, ())}{told}text string, source_text string", rows_of, options)
+    return found.select(*rows.columns, "text", "source_text")
 
 
 def clusters(docs: DataFrame, options: Options = Options()) -> DataFrame:

@@ -7,11 +7,11 @@ from __future__ import annotations
 
 import bisect
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.wrap import Layout, Row, check
-from gridloom.operators.kernel import Options, gated, run_kernel
+from gridloom.operators.kernel import Options, run_kernel, with_requests
 from gridloom.operators.layout import CURSOR
 
 BIASES = ("before", "after", "closest")
@@ -21,59 +21,64 @@ PROJECTION = f"row int, column int, cursor {CURSOR}, src_offset int, exact boole
 def cursor_for_offset(marks: DataFrame, requests: DataFrame, bias: str = "closest") -> DataFrame:
     """The cursor at each (doc_id, offset), from the boundaries of ``layout.clusters``.
 
-    An as-of lookup by two aggregates over the boundaries on either side; a tie goes to the one before.
+    An as-of lookup: boundaries and requests of a document are sorted together, so the rows are their sum
+    and not their product.  A tie goes to the boundary before.
     """
     if bias not in BIASES:
         raise ValueError(f"bias must be one of {BIASES}")
     ends = marks.groupBy("doc_id").agg(F.max("src_offset").alias("len"))
-    asked = requests.select("doc_id", "offset").distinct().join(ends, "doc_id").withColumn("q", F.greatest(F.lit(0), F.least("offset", "len")))
-    at = F.struct("src_offset", "seg", "g")
-    joined = asked.join(marks.select("doc_id", "seg", "g", "src_offset"), "doc_id")
-    low, high = F.col("src_offset") <= F.col("q"), F.col("src_offset") >= F.col("q")
-    sides = joined.groupBy("doc_id", "offset", "q").agg(
-        F.min(F.when(F.col("src_offset") == F.col("q"), at)).alias("first_hit"),
-        F.max(F.when(low, at)).alias("before"),
-        F.min(F.when(high, at)).alias("after"),
-    )
-    if bias == "before":
-        pick = F.coalesce("first_hit", "before")
-    elif bias == "after":
-        pick = F.when(F.col("first_hit").isNotNull(), F.col("before")).otherwise(F.col("after"))
+    asked = requests.select("doc_id", "offset").distinct().join(ends, "doc_id").withColumn("at", F.greatest(F.lit(0), F.least("offset", "len")))
+    mark = F.struct("src_offset", "seg", "g")
+    both = marks.select("doc_id", F.col("src_offset").alias("at"), mark.alias("mark")).unionByName(asked.select("doc_id", "at", "offset"), allowMissingColumns=True)
+    by = Window.partitionBy("doc_id").orderBy("at")
+    sides = both.withColumn("before", F.last("mark", ignorenulls=True).over(by.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    sides = sides.withColumn("after", F.first("mark", ignorenulls=True).over(by.rangeBetween(Window.currentRow, Window.unboundedFollowing)))
+    if bias == "closest":
+        pick = F.when(F.col("at") - F.col("before.src_offset") <= F.col("after.src_offset") - F.col("at"), F.col("before")).otherwise(F.col("after"))
     else:
-        nearer = F.when(F.col("q") - F.col("before.src_offset") <= F.col("after.src_offset") - F.col("q"), F.col("before")).otherwise(F.col("after"))
-        pick = F.when(F.col("first_hit").isNotNull(), F.col("before")).otherwise(nearer)
-    return sides.withColumn("p", pick).select(
+        pick = F.col(bias)
+    return sides.filter("offset is not null").withColumn("p", pick).select(
         "doc_id", "offset", F.struct("p.seg", "p.g").alias("cursor"), F.col("p.src_offset").alias("src_offset"), (F.col("p.src_offset") == F.col("offset")).alias("exact")
     )
 
 
+def offset_for_cursor(marks: DataFrame, requests: DataFrame) -> DataFrame:
+    """The source offset of each (doc_id, cursor), from the boundaries of ``layout.clusters``; a cursor that
+    is no boundary lies at the end of the text."""
+    ends = marks.groupBy("doc_id").agg(F.max("src_offset").alias("len"))
+    known = marks.select("doc_id", F.struct("seg", "g").alias("cursor"), "src_offset")
+    asked = requests.select("doc_id", F.struct("cursor.seg", "cursor.g").alias("cursor")).distinct()
+    found = asked.join(ends, "doc_id").join(known, ["doc_id", "cursor"], "left")
+    return found.select("doc_id", "cursor", F.coalesce("src_offset", "len").alias("src_offset"))
+
+
 class Projector:
     """Projections of one laid-out text."""
 
     def __init__(self, layout: Layout, columns: int, start_column: int):
         self.layout = layout
         self.rows: list[Row] = list(layout.rows(columns, start_column))
+        self.ends = [r.end for r in self.rows]
+        self.stops = [r.src_end for r in self.rows]
         p = layout.prepared
-        self.marks = [(p.offset(p.starts[i] + layout.local(i, g)), (i, g)) for i in range(len(p.texts)) for g in range(layout.count(i))]
         self.length = p.offset(len(p.source))
-        self.marks.append((self.length, (len(p.texts), 0)))
-        self.marks.sort()
-        self.offsets = [m[0] for m in self.marks]
 
     def cursor(self, offset: int, bias: str = "closest") -> tuple[int, tuple[int, int]]:
+        """The boundary at an offset: its segment by bisection, then the cluster within."""
+        p = self.layout.prepared
         q = max(0, min(self.length, offset))
-        lo, hi = bisect.bisect_left(self.offsets, q), bisect.bisect_right(self.offsets, q)
-        if lo < hi:
-            return self.marks[lo if bias == "before" else hi - 1]
-        before, after = self.marks[max(0, lo - 1)], self.marks[min(lo, len(self.marks) - 1)]
-        if bias == "closest":
-            bias = "before" if q - before[0] <= after[0] - q else "after"
-        return before if bias == "before" else after
+        if q == self.length:
+            return q, (len(p.texts), 0)
+        i = bisect.bisect_right(p.starts, self.points(q + 1) - 1) - 1
+        inner = [p.offset(p.starts[i] + self.layout.local(i, g)) for g in range(self.layout.count(i) + 1)]
+        g = bisect.bisect_right(inner, q) - 1
+        before, after = (inner[g], (i, g)), (inner[g + 1], (i, g + 1) if g + 2 < len(inner) else (i + 1, 0))
+        if q == before[0] or bias == "before" or (bias == "closest" and q - before[0] <= after[0] - q):
+            return before
+        return after
 
     def row_of(self, cursor: tuple[int, int]) -> int | None:
-        if not self.rows:
-            return None
-        return min(bisect.bisect_right([r.end for r in self.rows], cursor), len(self.rows) - 1)
+        return min(bisect.bisect_right(self.ends, cursor), len(self.rows) - 1) if self.rows else None
 
     def place(self, cursor: tuple[int, int], offset: int, exact: bool) -> tuple:
         at = {"seg": cursor[0], "g": cursor[1]}
@@ -92,9 +97,11 @@ class Projector:
         found, cursor = self.cursor(offset, bias)
         return self.place(cursor, found, found == offset)
 
-    def at_cursor(self, cursor: tuple[int, int]) -> tuple:
+    def at_cursor(self, cursor: tuple[int, int], bias: str | None = None) -> tuple:
+        """Where a cursor stands; with a bias it is taken as its offset and snapped like one."""
         canonical = self.layout.canonical(cursor)
-        return self.place(canonical, self.layout.prepared.offset(self.layout.source(canonical)), True)
+        at = self.layout.prepared.offset(self.layout.source(canonical))
+        return self.place(canonical, at, True) if bias is None else self.offset(at, bias)
 
     def cell(self, n: int, column: int, bias: str = "closest") -> tuple | None:
         """The nearest boundary to a cell, or None outside the rows."""
@@ -102,14 +109,10 @@ class Projector:
             return None
         row = self.rows[n]
         marks = sorted((c, x) for x, c in self.layout.boundaries(row))
-        lo = bisect.bisect_left(marks, (column, -1))
-        hi = bisect.bisect_right(marks, (column, 1 << 60))
-        if lo < hi:
-            at, exact = marks[lo if bias == "before" else hi - 1], True
-        else:
-            before, after = marks[max(0, lo - 1)], marks[min(lo, len(marks) - 1)]
-            low = bias == "before" or (bias == "closest" and abs(column - before[0]) <= abs(after[0] - column))
-            at, exact = (before if low else after), False
+        lo, hi = bisect.bisect_left(marks, (column, -1)), bisect.bisect_right(marks, (column, 1 << 60))
+        left, right = (lo, hi - 1) if lo < hi else (max(0, lo - 1), min(lo, len(marks) - 1))
+        first = lo >= hi and bias == "closest" and abs(column - marks[left][0]) <= abs(marks[right][0] - column)
+        at, exact = marks[left if first or bias == "before" else right], lo < hi
         side = "after" if at[1] <= row.src_start else "before" if at[1] >= row.src_end else bias
         _, cursor = self.cursor(at[1], side)
         return n, at[0], {"seg": cursor[0], "g": cursor[1]}, at[1], exact, cursor >= row.end or at[1] == self.length, True
@@ -121,10 +124,15 @@ class Projector:
         lo, _ = self.cursor(a, "before")
         hi, _ = self.cursor(b, "after")
         out = []
-        for n, r in enumerate(self.rows) if a < b else ():
+        for n in range(bisect.bisect_right(self.stops, lo), len(self.rows)) if a < b else ():
+            r = self.rows[n]
+            if r.src_start >= hi:
+                break
             x, y = max(r.src_start, lo), min(r.src_end, hi)
             if x < y:
-                out.append((n, x, y, self.column(r, x), self.column(r, y)))
+                whole = x == r.src_start and y == r.src_end
+                cols = (r.start_column, r.start_column + r.width) if whole else (self.column(r, x), self.column(r, y))
+                out.append((n, x, y, *cols))
         return out
 
     def points(self, utf16: int) -> int:
@@ -140,25 +148,23 @@ class Projector:
         source = self.layout.prepared.source[self.points(lo) : self.points(hi)] if a < b else ""
         if not parts:
             return source, [], ""
-        told = {n: self.layout.clip(self.rows[n], self.points(x), self.points(y), c)[0] for n, x, y, c, _ in parts}
+        told = {n: self.layout.clip(self.rows[n], self.points(x), self.points(y))[0] for n, x, y, *_ in parts}
         rows = [told.get(n, "") for n in range(parts[0][0], parts[-1][0] + 1)]
         return source, rows, "\n".join(rows)
 
 
 def _answer(docs: DataFrame, requests: DataFrame, schema: str, answer, columns: int, start_column: int, options: Options) -> DataFrame:
     check(columns, start_column)
-    held: dict = {}
 
     def rows_of(layout, row):
-        if held.get("layout") is not layout:
-            held.update(layout=layout, projector=Projector(layout, columns, start_column))
-        yield from answer(held["projector"], row)
+        projector = Projector(layout, columns, start_column)
+        for asked in row["asked"]:
+            yield from answer(projector, asked | {"doc_id": row["doc_id"]})
 
     names = [c for c in requests.columns if c != "doc_id"]
-    joined = gated(docs, options).select("doc_id", "text").join(requests, "doc_id")
     kinds = ", ".join(f"`{n}` {requests.schema[n].dataType.simpleString()}" for n in names)
     key = docs.schema["doc_id"].dataType.simpleString()
-    return run_kernel(joined, f"doc_id {key}, {kinds}, {schema}", rows_of, options)
+    return run_kernel(with_requests(docs, requests, options), f"doc_id {key}, {kinds}, {schema}", rows_of, options)
 
 
 def project_offset(docs: DataFrame, requests: DataFrame, columns: int, start_column: int = 0, bias: str = "closest", options: Options = Options()) -> DataFrame:
@@ -166,9 +172,9 @@ def project_offset(docs: DataFrame, requests: DataFrame, columns: int, start_col
     return _answer(docs, requests.select("doc_id", "offset"), PROJECTION, lambda p, r: [(r["doc_id"], r["offset"], *p.offset(r["offset"], bias))], columns, start_column, options)
 
 
-def project_cursor(docs: DataFrame, requests: DataFrame, columns: int, start_column: int = 0, options: Options = Options()) -> DataFrame:
+def project_cursor(docs: DataFrame, requests: DataFrame, columns: int, start_column: int = 0, bias: str | None = None, options: Options = Options()) -> DataFrame:
     """(doc_id, at) to row and column; ``at`` is a cursor."""
-    return _answer(docs, requests.select("doc_id", "at"), PROJECTION, lambda p, r: [(r["doc_id"], r["at"], *p.at_cursor((r["at"]["seg"], r["at"]["g"])))], columns, start_column, options)
+    return _answer(docs, requests.select("doc_id", "at"), PROJECTION, lambda p, r: [(r["doc_id"], r["at"], *p.at_cursor((r["at"]["seg"], r["at"]["g"]), bias))], columns, start_column, options)
 
 
 def project_cell(docs: DataFrame, requests: DataFrame, columns: int, start_column: int = 0, bias: str = "closest", options: Options = Options()) -> DataFrame:

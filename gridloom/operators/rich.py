@@ -122,8 +122,9 @@ def fragments(
     def rows_of(doc, raw, rich):
         layout = options.layout(rich.visible)
         at = layout.prepared.offset
+        index = ansi.SpanIndex(rich.spans)
         for n, row in enumerate(layout.rows(columns, start_column)):
-            parts, told = ansi.fragments(layout, row, rich.spans, mode, policy.max_ansi_output)
+            parts, told = ansi.fragments(layout, row, index, mode, policy.max_ansi_output)
             cells = [
                 {"text": t, "source_text": s, "src_start": at(a), "src_end": at(b), "start_col": x, "end_col": y, "style": _style(style), "link": link}
                 for t, s, a, b, x, y, style, link in parts

@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators import layout
+
 
 def row_at(rows: DataFrame, row: int) -> DataFrame:
     return rows.filter(F.col("row") == row)
@@ -34,6 +36,24 @@ def page(rows: DataFrame, start_row: int, row_count: int, page_size: int = 64) -
     return rows_between(rows, start_row, row_count)
 
 
+def page_of(docs: DataFrame, columns: int, start_row: int, row_count: int, page_size: int = 64, **walked) -> DataFrame:
+    """A page of each document without its other rows: the walk ends with the page."""
+    if start_row < 0 or row_count <= 0:
+        raise ValueError("a page starts at a row of 0 or more and has rows")
+    if row_count > page_size:
+        raise ValueError(f"a page holds {page_size} rows, {row_count} were asked for")
+    return layout.walk(docs, columns, first_row=start_row, row_count=row_count, **walked)
+
+
+def tail_of(docs: DataFrame, columns: int, row_count: int, page_size: int | None = None, **walked) -> DataFrame:
+    """The last rows of each document, in one pass and without an exchange."""
+    if row_count <= 0:
+        raise ValueError("a tail has rows")
+    if page_size is not None and row_count > page_size:
+        raise ValueError(f"a page holds {page_size} rows, {row_count} were asked for")
+    return layout.walk(docs, columns, last_rows=row_count, **walked)
+
+
 def tail(rows: DataFrame, row_count: int, page_size: int | None = None) -> DataFrame:
     """The last rows of each document, ascending.
 
@@ -48,12 +68,16 @@ def tail(rows: DataFrame, row_count: int, page_size: int | None = None) -> DataF
 
 
 def row_for_cursor(rows: DataFrame, cursors: DataFrame) -> DataFrame:
-    """The row that holds each cursor (doc_id, cursor): the first that ends after it, else the last."""
-    asked = cursors.select("doc_id", "cursor").distinct()
-    joined = asked.join(rows.select("doc_id", "row", "end"), "doc_id")
-    first = F.min(F.when(F.col("cursor") < F.col("end"), F.col("row")))
-    found = joined.groupBy("doc_id", "cursor").agg(F.coalesce(first, F.max("row")).alias("row"))
-    return found.join(rows, ["doc_id", "row"])
+    """The row that holds each cursor (doc_id, cursor): the first that ends after it, else the last.
+
+    Rows and cursors of a document are sorted together, so there are no pairs of them.
+    """
+    asked = cursors.select("doc_id", F.struct("cursor.seg", "cursor.g").alias("at"), F.lit(1).alias("side")).distinct()
+    both = rows.select("doc_id", F.struct("end.seg", "end.g").alias("at"), F.lit(0).alias("side"), "row").unionByName(asked, allowMissingColumns=True)
+    by = Window.partitionBy("doc_id")
+    later = by.orderBy("at", "side").rowsBetween(1, Window.unboundedFollowing)
+    found = both.withColumn("row", F.coalesce(F.first("row", ignorenulls=True).over(later), F.max("row").over(by))).filter("side = 1")
+    return found.select("doc_id", F.col("at").alias("cursor"), "row").join(rows, ["doc_id", "row"])
 
 
 def anchors(rows: DataFrame, interval: int = 64) -> DataFrame:
