@@ -30,9 +30,10 @@ def cursor_for_offset(marks: DataFrame, requests: DataFrame, bias: str = "closes
     asked = requests.select("doc_id", "offset").distinct().join(ends, "doc_id").withColumn("at", F.greatest(F.lit(0), F.least("offset", "len")))
     mark = F.struct("src_offset", "seg", "g")
     both = marks.select("doc_id", F.col("src_offset").alias("at"), mark.alias("mark")).unionByName(asked.select("doc_id", "at", "offset"), allowMissingColumns=True)
-    by = Window.partitionBy("doc_id").orderBy("at")
-    sides = both.withColumn("before", F.last("mark", ignorenulls=True).over(by.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
-    sides = sides.withColumn("after", F.first("mark", ignorenulls=True).over(by.rangeBetween(Window.currentRow, Window.unboundedFollowing)))
+    # Running frames from either end: a frame that reaches to the end of its partition costs a scan for every row.
+    by, upto = Window.partitionBy("doc_id"), (Window.unboundedPreceding, Window.currentRow)
+    sides = both.withColumn("before", F.last("mark", ignorenulls=True).over(by.orderBy("at").rangeBetween(*upto)))
+    sides = sides.withColumn("after", F.last("mark", ignorenulls=True).over(by.orderBy(F.desc("at")).rangeBetween(*upto)))
     if bias == "closest":
         pick = F.when(F.col("at") - F.col("before.src_offset") <= F.col("after.src_offset") - F.col("at"), F.col("before")).otherwise(F.col("after"))
     else:

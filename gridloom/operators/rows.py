@@ -36,6 +36,13 @@ def page(rows: DataFrame, start_row: int, row_count: int, page_size: int = 64) -
     return rows_between(rows, start_row, row_count)
 
 
+def row_of(docs: DataFrame, columns: int, row: int, **walked) -> DataFrame:
+    """One row of each document; the walk ends with it."""
+    if row < 0:
+        raise ValueError("rows count from 0")
+    return layout.walk(docs, columns, first_row=row, row_count=1, **walked)
+
+
 def page_of(docs: DataFrame, columns: int, start_row: int, row_count: int, page_size: int = 64, **walked) -> DataFrame:
     """A page of each document without its other rows: the walk ends with the page."""
     if start_row < 0 or row_count <= 0:
@@ -75,8 +82,8 @@ def row_for_cursor(rows: DataFrame, cursors: DataFrame) -> DataFrame:
     asked = cursors.select("doc_id", F.struct("cursor.seg", "cursor.g").alias("at"), F.lit(1).alias("side")).distinct()
     both = rows.select("doc_id", F.struct("end.seg", "end.g").alias("at"), F.lit(0).alias("side"), "row").unionByName(asked, allowMissingColumns=True)
     by = Window.partitionBy("doc_id")
-    later = by.orderBy("at", "side").rowsBetween(1, Window.unboundedFollowing)
-    found = both.withColumn("row", F.coalesce(F.first("row", ignorenulls=True).over(later), F.max("row").over(by))).filter("side = 1")
+    later = by.orderBy(F.desc("at"), F.desc("side")).rowsBetween(Window.unboundedPreceding, -1)
+    found = both.withColumn("row", F.coalesce(F.last("row", ignorenulls=True).over(later), F.max("row").over(by))).filter("side = 1")
     return found.select("doc_id", F.col("at").alias("cursor"), "row").join(rows, ["doc_id", "row"])
 
 

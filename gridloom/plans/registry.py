@@ -1,7 +1,10 @@
 """Queries over the driver tables, and the SQL that states the same result for DuckDB.
 
-At a number of columns that no line reaches, rows are lines, which SQL can state on its own; narrower
-layouts are held by golden cases and invariants in the tests.
+Wrapped queries lay out whole documents at real numbers of columns, with every character but small
+letters, spaces and line feeds as an x: rows may end after spaces and in words that are too long only,
+which a regular expression states in SQL.  Queries over the texts as they are use a number of columns
+that no line reaches, where rows are lines.  Other breaks are held by golden cases, by a plain search
+over all ends and by invariants in the tests.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from gridloom.streaming import flow
 
 KEPT = Options(white_space="pre-wrap")
 UNBOUNDED = 10_000_000
+WIDTHS = (36, 52, 80, 100)
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,11 +31,14 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source.read_documents(spark, f"{sf_dir}/benchmark.parquet", key="item_id")
 
 
+def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
+    return docs.withColumn("text", F.regexp_replace("text", "[^a-z \n]", "x"))
+
+
 def line_stats_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    stats = layout.line_stats(docs, 80, options=KEPT)
-    joined = docs.select("doc_id", "lang").join(stats, "doc_id")
-    return joined.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("rows").alias("rows"), F.max("max_line_width").alias("max_line_width"))
+    stats = layout.line_stats(_letters(spark, sf_dir), 80, options=KEPT, keep=["lang"])
+    return stats.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("rows").alias("rows"), F.max("max_line_width").alias("max_line_width"))
 
 
 def sanitize_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,42 +98,50 @@ def tab_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", layout.tab_advance(column, 8).cast("int").alias("advance8"), layout.tab_advance(column, 3).cast("int").alias("advance3"))
 
 
-def _line_rows(spark: SparkSession, sf_dir: str, texts: bool = False) -> DataFrame:
-    return layout.walk(_docs(spark, sf_dir), UNBOUNDED, options=KEPT, texts=texts)
-
-
 def _told(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "row", "src_start", "src_end", "width", F.col("break.kind").alias("break_kind"))
 
 
+def walk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told(layout.walk(_docs(spark, sf_dir), UNBOUNDED, options=KEPT))
+
+
 def walk_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _told(_line_rows(spark, sf_dir))
+    return _told(layout.walk(_letters(spark, sf_dir), 80, options=KEPT))
+
+
+def walk_rows_narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told(layout.walk(_letters(spark, sf_dir), 7, options=KEPT))
+
+
+def walk_rows_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = layout.walk(_letters(spark, sf_dir), 40, texts=True).withColumn("text_md5", F.md5("text"))
+    return found.select("doc_id", "row", "src_start", "src_end", "width", F.col("break.kind").alias("break_kind"), "text_md5")
 
 
 def walk_many_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = layout.walk(_docs(spark, sf_dir), [36, 52, 80, 100], options=KEPT)
+    found = layout.walk(_letters(spark, sf_dir), list(WIDTHS), options=KEPT)
     return found.groupBy("columns").agg(F.count("*").alias("rows"), F.max("width").alias("max_width"), F.count("overflow").alias("overflows"))
 
 
 def materialize_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    found = layout.materialize(docs, rows.rows_between(layout.walk(docs, UNBOUNDED, options=KEPT), 0, 4), KEPT)
+    """Rows of a walk are taken back to their texts; ``materialize_all_rows`` walks with texts."""
+    docs = _letters(spark, sf_dir)
+    found = layout.materialize(docs, layout.walk(docs, 80, options=KEPT), KEPT)
     return found.select("doc_id", "row", F.md5("text").alias("text_md5"), F.md5("source_text").alias("source_md5"))
 
 
 def materialize_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row of every document; ``materialize_rows`` asks for the first four of each."""
-    docs = _docs(spark, sf_dir)
-    found = layout.materialize(docs, layout.walk(docs, UNBOUNDED, options=KEPT), KEPT)
+    found = layout.walk(_docs(spark, sf_dir), UNBOUNDED, options=KEPT, texts=True)
     return found.select("doc_id", "row", F.md5("text").alias("text_md5"), F.md5("source_text").alias("source_md5"))
 
 
 def layout_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.layout_rows(_docs(spark, sf_dir), UNBOUNDED, options=KEPT)
+    return layout.layout_rows(_letters(spark, sf_dir), 80, options=KEPT)
 
 
 def line_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.line_stats(_docs(spark, sf_dir), UNBOUNDED, options=KEPT)
+    return layout.line_stats(_letters(spark, sf_dir), 52, options=KEPT)
 
 
 def prepare_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,19 +155,19 @@ def prepare_segments_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def row_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _told(rows.row_at(_line_rows(spark, sf_dir), 2))
+    return _told(rows.row_of(_letters(spark, sf_dir), 80, 2, options=KEPT))
 
 
 def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _told(rows.page(_line_rows(spark, sf_dir), 1, 3))
+    return _told(rows.page_of(_letters(spark, sf_dir), 80, 5, 20, options=KEPT))
 
 
 def tail_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _told(rows.tail(_line_rows(spark, sf_dir), 2))
+    return _told(rows.tail_of(_letters(spark, sf_dir), 80, 2, options=KEPT))
 
 
 def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows.index_stats(_line_rows(spark, sf_dir), 4)
+    return rows.index_stats(layout.walk(_letters(spark, sf_dir), 80, options=KEPT), 4)
 
 
 OFFSETS = (0, 7, 60, 333, 100_000)
@@ -179,6 +194,14 @@ def project_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection.project_cell(docs, cells, UNBOUNDED, options=KEPT).select("doc_id", "row", "column", "src_offset", "exact")
 
 
+def project_cell_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of the first, the third and the tenth line, near their start and far along."""
+    docs = _docs(spark, sf_dir).filter("text is not null")
+    each = lambda values, name: F.explode(F.array(*map(F.lit, values))).alias(name)
+    cells = docs.select("doc_id", each((0, 2, 9), "q_row")).select("doc_id", "q_row", each((4, 500), "q_column"))
+    return projection.project_cell(docs, cells, UNBOUNDED, options=KEPT).select("doc_id", "q_row", "q_column", "row", "column", "src_offset", "exact")
+
+
 def project_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _items(spark, sf_dir)
     asked = docs.select("doc_id", F.lit(9).alias("q_start"), F.lit(250).alias("q_end"))
@@ -218,8 +241,8 @@ def project_offset_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def project_range_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    found = projection.project_range(docs, _middle(docs), UNBOUNDED, options=KEPT)
+    docs = _letters(spark, sf_dir)
+    found = projection.project_range(docs, _middle(docs), 80, options=KEPT)
     return found.select("doc_id", "row", "src_start", "src_end", "start_col", "end_col")
 
 
@@ -351,12 +374,12 @@ QUERIES = {
     f.__name__: f
     for f in (
         line_stats_by_lang, sanitize_plain, quarantine_plain, normalize_normal, normalize_prewrap, text_width_narrow, text_width_ambiguous_wide,
-        tab_advance, walk_rows, walk_many_widths, materialize_rows, materialize_all_rows, layout_rows, line_stats, prepare_segments, row_at, page_rows, tail_rows,
+        tab_advance, walk_lines, walk_rows, walk_rows_narrow, walk_rows_normal, walk_many_widths, materialize_rows, materialize_all_rows, layout_rows, line_stats, prepare_segments, row_at, page_rows, tail_rows,
         index_stats, cursor_for_offset, project_offset, project_cell, project_range, selection_extract, ranges_at, ranges_overlap, ranges_append,
         search_literal, search_ignoring_case, search_whole_word, search_regex, search_scoped, search_limit, search_before_after, search_range,
         rich_visible, rich_spans, rich_fragments, rich_diagnostics, append_flow,
         text_width_narrow_all, text_width_ambiguous_wide_all, prepare_segments_documents, cursor_for_offset_documents,
-        project_offset_documents, project_range_documents, selection_extract_documents,
+        project_offset_documents, project_cell_documents, project_range_documents, selection_extract_documents,
     )
 }
 
@@ -379,6 +402,38 @@ def _lines_sql(table: str = "documents", key: str = "doc_id") -> str:
     )"""
 
 
+_LETTERS = "letters AS (SELECT doc_id, lang, regexp_replace(text, '[^a-z ' || chr(10) || ']', 'x', 'g') AS text FROM documents WHERE text IS NOT NULL)"
+
+
+def _wrapped_sql(columns: int) -> str:
+    """Rows of the letters with spaces kept: a row is what is left of a line, or what ends in the last space
+    that fits, or as many characters as fit."""
+    return f"""{_LETTERS}, parted AS (
+        SELECT doc_id, lang, text, CASE WHEN text = '' THEN [] WHEN ends_with(text, chr(10))
+            THEN string_split(text[1:length(text) - 1], chr(10)) ELSE string_split(text, chr(10)) END AS lines
+        FROM letters
+    ), each AS (
+        SELECT doc_id, lang, text, unnest(lines) AS line, unnest(range(len(lines))) AS ln, len(lines) AS n FROM parted
+    ), cut AS (
+        SELECT *, CASE WHEN line = '' THEN [''] ELSE regexp_extract_all(line, '.{{1,{columns}}}$|.{{0,{columns - 1}}} |.{{{columns}}}') END AS parts FROM each
+    ), part AS (
+        SELECT doc_id, lang, text, ln, n, unnest(parts) AS line, unnest(range(len(parts))) AS k, len(parts) AS m FROM cut
+    ), counted AS (
+        SELECT *, row_number() OVER w - 1 AS row, count(*) OVER (PARTITION BY doc_id) AS total,
+            sum(length(line) + CASE WHEN k + 1 = m THEN 1 ELSE 0 END) OVER w - CASE WHEN k + 1 = m THEN 1 ELSE 0 END AS stop
+        FROM part WINDOW w AS (PARTITION BY doc_id ORDER BY ln, k)
+    ), lined AS (
+        SELECT doc_id, lang, text, line, total, CAST(row AS INT) AS row, CAST(stop - length(line) AS INT) AS src_start, CAST(stop AS INT) AS src_end,
+            CAST(length(line) AS INT) AS width, CASE WHEN k + 1 < m THEN 'wrap' WHEN ln + 1 < n OR ends_with(text, chr(10)) THEN 'hard' ELSE 'end' END AS break_kind
+        FROM counted
+    )"""
+
+
+def _stats_sql(columns: int) -> str:
+    return f"""WITH {_wrapped_sql(columns)}, told AS (SELECT doc_id, count(*) AS rows, max(width) AS most FROM lined GROUP BY doc_id)
+        SELECT l.doc_id, l.lang, CAST(coalesce(rows, 0) AS INT) AS rows, CAST(coalesce(most, 0) AS INT) AS max_line_width FROM letters l LEFT JOIN told t ON t.doc_id = l.doc_id"""
+
+
 _HITS = """
     split AS (
         SELECT doc_id, string_split(text, 'the') AS parts, text FROM documents WHERE text IS NOT NULL
@@ -419,19 +474,35 @@ ORACLES = {
         q AS (SELECT doc_id, unnest(range(len(l))) AS line, unnest(l) AS t FROM p)
         SELECT doc_id, CAST(line AS INT) AS line, CAST(length(t) + len(regexp_extract_all(t, '[ÆÐ×ØÞßàáæèéêìíðòó÷øùúüþ]')) AS INT) AS width FROM q""",
     "tab_advance": """SELECT event_id, CAST(8 - (event_id % 97) % 8 AS INT) AS advance8, CAST(3 - (event_id % 97) % 3 AS INT) AS advance3 FROM events""",
-    "walk_rows": f"WITH {_lines_sql()} SELECT {_TOLD} FROM lined",
-    "materialize_rows": f"WITH {_lines_sql()} SELECT doc_id, row, md5(line) AS text_md5, md5(line) AS source_md5 FROM lined WHERE row < 4",
+    "line_stats_by_lang": f"""SELECT lang, count(*) AS docs, CAST(sum(rows) AS BIGINT) AS rows, max(max_line_width) AS max_line_width
+        FROM ({_stats_sql(80)}) GROUP BY lang""",
+    "walk_lines": f"WITH {_lines_sql()} SELECT {_TOLD} FROM lined",
+    "walk_rows": f"WITH {_wrapped_sql(80)} SELECT {_TOLD} FROM lined",
+    "walk_rows_narrow": f"WITH {_wrapped_sql(7)} SELECT {_TOLD} FROM lined",
+    "walk_rows_normal": f"""WITH {_LETTERS}, flowed AS (
+            SELECT doc_id, trim(regexp_replace(text, '[ ' || chr(10) || ']+', ' ', 'g'), ' ') AS t FROM letters
+        ), cut AS (
+            SELECT doc_id, CASE WHEN t = '' THEN [] ELSE regexp_extract_all(t, '.{{1,40}}$|.{{0,39}} |.{{40}} ?') END AS parts FROM flowed
+        ), part AS (
+            SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS row, len(parts) AS m FROM cut
+        ), placed AS (
+            SELECT *, sum(length(line)) OVER (PARTITION BY doc_id ORDER BY row) - length(line) AS a, rtrim(line, ' ') AS shown FROM part
+        ) SELECT doc_id, CAST(row AS INT) AS row, CAST(a AS INT) AS src_start, CAST(a + length(shown) AS INT) AS src_end, CAST(length(shown) AS INT) AS width,
+            CASE WHEN row + 1 = m THEN 'end' ELSE 'wrap' END AS break_kind, md5(shown) AS text_md5 FROM placed""",
+    "walk_many_widths": " UNION ALL ".join(
+        f"SELECT {c} AS columns, * FROM (WITH {_wrapped_sql(c)} SELECT count(*) AS rows, max(width) AS max_width, CAST(0 AS BIGINT) AS overflows FROM lined)" for c in WIDTHS
+    ),
+    "materialize_rows": f"WITH {_wrapped_sql(80)} SELECT doc_id, row, md5(line) AS text_md5, md5(line) AS source_md5 FROM lined",
     "materialize_all_rows": f"WITH {_lines_sql()} SELECT doc_id, row, md5(line) AS text_md5, md5(line) AS source_md5 FROM lined",
-    "layout_rows": f"WITH {_lines_sql()} SELECT doc_id, CAST(len(lines) AS INT) AS rows FROM parted",
-    "line_stats": f"""WITH {_lines_sql()} SELECT p.doc_id, CAST(len(lines) AS INT) AS rows,
-        CAST(coalesce(list_max(list_transform(lines, lambda l: length(l))), 0) AS INT) AS max_line_width FROM parted p""",
+    "layout_rows": f"SELECT doc_id, rows FROM ({_stats_sql(80)})",
+    "line_stats": f"SELECT doc_id, rows, max_line_width FROM ({_stats_sql(52)})",
     "prepare_segments": """WITH c AS (SELECT item_id AS doc_id, CAST(length(text) AS INT) AS source_len, unnest(string_split(text, '')) AS ch FROM benchmark)
         SELECT doc_id, source_len, CASE ch WHEN ' ' THEN 'preserved-space' WHEN chr(10) THEN 'hard-break' ELSE 'text' END AS kind,
             count(*) AS chars FROM c WHERE ch <> '' GROUP BY ALL""",
-    "row_at": f"WITH {_lines_sql()} SELECT {_TOLD} FROM lined WHERE row = 2",
-    "page_rows": f"WITH {_lines_sql()} SELECT {_TOLD} FROM lined WHERE row BETWEEN 1 AND 3",
-    "tail_rows": f"WITH {_lines_sql()} SELECT {_TOLD} FROM lined WHERE row >= n - 2",
-    "index_stats": f"""WITH {_lines_sql()} SELECT doc_id, CAST(count(*) FILTER (WHERE row % 4 = 0) AS INT) AS anchor_count,
+    "row_at": f"WITH {_wrapped_sql(80)} SELECT {_TOLD} FROM lined WHERE row = 2",
+    "page_rows": f"WITH {_wrapped_sql(80)} SELECT {_TOLD} FROM lined WHERE row BETWEEN 5 AND 24",
+    "tail_rows": f"WITH {_wrapped_sql(80)} SELECT {_TOLD} FROM lined WHERE row >= total - 2",
+    "index_stats": f"""WITH {_wrapped_sql(80)} SELECT doc_id, CAST(count(*) FILTER (WHERE row % 4 = 0) AS INT) AS anchor_count,
         CAST(count(*) AS INT) AS rows FROM lined GROUP BY doc_id""",
     "cursor_for_offset": f"""WITH {_ASKED} SELECT doc_id, "offset", CAST(least("offset", length(text)) AS INT) AS src_offset,
         "offset" <= length(text) AS exact FROM asked""",
@@ -499,8 +570,11 @@ ORACLES = {
         ) SELECT doc_id, CAST("offset" AS INT) AS "offset", CAST(length(head) - length(replace(head, chr(10), '')) AS INT) AS row,
             CAST(length(list_last(string_split(head, chr(10)))) AS INT) AS "column", CAST(spot AS INT) AS src_offset,
             "offset" <= length(text) AS exact, spot = length(text) AS at_end FROM placed""",
-    "project_range_documents": f"""WITH {_lines_sql()}, cut AS (
+    "project_cell_documents": f"""WITH {_lines_sql()}, asked AS (SELECT *, unnest([4, 500]) AS q FROM lined WHERE row IN (0, 2, 9))
+        SELECT doc_id, row AS q_row, CAST(q AS INT) AS q_column, row, CAST(least(q, width) AS INT) AS "column", CAST(src_start + least(q, width) AS INT) AS src_offset,
+            q <= width AS exact FROM asked""",
+    "project_range_documents": f"""WITH {_wrapped_sql(80)}, cropped AS (
             SELECT *, greatest(src_start, length(text) // 4) AS lo, least(src_end, length(text) - length(text) // 4) AS hi FROM lined
         ) SELECT doc_id, row, CAST(lo AS INT) AS src_start, CAST(hi AS INT) AS src_end, CAST(lo - src_start AS INT) AS start_col,
-            CAST(hi - src_start AS INT) AS end_col FROM cut WHERE lo < hi""",
+            CAST(hi - src_start AS INT) AS end_col FROM cropped WHERE lo < hi""",
 }

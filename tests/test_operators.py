@@ -73,6 +73,32 @@ def test_projection(docs):
     assert projection.project_rows(layout.walk(docs, 9)).columns == ["doc_id", "row", "start_col", "end_col", "src_start", "src_end"]
 
 
+def test_pushed_down_rows_are_those_of_the_whole_walk(docs):
+    whole = layout.walk(docs, 9)
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert same(rows.tail_of(docs, 9, 2), rows.tail(whole, 2)) and same(rows.page_of(docs, 9, 1, 2), rows.page(whole, 1, 2))
+    assert same(rows.row_of(docs, 9, 1), rows.row_at(whole, 1))
+    plan = rows.tail_of(docs, 9, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+    kept = layout.walk(docs.withColumn("lang", F.lit("en")), 9, keep=["lang"])
+    assert kept.columns[:3] == ["doc_id", "lang", "row"] and kept.filter("lang = 'en'").count() == whole.count()
+    with pytest.raises(ValueError):
+        rows.page_of(docs, 9, 0, 65)
+
+
+def test_offsets_of_cursors(docs):
+    marks = layout.clusters(docs)
+    asked = docs.filter("doc_id in (1, 5)").select("doc_id", F.expr("explode(array(struct(2 as seg, 1 as g), struct(99 as seg, 0 as g)))").alias("cursor"))
+    found = {(r.doc_id, r.cursor.seg): r.src_offset for r in projection.offset_for_cursor(marks, asked).collect()}
+    assert found[1, 2] == 5 and found[1, 99] == len("one two three four five six") and found[5, 99] == 8
+    spots = docs.filter("doc_id in (1, 2, 5)").select("doc_id", F.explode(F.array(*map(F.lit, (-3, 0, 4, 8, 50)))).alias("offset"))
+    for bias in projection.BIASES:
+        told = {(r.doc_id, r.offset): (r.src_offset, tuple(r.cursor)) for r in projection.cursor_for_offset(marks, spots, bias).collect()}
+        for (doc, offset), at in told.items():
+            text = {1: "one two three four five six", 2: "", 5: "你好 world"}[doc]
+            assert at == projection.Projector(Options().layout(text), 9, 0).cursor(offset, bias), (doc, offset, bias)
+
+
 def test_ranges(spark):
     schema = "doc_id long, id string, kind string, src_start int, src_end int"
     base = spark.createDataFrame([(1, "a", "k", 0, 5), (1, "b", "k", 3, 3), (1, "c", "k", 3, 9)], schema)
