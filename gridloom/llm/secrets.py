@@ -6,22 +6,27 @@ scored by a first-order character model of random strings and one of ordinary id
 span of kind ``model`` if its log-likelihood ratio passes ``MIN_RATIO`` in all and ``MIN_PER_CHAR``
 per character, and no pattern span overlaps it.
 
-Both models are trained from labelled samples: random strings are values found by the patterns in
-the sample and seeded random strings; ordinary ones are the sample's words outside pattern spans and
-identifiers and numbers composed from them.  The sample is bounded by ``SAMPLE_DOCS`` and
-``SAMPLE_STRINGS``; scanning covers every whole text.  Offsets are code points, ends exclusive; null
-and empty texts have no spans, and repeated rows have the same ones.
+Both models are trained from labelled strings, counted as pairs of neighbouring characters over all
+texts in one pass: ordinary ones are the words outside pattern spans, random ones the values that the
+patterns find.  Seeded random strings in the usual alphabets join the random ones, with the same
+weight whatever the texts hold; words in capitals and in title case, words joined as identifiers are
+joined, numbers, dates and rules of one character join the ordinary ones, worked out from their counts.
+A table of pairs has a fixed size, so nothing is sampled.  Offsets are code points, ends exclusive;
+null and empty texts have no spans, and repeated rows have the same ones.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +41,8 @@ MIN_RUN = 16
 _RUN = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
 _WORD = re.compile(rb"[A-Za-z0-9+/_=-]{4,}")
 
-SAMPLE_DOCS = 600
-SAMPLE_STRINGS = 20_000
+#: Share of words that also count as joined, in capitals and in title case, and of numbers.
+COMPOSED, NUMBERS = 0.15, 0.1
 MIN_RATIO = 12.0
 MIN_PER_CHAR = 0.45
 REDACTED = "[SECRET]"
@@ -51,6 +56,76 @@ def pattern_spans(text: bytes) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+_LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_UPPER = np.arange(128)
+_UPPER[97:123] -= 32
+_KEY = np.zeros(256, dtype=bool)
+_KEY[list(_LETTERS + _LETTERS.lower() + b"0123456789+/_=-")] = True
+WORD = 4
+
+
+def pair_counts(strings: Iterable[bytes]) -> np.ndarray:
+    """How often each character follows each other one; 0 stands before and after every string."""
+    body = np.frombuffer(b"\0".join([b"", *strings, b""]), dtype=np.uint8).astype(np.int64) & 127
+    return np.bincount(body[:-1] * 128 + body[1:], minlength=128 * 128).reshape(128, 128).astype(float)
+
+
+def word_counts(data: np.ndarray, hidden: Iterable[tuple[int, int]]) -> np.ndarray:
+    """Pairs of the runs of ``WORD`` key characters and more, outside the hidden spans."""
+    key = _KEY[data]
+    for a, b in hidden:
+        key[a:b] = False
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], key, [False]]).astype(np.int8)))
+    short = np.flatnonzero(edge[1::2] - edge[::2] < WORD)
+    for a, b in zip(edge[::2][short].tolist(), edge[1::2][short].tolist(), strict=True):
+        key[a:b] = False
+    body = np.concatenate([[0], np.where(key, data, 0), [0]]).astype(np.int64)
+    counts = np.bincount(body[:-1] * 128 + body[1:], minlength=128 * 128).reshape(128, 128).astype(float)
+    counts[0, 0] = 0.0
+    return counts
+
+
+def seeded_strings(seed: int = 11) -> list[bytes]:
+    rng = random.Random(seed)
+    hexa, big, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    out = []
+    for alphabet, share in ((hexa, 2), (hexa.upper(), 2), (big, 1), (mixed, 4), (mixed + "+/", 2), (mixed + "-_", 1)):
+        out += ["".join(rng.choices(alphabet, k=rng.randint(16, 48))).encode() for _ in range(400 * share)]
+    return out
+
+
+def composed(words: np.ndarray) -> np.ndarray:
+    """Counts of identifiers, capitals, numbers, dates and rules, for counts of words."""
+    n = max(words[0].sum(), 1.0)
+    first, last = words[0] / n, words[:, 0] / n
+    upper = np.zeros_like(words)
+    np.add.at(upper, (_UPPER[:, None], _UPPER[None, :]), words)
+    capital = np.bincount(_UPPER, weights=first, minlength=128)
+    out = words + COMPOSED * upper
+    title = np.zeros_like(words)
+    np.add.at(title, (_UPPER[:, None], np.arange(128)[None, :]), np.outer(first, np.ones(128)) * (words / np.maximum(words.sum(axis=1, keepdims=True), 1.0)) * n)
+    out += COMPOSED * title
+    each = COMPOSED * n
+    out[0] += each * capital
+    out += each * (np.outer(last, capital) + np.outer(last, first))  # camelCase, and words run together
+    for mark in b"_-/":
+        out[:, mark] += each * last
+        out[mark] += each * first
+    digits = np.arange(48, 58)
+    share = NUMBERS * n
+    out[np.ix_(digits, digits)] += share * 8 / 100  # numbers of some digits, alone, after words and in dates
+    out[0, digits] += share / 10
+    out[digits, 0] += share / 10
+    out[:, digits] += share * np.outer(last, np.ones(10)) / 10
+    out[digits, 45] += share / 10
+    out[45, digits] += share / 10
+    for mark in b"-=_+/":
+        out[mark, mark] += share
+        out[0, mark] += share / 20
+        out[mark, 0] += share / 20
+    return out
+
+
 @dataclass
 class Markov:
     """log P(string | random) - log P(string | ordinary) as a table over pairs of neighbouring characters."""
@@ -58,16 +133,26 @@ class Markov:
     ratio: np.ndarray
 
     @staticmethod
-    def train(random_strings: Iterable[bytes], ordinary: Iterable[bytes]) -> Markov:
-        def logs(strings: Iterable[bytes]) -> np.ndarray:
-            body = np.frombuffer(b"\0".join([b"", *strings, b""]), dtype=np.uint8).astype(np.int64) & 127
-            counts = np.bincount(body[:-1] * 128 + body[1:], minlength=128 * 128).reshape(128, 128).astype(float)
+    def of_counts(found: np.ndarray, words: np.ndarray) -> Markov:
+        def logs(counts: np.ndarray) -> np.ndarray:
             single = counts.sum(axis=0) + 0.5
             # Rare pairs fall back to the single characters.
             smooth = counts + 8.0 * single / single.sum()
             return np.log(smooth / smooth.sum(axis=1, keepdims=True))
 
-        return Markov(logs(random_strings) - logs(ordinary))
+        seeded = pair_counts(seeded_strings())
+        shown = found * min(1.0, seeded.sum() / max(found.sum(), 1.0))
+        if not words.any():
+            words = pair_counts([b"value", b"name", b"index", b"count", b"total", b"order"] * 100)
+        return Markov(logs(seeded + shown) - logs(composed(words)))
+
+    @staticmethod
+    def train(texts: Iterable[bytes]) -> Markov:
+        found, words = np.zeros((128, 128)), np.zeros((128, 128))
+        for text in texts:
+            f, w = text_counts(text)
+            found, words = found + f, words + w
+        return Markov.of_counts(found, words)
 
     def score(self, string: bytes) -> float:
         codes = np.frombuffer(b"\0" + string, dtype=np.uint8) & 127
@@ -78,51 +163,49 @@ class Markov:
         return value >= MIN_RATIO and value >= MIN_PER_CHAR * len(string)
 
 
-def labelled_strings(texts: Iterable[bytes], seed: int = 11) -> tuple[list[bytes], list[bytes]]:
-    """Random and ordinary strings: what the texts hold, and seeded strings in the usual alphabets."""
-    rng = random.Random(seed)
-    found: list[bytes] = []
-    words: list[bytes] = []
-    for text in texts:
-        at = 0
-        for start, kind, end in [*pattern_spans(text), (len(text), 0, len(text))]:
-            if start > at and len(words) < SAMPLE_STRINGS:
-                words += _WORD.findall(text[at:start])
-            if end > start and len(found) < SAMPLE_STRINGS:
-                found.append(_ASSIGN.search(text[start:end]).group(2) if kind == 0 else text[start:end])
-            at = max(at, end)
-    words = words[:SAMPLE_STRINGS] or [b"value", b"name", b"index", b"count", b"total", b"order"]
-    hexa, big, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    for alphabet, share in ((hexa, 2), (hexa.upper(), 2), (big, 1), (mixed, 4), (mixed + "+/", 2), (mixed + "-_", 1)):
-        found += ["".join(rng.choices(alphabet, k=rng.randint(16, 48))).encode() for _ in range(400 * share)]
-    ordinary = list(words)
-    for _ in range(3000):
-        a, b, c = (rng.choice(words) for _ in range(3))
-        ordinary.append(rng.choice([a + b"_" + b, a + b.title() + c.title(), (a + b"_" + b).upper(), a + b"-" + b + b"-" + c, a + b"/" + b + b"/" + c, a + b, a.upper()]))
-    for _ in range(3000):
-        ordinary.append("".join(rng.choices("0123456789", k=rng.randint(4, 24))).encode())
-        ordinary.append(rng.choice(words) + str(rng.randint(1, 2100)).encode())
-        ordinary.append(b"%d-%02d-%02d" % (rng.randint(1950, 2030), rng.randint(1, 12), rng.randint(1, 28)))
-        ordinary.append(rng.choice(b"-=_+/") .to_bytes(1, "big") * rng.randint(4, 30))
-    return found, ordinary
+def _value(text: bytes, span: tuple[int, int, int]) -> bytes:
+    start, kind, end = span
+    return _ASSIGN.match(text, start).group(2) if kind == 0 else text[start:end]
+
+
+def text_counts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the values that patterns find in a text, and of its other words."""
+    base = pattern_spans(text)
+    found = pair_counts(_value(text, s) for s in base) if base else np.zeros((128, 128))
+    return found, word_counts(np.frombuffer(text, dtype=np.uint8), [(a, b) for a, _, b in base])
 
 
 def train(docs: DataFrame) -> Markov:
-    """Models from the documents with the smallest hashes of their ids (``SAMPLE_DOCS`` at most)."""
-    ids = docs.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    cut = F.substring("text", 1, 200_000).alias("text")  # bounds the sample only; scans read whole texts
-    rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", cut).filter("text is not null").collect()
-    texts = [r["text"].encode() for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))]
-    return Markov.train(*labelled_strings(texts))
+    """Models of all texts.  Each task gives its own sums of pairs, and the driver gets one table of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, 128, 128))
+        for batch in batches:
+            for _, _, offsets, data in tk.slices(tk.text_column(batch)):
+                body = data.tobytes()
+                # Texts of a slice are parted by a byte that no pattern takes.
+                joined = b"\n".join([body[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
+                total += text_counts(joined)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total.ravel()[at].astype(np.int64))], names=["at", "n"])
+
+    summed = docs.select("text").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    table = np.zeros(2 * 128 * 128)
+    for r in summed.collect():  # 32,768 rows at most
+        table[r["at"]] = r["n"]
+    return Markov.of_counts(*table.reshape(2, 128, 128))
 
 
 def spans(text: bytes, model: Markov) -> list[tuple[int, int, int]]:
     """All spans in bytes: those of the patterns, and what the model adds between them."""
     base = pattern_spans(text)
+    # Of the pattern spans that start before an end, the one that ends last tells whether any overlaps.
+    starts, reach = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
     added = []
     for m in _RUN.finditer(text):
         a, b = m.span()
-        if not any(s < b and a < e for s, _, e in base) and model.is_secret(m.group()):
+        before = bisect_left(starts, b)
+        if not (before and reach[before - 1] > a) and model.is_secret(m.group()):
             added.append((a, 3, b))
     return sorted(base + added) if added else base
 
@@ -186,18 +269,18 @@ def redact_documents(docs: DataFrame, model: Markov) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            lengths = batch.column("n_chars").to_pylist() if "n_chars" in batch.schema.names else None
-            for i, text in enumerate(texts):
-                body = (text or "").encode()
-                if found := spans(body, held.value):
-                    texts[i] = redact(text, [(a, b) for a, _, b in _code_points(body, found)])
-                    if lengths is not None:
-                        lengths[i] = len(texts[i])
-            new = {"text": texts} | ({"n_chars": lengths} if lengths is not None else {})
-            arrays = [pa.array(new[f.name], type=f.type) if f.name in new else batch.column(i) for i, f in enumerate(batch.schema)]
-            yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
+            for first, end, offsets, data in tk.slices(tk.text_column(batch)):
+                part, body, texts, lengths = batch.slice(first, end - first), data.tobytes(), [], []
+                for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                    own = body[a:b]
+                    found = spans(own, held.value)
+                    texts.append(redact(own.decode(), [(x, y) for x, _, y in _code_points(own, found)]) if found else own.decode())
+                    lengths.append(len(texts[-1]) if found else None)
+                arrays = list(part.columns)
+                at = part.schema.get_field_index("text")
+                arrays[at] = pc.if_else(pc.is_null(arrays[at]), arrays[at], pa.array(texts, type=arrays[at].type))
+                if (n := part.schema.get_field_index("n_chars")) >= 0:
+                    arrays[n] = pc.coalesce(pa.array(lengths, type=arrays[n].type), arrays[n])
+                yield pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
 
     return docs.mapInArrow(run, schema)
-
-

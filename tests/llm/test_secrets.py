@@ -24,8 +24,16 @@ def plain(text):
     return sorted(out)
 
 
-def model(texts=TEXTS):
-    return secrets.Markov.train(*secrets.labelled_strings([t.encode() for t in texts]))
+SYLLABLES = "ba ce di fo gu la me ni po ru sa te vi zo chan der ling mont stra".split()
+
+
+def prose(seed, words):
+    r = random.Random(seed)
+    return " ".join("".join(r.choices(SYLLABLES, k=r.randint(2, 4))) + r.choice(["", "", ",", "."]) for _ in range(words))
+
+
+def model(texts=(*TEXTS, *(prose(i, 400) for i in range(20)))):
+    return secrets.Markov.train([t.encode() for t in texts])
 
 
 def test_pattern_spans_are_those_of_a_plain_scan():
@@ -35,14 +43,83 @@ def test_pattern_spans_are_those_of_a_plain_scan():
         assert secrets._code_points(text.encode(), secrets.pattern_spans(text.encode())) == plain(text)
 
 
-def test_model_tells_random_strings_from_identifiers():
+def test_recall_and_precision_on_planted_strings():
     m, r = model(), random.Random(9)
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    assert sum(m.is_secret("".join(r.choices(alphabet, k=32)).encode()) for _ in range(300)) > 290
-    for ordinary in (b"4785380592391139", b"plain_words_only_nothing", b"2024-01-02-2024-01-03", b"----------------------"):
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = prose(99, 3000).replace(",", "").replace(".", "").split()
+    planted = caught = wrong = 0
+    for k in range(200):
+        secret = "".join(r.choices(r.choice([letters, letters + "+/", letters[:26] + "234567", "0123456789ABCDEF"]), k=r.randint(16, 40)))
+        a, b, c, d = r.choices(words, k=4)
+        text = f"{a} {b}_{c}_{d} {secret} {a}{b.title()}{c.title()}{d.title()} {a}/{b}/{c} 2024-01-02-2024-01-03 4785380592391139".encode()
+        at = text.index(secret.encode())
+        added = [(x, y) for x, kind, y in secrets.spans(text, m) if kind == 3]
+        planted += 1
+        caught += (at, at + len(secret)) in added
+        wrong += len([x for x in added if x != (at, at + len(secret))])
+    assert caught >= 0.95 * planted and wrong <= 0.02 * planted
+    for ordinary in (b"4785380592391139", b"2024-01-02-2024-01-03", b"----------------------"):
         assert not m.is_secret(ordinary)
 
 
+def test_the_score_is_the_plain_log_likelihood_ratio():
+    import math
+
+    m = model()
+    found, words = secrets.np.zeros((128, 128)), secrets.np.zeros((128, 128))
+    for t in (*TEXTS, *(prose(i, 400) for i in range(20))):
+        pairs = plain(t)
+        for a, kind, b in pairs:
+            value = re.match(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(.*)""", t[a:b], re.I | re.S).group(1) if kind == 0 else t[a:b]
+            for x, y in zip("\0" + value, value + "\0", strict=True):
+                found[ord(x), ord(y)] += 1
+        hidden = "".join(" " if any(a <= i < b for a, _, b in pairs) else c for i, c in enumerate(t))
+        for w in re.findall(r"[A-Za-z0-9+/_=-]{4,}", hidden):
+            for x, y in zip("\0" + w, w + "\0", strict=True):
+                words[ord(x), ord(y)] += 1
+    def log(table):
+        alone = table.sum(axis=0) + 0.5
+        return lambda x, y: math.log((table[x, y] + 8 * alone[y] / alone.sum()) / sum(table[x, z] + 8 * alone[z] / alone.sum() for z in range(128)))
+
+    seeded = secrets.pair_counts(secrets.seeded_strings())
+    one, two = log(seeded + found * min(1, seeded.sum() / found.sum())), log(secrets.composed(words))
+    for string in (b"q8Zr2LxT9vBnK4mWcY7hDfJ3", b"plain_words_only"):
+        assert math.isclose(m.score(string), sum(one(x, y) - two(x, y) for x, y in zip(b"\0" + string, string, strict=False)), rel_tol=1e-9)
+
+
+def test_the_query_is_a_plain_scan_of_whole_texts(spark):
+    import hashlib
+
+    texts = [*TEXTS, None, prose(3, 60_000) + TEXTS[0] + " é" * 1000 + TEXTS[2]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    names = ("assign", "access", "hex")
+    for r in secrets.digest(secrets.scan(frame, secrets.train(frame))).collect():
+        base = plain(texts[r.doc_id] or "")
+        told = ",".join(f"{names[k]}:{a}:{b}" for a, k, b in base)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, k, _ in base) for i in range(3))
+        assert r.base_sha256 == hashlib.sha256(told.encode()).hexdigest() and [x for x in r.spans.split(",") if x[:5] != "model"] == told.split(",")
+
+
+def test_training_counts_all_rows_once(spark):
+    texts = [prose(i, 300) + " " + TEXTS[i % len(TEXTS)] for i in range(40)] * 2
+    frame = spark.createDataFrame([(i % 3, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    assert (secrets.train(frame).ratio == secrets.Markov.train([t.encode() for t in texts]).ratio).all()
+
+
+def test_many_spans_take_time_in_proportion():
+    import time
+
+    m = model()
+
+    def seconds(n):
+        text = b" ".join(b"token=abcdef%06d plain_words_only_here" % i for i in range(n))
+        began = time.process_time()
+        assert len(secrets.spans(text, m)) == n
+        return time.process_time() - began
+
+    assert seconds(20_000) < 30 * seconds(2000) + 0.5
+
+
 def test_model_adds_and_keeps_base_spans():
     m = model()
     text = ("key q8Zr2LxT9vBnK4mWcY7hDfJ3 and " + TEXTS[0]).encode()
