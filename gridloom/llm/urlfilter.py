@@ -6,28 +6,32 @@ key is mistaken.  A key of the universe is listed if the first level that does n
 number (counted from 0).  The universe is every distinct key of the corpus, so the answer is exact
 for each of its rows without a join.
 
-Level 0 is sized for a false positive rate of about listed / universe and later levels for one half,
-so all levels together take a few bytes for each listed key and their size does not follow the
-corpus; ``MAX_BYTES`` bounds what is broadcast, and beyond it the build says so instead of failing
-later.
+Keys are dealt by hash to shards of about ``SHARD_KEYS`` keys, as many as the universe needs, and each
+shard has a cascade of its own, built by one task from its sorted keys.  Level 0 is sized for a false
+positive rate of about listed / universe and later levels for one half, so all levels together take a
+few bytes for each listed key, and their size does not follow the corpus.  Levels are files in the
+shared folder that workers map into memory; neither the driver nor a broadcast holds any of them, and
+no size of list or universe is refused.
 
 Null urls, and urls without ``://``, have an empty host and path; an empty host is never listed.
 """
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm import storage
+from gridloom.llm import arrays, storage
 
-MAX_BYTES = 256 << 20
+SHARD_KEYS = 1 << 20
 MAX_LEVELS = 64
 
 
@@ -68,6 +72,17 @@ class Level:
     hashes: int
     seed: int
 
+    @staticmethod
+    def of(a: np.ndarray, b: np.ndarray, rate: float, seed: int) -> Level:
+        """A filter of keys with about this rate of false positives."""
+        count = max(len(a), 1)
+        words = max(1, math.ceil(-count * math.log(rate) / math.log(2) ** 2 / 64))
+        hashes = max(1, round(words * 64 / count * math.log(2)))
+        bits = np.zeros(words * 64, dtype=bool)
+        for i in range(hashes):
+            bits[(_position(a, b, seed, i) % np.uint64(words * 64)).astype(np.int64)] = True
+        return Level(np.packbits(bits, bitorder="little").view(np.uint64), hashes, seed)
+
     def knows(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = np.ones(len(a), dtype=bool)
         bits = np.uint64(len(self.words) * 64)
@@ -83,89 +98,107 @@ def _position(a: np.ndarray, b: np.ndarray, seed: int, i: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-@dataclass(frozen=True)
-class Cascade:
-    levels: tuple[Level, ...]
-
-    def listed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(a), dtype=bool)
-        alive = np.ones(len(a), dtype=bool)
-        for k, level in enumerate(self.levels):
-            known = level.knows(a, b)
-            out[alive & ~known] = k % 2 == 1
-            alive &= known
-        out[alive] = len(self.levels) % 2 == 1
-        return out
+def levels_of(a: np.ndarray, b: np.ndarray, listed: np.ndarray) -> list[Level]:
+    """The levels of a cascade over a universe of keys, of which some are listed."""
+    levels: list[Level] = []
+    sides = {True: (a[listed], b[listed]), False: (a[~listed], b[~listed])}
+    side = True  # listed keys go into even levels
+    while len(sides[side][0]):
+        if len(levels) == MAX_LEVELS:
+            raise RuntimeError("two keys share all their hashes")
+        here, there = len(sides[side][0]), len(sides[not side][0])
+        rate = 0.5 if levels else min(0.5, max(1e-9, here / max(1, there) / math.sqrt(2)))
+        level = Level.of(*sides[side], rate, len(levels) + 1)
+        levels.append(level)
+        # Only keys of the other side that the level mistakes go on; its own all stay.
+        mistaken = level.knows(*sides[not side])
+        sides[not side] = tuple(x[mistaken] for x in sides[not side])
+        side = not side
+    return levels
 
 
-def _hashes(key: Column) -> tuple[Column, Column]:
-    return F.xxhash64(key), F.xxhash64(key, F.lit("second"))
+def ask(levels: list[Level], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether each key is listed: the first level that does not know it tells."""
+    out = np.zeros(len(a), dtype=bool)
+    alive = np.ones(len(a), dtype=bool)
+    for k, level in enumerate(levels):
+        known = level.knows(a, b)
+        out[alive & ~known] = k % 2 == 1
+        alive &= known
+    out[alive] = len(levels) % 2 == 1
+    return out
 
 
-def _build(spark, members: DataFrame, count: int, rate: float, seed: int) -> Level:
-    """One level from rows of (a, b): bit positions are or-ed by word in partial aggregates, and only
-    words with bits come to the driver."""
-    bits = max(64, math.ceil(-count * math.log(rate) / math.log(2) ** 2))
-    words = -(-bits // 64)
-    if words * 8 > MAX_BYTES:
-        raise ValueError(f"a filter of {words * 8} bytes is over the bound of {MAX_BYTES}")
-    hashes = max(1, round(words * 64 / count * math.log(2)))
+@dataclass(frozen=True)
+class Cascade:
+    """Where the levels of each shard are, with their numbers of hashes."""
 
-    @F.pandas_udf("array<long>")
-    def positions(a: pd.Series, b: pd.Series) -> pd.Series:
-        x, y = a.to_numpy().view(np.uint64), b.to_numpy().view(np.uint64)
-        each = np.stack([_position(x, y, seed, i) % np.uint64(words * 64) for i in range(hashes)], axis=1)
-        return pd.Series(list(each.astype(np.int64)))
+    folder: str
+    hashes: tuple[tuple[int, ...], ...]  # of each shard's levels
 
-    at = members.select(F.explode(positions("a", "b")).alias("at"))
-    rows = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).collect()
-    out = np.zeros(words, dtype=np.uint64)
-    for r in rows:
-        out[r["word"]] = np.uint64(r["bits"] & (2**64 - 1))
-    return Level(out, hashes, seed)
+    def listed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        shards = len(self.hashes)
+        shard = a % np.uint64(shards)
+        out = np.zeros(len(a), dtype=bool)
+        for s in np.unique(shard).tolist() if shards > 1 else [0]:
+            rows = np.flatnonzero(shard == s)
+            out[rows] = ask(_mapped(self, s), a[rows], b[rows])
+        return out
 
 
-def _test(spark, knows: Callable[[np.ndarray, np.ndarray], np.ndarray]):
-    """A function of two hash columns that asks a broadcast filter (its size is bounded in ``_build``)."""
-    held = spark.sparkContext.broadcast(knows)
+@functools.lru_cache(maxsize=1024)
+def _mapped(cascade: Cascade, shard: int) -> list[Level]:
+    """A shard's levels, mapped once in each worker process."""
+    return [Level(arrays.load(cascade.folder, f"level-{shard}-{k}", np.uint64), h, k + 1) for k, h in enumerate(cascade.hashes[shard])]
 
-    @F.pandas_udf("boolean")
-    def test(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(held.value(a.to_numpy().view(np.uint64), b.to_numpy().view(np.uint64)))
 
-    return test
+def _hashes(key: Column) -> tuple[Column, Column]:
+    return F.xxhash64(key), F.xxhash64(key, F.lit("second"))
 
 
-def build_cascade(universe: DataFrame, listed: DataFrame, key: str = "key") -> Cascade:
+def build_cascade(universe: DataFrame, listed: DataFrame, key: str = "key", shard_keys: int = SHARD_KEYS) -> Cascade:
     """``universe``: all keys of the corpus; ``listed``: the listed keys (they may or may not occur)."""
     spark = universe.sparkSession
     a, b = _hashes(F.col("key"))
     mark = listed.select(F.col(key).alias("key")).filter("key is not null").distinct().withColumn("listed", F.lit(True))
     keys = universe.select(F.col(key).alias("key")).filter("key is not null").distinct()
-    left = keys.join(mark, "key", "left").select(a.alias("a"), b.alias("b"), F.coalesce("listed", F.lit(False)).alias("listed"))
-    left = storage.table(left, "keys")
-    counts = {r["listed"]: r["count"] for r in left.groupBy("listed").count().collect()}
-    levels: list[Level] = []
-    while counts.get(len(levels) % 2 == 0, 0):
-        side = len(levels) % 2 == 0  # listed keys go into even levels
-        here, there = counts[side], counts.get(not side, 0)
-        rate = 0.5 if levels else min(0.5, max(1e-9, here / max(1, there) / math.sqrt(2)))
-        level = _build(spark, left.filter(F.col("listed") == side), here, rate, len(levels) + 1)
-        levels.append(level)
-        if len(levels) > MAX_LEVELS:
-            raise RuntimeError("two keys share all their hashes")
-        knows = _test(spark, level.knows)
-
-        # Members of the level go on only as far as the other side's mistakes ask for.
-        left = storage.table(left.filter((F.col("listed") == side) | knows("a", "b")), "keys")
-        counts = {r["listed"]: r["count"] for r in left.groupBy("listed").count().collect()}
-        if not counts.get(not side, 0):
-            break
-    return Cascade(tuple(levels))
-
+    keys = keys.join(mark, "key", "left").select(a.alias("a"), b.alias("b"), F.coalesce("listed", F.lit(False)).alias("listed"))
+    held = storage.Scratch(spark)
+    keys = held.table(keys, "keys")
+    shards = max(1, -(-keys.count() // shard_keys))
+    folder = storage.fresh(spark, "cascade")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [batch for batch in batches if batch.num_rows]
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts)
+        a, b = (table[c].to_numpy().view(np.uint64) for c in ("a", "b"))
+        marked = table["listed"].to_numpy()
+        order = np.lexsort((b, a))
+        a, b, marked = a[order], b[order], marked[order]
+        shard = a % np.uint64(shards)
+        for s in np.unique(shard).tolist():
+            rows = shard == s
+            found = levels_of(a[rows], b[rows], marked[rows])
+            for k, level in enumerate(found):
+                arrays.save(folder, f"level-{s}-{k}", level.words)
+            yield pa.RecordBatch.from_pylist([{"shard": s, "hashes": [x.hashes for x in found]}], schema=pa.schema([("shard", pa.int64()), ("hashes", pa.list_(pa.int64()))]))
+
+    # A partition holds whole shards, and as many partitions as shards keep a task at about one.
+    number = F.expr(f"cast(pmod(pmod(a, {shards}) + case when a < 0 then {2**64 % shards} else 0 end, {shards}) as long)")
+    dealt = keys.withColumn("shard", number).repartition(shards, "shard").drop("shard")
+    rows = {r["shard"]: tuple(r["hashes"]) for r in dealt.mapInArrow(build, "shard long, hashes array<long>").collect()}
+    held.clear()
+    return Cascade(folder, tuple(rows.get(s, ()) for s in range(shards)))
+
+
+def is_listed(cascade: Cascade, key: Column) -> Column:
+    @F.pandas_udf("boolean")
+    def test(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(cascade.listed(a.to_numpy().view(np.uint64), b.to_numpy().view(np.uint64)))
 
-def is_listed(cascade: Cascade, spark, key: Column) -> Column:
-    return _test(spark, cascade.listed)(*_hashes(key))
+    return test(*_hashes(key))
 
 
 def site_of(host: Column) -> Column:
@@ -175,12 +208,11 @@ def site_of(host: Column) -> Column:
 
 def judge(pages: DataFrame, rules: Sequence[Rule], listed: DataFrame) -> DataFrame:
     """page_id, host, path, rule and verdict; without a fitting rule a listed site is blocked."""
-    spark = pages.sparkSession
     hosts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     sites = hosts.select(F.when(F.col("host") != "", site_of(F.col("host"))).alias("key"))
     cascade = build_cascade(sites, listed)
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    blocked = (F.col("host") != "") & is_listed(cascade, spark, site_of(F.col("host")))
+    blocked = (F.col("host") != "") & is_listed(cascade, site_of(F.col("host")))
     return hosts.select("page_id", "host", "path", name.alias("rule"), verdict.alias("by_rule"), blocked.alias("listed")).select(
         "page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict")
     )
