@@ -168,10 +168,11 @@ def _featured(docs: DataFrame) -> DataFrame:
             for first, end, offsets, data in tk.slices(tk.text_column(batch)):
                 x = features(offsets, data)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * N_FEATURES), pa.array(x.ravel()))
-                mark = batch.column(batch.schema.get_field_index("positive")).slice(first, end - first)
-                yield pa.RecordBatch.from_arrays([mark, lists], names=["positive", "x"])
+                passed = [batch.column(batch.schema.get_field_index(c)).slice(first, end - first) for c in ("doc_id", "positive")]
+                yield pa.RecordBatch.from_arrays([*passed, lists], names=["doc_id", "positive", "x"])
 
-    return docs.select("positive", "text").mapInArrow(run, "positive boolean, x array<double>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "positive", "text").mapInArrow(run, f"doc_id {kind}, positive boolean, x array<double>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Scorer:
@@ -185,7 +186,8 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Scorer:
     chosen = positives.withColumn("positive", F.lit(True)).unionByName(unlabelled.withColumn("positive", F.lit(False)))
     # Both sides of the union are limited by the two constants, so the broadcast is bounded.
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = _featured(sample).toPandas()
+    # One row of each id, however often it is repeated.
+    rows = _featured(sample).groupBy("doc_id", "positive").agg(F.min("x").alias("x")).toPandas()
     if rows.empty:
         return Scorer()
     x, mark = np.stack(rows["x"].to_numpy()), rows["positive"].to_numpy(dtype=bool)
