@@ -177,25 +177,33 @@ def fingerprint_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",))
     return source.mapInArrow(run, ", ".join([*kinds, "fingerprint string"]))
 
 
-#: Documents of a range; ranges grow in number with the input.
+#: Documents of a range.  Ranges grow in number with the input up to what one job can have, and in length
+#: beyond; a task streams its range in slices, so its memory does not depend on that.
 RANGE_ROWS = 4096
-MAX_RANGES = 20_000
+MAX_RANGES = 100_000
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows dealt to ranges of ascending doc_id, each range followed by a copy of the row after it.
 
     Columns: part, copy (false for the range's own rows), key, doc_id, text.  Ranges are cut at
-    approximate quantiles of the ids; the first row of each range also goes, as a copy, to the range
-    before it, and the very first row to the last.  Only texts move, once.  A null id comes first; rows
-    that repeat an id are ordered by text.
+    approximate quantiles of the ids, and a range is a partition; the first row of each range also goes,
+    as a copy, to the range before it, and the very first row to the last.  Only texts move, once.  A null
+    id comes first; rows that repeat an id are ordered by text and stay in one range.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.coalesce("doc_id", F.lit(-(2**63))))
     ids = keyed.select("key")
     spark = docs.sparkSession
     n = ids.count()
     parts = int(min(MAX_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE_ROWS))))
-    cuts = sorted({int(c) for c in ids.select(F.col("key").cast("double")).approxQuantile("key", [i / parts for i in range(1, parts)], 0.1 / parts)}) if parts > 1 and n else []
+    # Quantiles are taken as doubles; counted from the least id, large ids keep their differences.
+    shares = [i / parts for i in range(1, parts)]
+    base = ids.filter(F.col("key") > -(2**63)).agg(F.min("key").alias("key")).first()["key"] if parts > 1 else None
+    cuts = []
+    if base is not None:
+        risen = (F.col("key").cast("decimal(20,0)") - F.lit(base).cast("decimal(20,0)")).cast("double")
+        found = ids.filter(F.col("key") > -(2**63)).agg(F.percentile_approx(risen, shares, 10 * parts).alias("cuts")).first()["cuts"]
+        cuts = sorted({base + int(c) for c in found})
     cut = np.array(cuts, dtype=np.int64)
 
     def deal(heads: dict[int, int] | None):
@@ -225,7 +233,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     if not heads:
         return spark.createDataFrame([], "part int, copy boolean, key long, doc_id long, text string")
     dealt = keyed.mapInArrow(deal(heads), "part int, copy boolean, key long, doc_id long, text string")
-    return dealt.repartition(parts, "part").sortWithinPartitions("part", "copy", "key", "text")
+    return dealt.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "copy", "key", "text")
 
 
 def edit(text: str, after: str) -> str:

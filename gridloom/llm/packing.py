@@ -87,8 +87,8 @@ def best_fit(measured: DataFrame, capacity: int = CAPACITY, shard_texts: int = S
     """doc_id, n_words, piece, start, end (words of the text), bin_id, bin_offset of every piece."""
     shards = max(1, -(-measured.count() // shard_texts))
     placed = (
-        measured.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(shards)).cast("long"))
-        .repartition("shard")
+        measured.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(shards)).cast("int"))
+        .repartitionById(shards, F.col("shard"))
         .sortWithinPartitions("shard", "doc_id", "n_words", "cluster", "source")
         .select("doc_id", "source", "n_words", "cluster", "shard")
     )

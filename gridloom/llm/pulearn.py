@@ -130,6 +130,19 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
     return float(np.clip(best, 0.05, 0.95))
 
 
+def risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """The positives' part of the risk, the bracket, and the direction of descent.
+
+    The sigmoid loss is l(z) = 1 / (1 + e^z): with s = sigmoid(g), l(g) = 1 - s and l(-g) = s.  A bracket
+    below zero is raised again instead of the risk being lowered further.
+    """
+    sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
+    gp, gu = p.T @ (sp * (1 - sp)) / len(p), u.T @ (su * (1 - su)) / len(u)
+    bracket = float(su.mean() - prior * sp.mean())
+    rise = gu - prior * gp
+    return float(prior * (1 - sp).mean()), bracket, -prior * gp + rise if bracket >= 0 else -rise
+
+
 def fit_arrays(pos: np.ndarray, unl: np.ndarray, steps: int = 600) -> Scorer:
     """The scorer from features of positives and of unlabelled texts."""
     if not len(pos) or not len(unl):
@@ -144,11 +157,7 @@ def fit_arrays(pos: np.ndarray, unl: np.ndarray, steps: int = 600) -> Scorer:
     scorer.prior = prior = estimate_prior(p @ first, u @ first)
     w, adam, decay = first.copy(), _Adam(len(first), 0.02), 2e-3 + 1.0 / len(p)
     for _ in range(steps):
-        sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
-        # The sigmoid loss l(z) = 1 / (1 + e^z): l(g) = 1 - s, l(-g) = s; ds/dg = s (1 - s).
-        gp, gu = p.T @ (sp * (1 - sp)) / len(p), u.T @ (su * (1 - su)) / len(u)
-        negative = su.mean() - prior * sp.mean()
-        gradient = -prior * gp + (gu - prior * gp) if negative >= 0 else -(gu - prior * gp)
+        _, _, gradient = risk(w, p, u, prior)
         w -= adam.step(gradient + decay * np.append(w[:-1], 0.0))
     scorer.weights, scorer.bias = w[:-1], float(w[-1])
     # Platt step: an unlabelled text is a positive with probability prior on average.

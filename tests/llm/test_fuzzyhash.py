@@ -2,6 +2,7 @@ import hashlib
 import random
 
 from gridloom.llm import fuzzyhash as fh
+from gridloom.llm import textkit as tk
 
 
 def distance(a, b):
@@ -38,6 +39,76 @@ def test_an_edit_stays_near_and_another_text_does_not():
     assert fh.likeness(a, b).min() > 0.8 and fh.likeness(a, a[1:] + a[:1]).max() < 0.3
 
 
+def plain_fingerprint(text):
+    """Byte by byte: the rolling hash, the block size, and a letter for each chunk."""
+    m32, m64 = (1 << 32) - 1, (1 << 64) - 1
+    if not text:
+        return "3::"
+    rolled = []
+    for i in range(len(text)):
+        h = 0
+        for back in range(min(fh.WINDOW, i + 1)):
+            c = int(fh._CODE[text[i - back]])
+            h ^= (c << 4 * back | c >> (32 - 4 * back)) & m32 if back else c
+        h = (h ^ h >> 16) * 0x7FEB352D & m32
+        h = (h ^ h >> 15) * 0x846CA68B & m32
+        rolled.append((h ^ h >> 16) + 1)
+    block = 3
+    while block * 64 < len(text):
+        block *= 2
+    ends = lambda size: [i + 1 for i, h in enumerate(rolled) if h % size == 0]
+    while block > 3 and len(ends(block)) < 32:
+        block //= 2
+
+    def letters(size):
+        cuts = ends(size)[:63]
+        cuts += [len(text)] if not cuts or cuts[-1] < len(text) else []
+        out = ""
+        for a, b in zip([0, *cuts], cuts, strict=False):
+            h = 0
+            for c in reversed(text[a:b]):
+                h = (h * tk._MULTIPLIER + int(tk._BYTE_CODE[c])) & m64
+            h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & m64
+            h = (h ^ h >> 27) * 0x94D049BB133111EB & m64
+            out += "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"[(h ^ h >> 31) & 63]
+        return out
+
+    return f"{block}:{letters(block)}:{letters(2 * block)}"
+
+
+def plain_likeness(x, y):
+    if x == y:
+        return 1.0
+    (m, *a), (n, *b) = x.split(":"), y.split(":")
+    m, n, best = int(m), int(n), 0.0
+    for i, j in ((0, 0), (1, 1), (0, 1), (1, 0)):
+        one, two = a[i], b[j]
+        if m * (1 + i) == n * (1 + j) and any(one[k : k + 4] in two for k in range(len(one) - 3)):
+            best = max(best, 1 - distance(one, two) / max(len(one), len(two)))
+    return best
+
+
+def test_fingerprints_and_likeness_are_those_of_plain_loops():
+    r = random.Random(12)
+    words = ["".join(r.choices("abcdéfghij", k=5)) for _ in range(60)]
+    texts = ["", "a", "aaaaaaaa" * 200, "ab" * 700, *(" ".join(r.choices(words, k=r.choice([1, 5, 40, 150, 700]))) for _ in range(25))]
+    texts += [t[: len(t) // 2] + "another end of it" for t in texts]
+    prints = fh.fingerprints([t.encode() for t in texts])
+    assert prints == [plain_fingerprint(t.encode()) for t in texts]
+    pairs = [(r.choice(prints), r.choice(prints)) for _ in range(250)] + list(zip(prints, prints[len(prints) // 2 :], strict=False))
+    found = fh.likeness(*map(list, zip(*pairs, strict=True)))
+    assert [round(x, 12) for x in found] == [round(plain_likeness(x, y), 12) for x, y in pairs] and len(set(found.tolist())) > 10
+
+
+def test_large_ids_are_cut_into_ranges(spark, monkeypatch):
+    monkeypatch.setattr(fh, "RANGE_ROWS", 20)
+    rows = [(2**62 + i, f"text {i}") for i in range(400)]
+    dealt = fh.with_next(spark.createDataFrame(rows, "doc_id long, text string"))
+    sizes = [r["count"] for r in dealt.filter("not copy").groupBy("part").count().collect()]
+    assert len(sizes) == 20 and max(sizes) <= 40
+    assert [tuple(x) for x in fh.compare_with_edited(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()] == plain(rows)
+
+
 def plain(rows):
     rows = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or ""))
     out = []

@@ -58,6 +58,36 @@ def test_every_word_is_packed_once(spark):
     assert packed == {i: len(t.split()) for i, t, _ in rows}
 
 
+def test_shards_are_packed_as_by_a_plain_search(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(14)
+    words = ["w%d" % i for i in range(900)]
+    rows, base = [], []
+    for i in range(240):
+        base = r.sample(words, 30) if i % 6 == 0 else base
+        rows.append((i, " ".join([*base[:-1], f"x{i}"] * r.choice([1, 1, 2, 5])), r.choice(["hot", "hot", "a", "b", None])))
+    measured = packing.measure(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    near = {x.doc_id: x.cluster for x in measured.collect()}
+    assert 30 < len(set(near.values())) < 200  # clusters of several texts, and texts alone
+    found = packing.best_fit(measured, 100, 60).collect()
+    shards = 4
+    of = {x.doc_id: x for x in measured.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(shards))).collect()}
+    got = {(f.doc_id, f.piece): f.bin_id for f in found}
+    for shard in range(shards):
+        own = sorted((x for x in of.values() if x.shard == shard), key=lambda x: x.doc_id)
+        pieces = [(min(100, x.n_words - k * 100), n, k, x) for n, x in enumerate(own) for k in range(-(-x.n_words // 100))]
+        pieces.sort(key=lambda p: (-p[0], p[1], p[2]))
+        number = lambda names: {v: i for i, v in enumerate(sorted({str(x) for x in names if x is not None}))}
+        sources, clusters = number(x.source for x in own), number(x.cluster for x in own)
+        bins = plain([(size, sources.get(x.source, -1), clusters[str(x.cluster)]) for size, _, _, x in pieces], 100)
+        assert [got[x.doc_id, k] for _, _, k, x in pieces] == [shard << 32 | b for b in bins]
+    held = defaultdict(list)
+    for f in found:
+        held[f.bin_id].append(near[f.doc_id])
+    assert all(len(m) == len(set(m)) for m in held.values())
+
+
 def test_messy_and_empty_tables(messy, none):
     found = packing.pack_documents(messy).collect()
     assert sum(f.end - f.start for f in found if f.doc_id == 5) == 30_000

@@ -46,6 +46,52 @@ def test_rules_on_messy_and_empty_tables(messy, none):
     assert [r.name for r in quality.plan_cascade(none)] == [r.name for r in quality.RULES]
 
 
+def test_risk_and_its_gradient_are_those_of_plain_loops():
+    import math
+
+    rng = np.random.default_rng(4)
+    p, u = rng.normal(0.5, 1, (30, 4)), rng.normal(-0.5, 1, (50, 4))
+    loss = lambda z: 1 / (1 + math.exp(z))
+
+    def plain(w, prior):
+        g = lambda x: sum(a * b for a, b in zip(x, w, strict=True))
+        first = prior * sum(loss(g(x)) for x in p) / len(p)
+        return first, sum(loss(-g(x)) for x in u) / len(u) - prior * sum(loss(-g(x)) for x in p) / len(p)
+
+    met = set()
+    for prior in (0.1, 0.5, 0.95):
+        for _ in range(8):
+            w = rng.normal(0, 2, 4)
+            first, bracket, gradient = pulearn.risk(w, p, u, prior)
+            assert np.allclose((first, bracket), plain(w, prior))
+            met.add(bracket >= 0)
+            goal = (lambda v, q=prior: sum(plain(v, q))) if bracket >= 0 else (lambda v, q=prior: -plain(v, q)[1])
+            steps = [(goal(w + 1e-5 * e) - goal(w - 1e-5 * e)) / 2e-5 for e in np.eye(4)]
+            assert np.allclose(gradient, steps, atol=1e-6)
+    assert met == {True, False}
+
+
+def test_prior_is_the_least_bound_over_quantiles():
+    rng = np.random.default_rng(2)
+    pos, unl = rng.normal(1, 1, 300), np.concatenate([rng.normal(1, 1, 400), rng.normal(-3, 1, 600)])
+    best = 1.0
+    for k in range(35):
+        cut = np.quantile(pos, 0.02 + k * 0.68 / 34)
+        above = sum(x >= cut for x in unl) / len(unl)
+        best = min(best, (above + (above * (1 - above) / len(unl)) ** 0.5) / (sum(x >= cut for x in pos) / len(pos)))
+    assert np.isclose(pulearn.estimate_prior(pos, unl), best) and 0.35 < best < 0.5
+
+
+def test_repeated_ids_are_learnt_once(spark):
+    rows = [(i % 20, ("fine words in a long sentence %d. " % (i % 20)) * 5) for i in range(400)] + [(100 + i, "zz ## %d" % i) for i in range(30)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    every = spark.createDataFrame(rows, "doc_id long, text string")
+    from pyspark.sql import functions as F
+
+    one, many = (pulearn.fit(t, labels, F.lit(True)) for t in (every.dropDuplicates(["doc_id"]), every))
+    assert np.allclose(one.weights, many.weights) and one.prior == many.prior
+
+
 def test_prior_and_scores_of_separable_classes():
     rng = np.random.default_rng(0)
     n = pulearn.N_FEATURES
