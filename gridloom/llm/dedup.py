@@ -381,7 +381,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     )
     met = open_meetings(members, "key", SIG_BLOCK).join(sigs, "rep")
     more = held.table(_meet(met, "key", _near_links(distance), ["root", "sig"]), "near")
-    groups = held.table(graph.components(near.unionAll(more)), "groups") if not more.isEmpty() else roots
+    told = roots.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+    groups = held.table(graph.components(told.unionAll(more)), "groups") if not more.isEmpty() else roots
     grouped = groups.select(F.col("node").alias("rep"), F.col("root").alias("grp"))
     repeated = not known.groupBy("doc_id").count().filter("count > 1").isEmpty()
     texts = held.table(_class_texts(docs, reps, grouped, repeated), "texts")
@@ -393,7 +394,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         rooted = texts.select("rep", "grp", "bytes").join(large, "grp", "left_semi").join(linked.select(F.col("node").alias("rep"), "root"), "rep", "left")
         rooted = held.table(rooted.withColumn("root", F.coalesce("root", "rep")), "rooted")
         met = open_meetings(rooted, "grp", BLOCK).join(texts.select("rep", "text"), "rep")
-        links = links.unionAll(storage.table(_meet(met, "grp", _exact_links(shingle, percent), ["root", "text"]), "links"))
+        told = linked.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+        links = told.unionAll(storage.table(_meet(met, "grp", _exact_links(shingle, percent), ["root", "text"]), "links"))
         linked = graph.components(links)
     held.clear()
     # Ids of a class follow it.
