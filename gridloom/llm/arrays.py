@@ -44,17 +44,67 @@ def load(folder: str, name: str, kind) -> np.ndarray:
         os.unlink(local)
 
 
+class Writer:
+    """Writes an array piece by piece; the file has its name once it is whole."""
+
+    def __init__(self, folder: str, name: str, kind):
+        self.system, root = _open(folder)
+        self.system.create_dir(root, recursive=True)
+        self.kind, self.part, self.path = kind, f"{root}/.{name}-{uuid.uuid4().hex}", f"{root}/{name}"
+        self.out = self.system.open_output_stream(self.part)
+
+    def add(self, values: np.ndarray) -> None:
+        if len(values):
+            self.out.write(memoryview(np.ascontiguousarray(values, dtype=self.kind)).cast("B"))
+
+    def close(self) -> None:
+        self.out.close()
+        self.system.move(self.part, self.path)
+
+
+class Counts:
+    """Counts of any size as bytes; those of 255 and more stand apart with their positions."""
+
+    def __init__(self, folder: str, name: str):
+        self.small = load(folder, name, np.uint8)
+        self.at, self.value = load(folder, f"{name}-at", np.int64), load(folder, f"{name}-of", np.int64)
+
+    @staticmethod
+    def save(folder: str, name: str, counts: np.ndarray) -> None:
+        at = np.flatnonzero(counts >= 255)
+        save(folder, name, np.minimum(counts, 255).astype(np.uint8))
+        save(folder, f"{name}-at", at.astype(np.int64))
+        save(folder, f"{name}-of", counts[at].astype(np.int64))
+
+    def __getitem__(self, positions: np.ndarray) -> np.ndarray:
+        out = self.small[positions].astype(np.int64)
+        many = np.flatnonzero(out == 255)
+        if len(many):
+            out[many] = self.value[np.searchsorted(self.at, positions[many])]
+        return out
+
+
 class SortedHashes:
-    """Positions in sorted 64-bit hashes by a table over their top bits."""
-
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = hashes
-        self.bits = max(1, int(len(hashes)).bit_length())
-        self.shift = np.uint64(64 - self.bits)
-        edges = np.arange((1 << self.bits) + 1, dtype=np.float64) * 2.0 ** (64 - self.bits)
-        inner = edges[1:-1].astype(np.uint64)
-        self.first = np.concatenate([[0], np.searchsorted(hashes, inner), [len(hashes)]]).astype(np.int64)
-        self.longest = int(np.diff(self.first).max()) if len(hashes) else 0
+    """Positions in sorted 64-bit hashes by a table over their top bits, both mapped."""
+
+    def __init__(self, hashes: np.ndarray, first: np.ndarray):
+        self.hashes, self.first = hashes, first
+        self.shift = np.uint64(64 - self.bits(len(hashes)))
+
+    @staticmethod
+    def bits(n: int) -> int:
+        return max(1, n.bit_length())
+
+    @staticmethod
+    def save_table(folder: str, name: str, hashes: np.ndarray, step: int = 1 << 20) -> None:
+        """Where the hashes of each value of the top bits begin."""
+        bits = SortedHashes.bits(len(hashes))
+        out = Writer(folder, name, np.int64)
+        for at in range(0, 1 << bits, step):
+            edges = np.arange(at, min(at + step, 1 << bits), dtype=np.uint64) << np.uint64(64 - bits)
+            out.add(np.searchsorted(hashes, edges))
+        out.add(np.array([len(hashes)]))
+        out.close()
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
         """Positions, or -1 where a hash is missing."""

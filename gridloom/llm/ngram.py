@@ -4,23 +4,24 @@ Tokens are the words of a lower-cased text (A-Z only) and one end per text; each
 begin context.  Counting takes two passes:
 
 1. words: each task sorts the 64-bit hashes of its words and sends (hash, count) runs to shards of
-   the hash range.  A shard merges its runs and writes sorted hashes and counts.  A word's id is its
-   rank over all shards plus one; id 0 is the begin context.
+   the hash range.  A shard merges its runs; one task streams the shards' arrays into one file each of
+   hashes, counts and running counts.  A word's id is its rank plus one; id 0 is the begin context.
 2. pairs: tasks map the words, turn texts into ids and send sorted (previous, word) runs with counts
-   to shards that hold equal shares of the tokens; a frequent word is spread over as many shards as
-   it fills.  A shard writes its sorted pairs and counts and the number of pairs seen once, twice and
-   more for each previous word; it passes on how many different words precede each word, which a
-   third, small exchange sums by word.
+   to shards that hold equal shares of the tokens, about ``SHARD_TOKENS`` each; a frequent word is
+   spread over as many shards as it fills.  A shard writes its sorted pairs and counts, and the number
+   of pairs seen once, twice and more for each previous word; it passes on how many different words
+   precede each word, which a third, small exchange sums by word.
 
 What travels are runs as binary values, so an exchange has a few rows for each task.  The driver sees
-a few numbers for each shard.  Probabilities are worked out from the mapped counts when scoring::
+a few numbers for each shard.  Workers map all arrays, once in each process, and hold none of them;
+probabilities are worked out from the mapped counts when scoring::
 
     P(w | v) = max(c(v w) - D(c), 0) / c(v) + g(v) * Q(w)
     Q(w)     = max(k(w) - D'(k), 0) / K + g' / (V + 1)
 
 with k(w) the number of different words before w, K their sum, and discounts for counts of one, two
 and more estimated from the counts of counts.  A word that was not seen has k = 0, an unseen previous
-word has no pairs and leaves Q.  All training texts are counted in full; nothing is pruned.
+word has no pairs and leaves Q.  All training texts are counted in full, in 64 bits; nothing is pruned.
 
 Null and empty texts are one end token.  Repeated rows count repeatedly.  Without any training text
 every token has probability one.
@@ -28,14 +29,14 @@ every token has probability one.
 
 from __future__ import annotations
 
+import functools
 import json
-import math
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import arrays, storage
@@ -45,6 +46,10 @@ from gridloom.llm import textkit as tk
 END = np.uint64(0x5EED0E4D5EED0E4D)
 #: Tokens that a counting task holds before it sends them on.
 HELD = 4_000_000
+#: Tokens of a shard of pairs, so of its distinct pairs at most; a task merges one shard.
+SHARD_TOKENS = 4_000_000
+#: The largest count of one entry of a run; larger counts take several.
+MOST = 2**32 - 1
 
 
 def token_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,6 +79,12 @@ def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[edge[:-1]], np.diff(edge)
 
 
+def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys with the counts of equal ones summed."""
+    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+    return (keys[start], np.add.reduceat(counts, start)) if len(start) < len(keys) else (keys, counts)
+
+
 def merged(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted runs with counts as one; runs are merged in pairs of like size to keep copies few."""
     while len(runs) > 1:
@@ -81,17 +92,21 @@ def merged(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
         (ka, ca), (kb, cb) = runs[0], runs[1]
         keys = np.concatenate([ka, kb])
         order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], np.concatenate([ca, cb])[order]
-        start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
-        runs[:2] = [(keys[start], np.add.reduceat(counts, start) if len(start) else counts)]
-    return runs[0] if runs else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+        runs[:2] = [_added(keys[order], np.concatenate([ca, cb])[order])]
+    return _added(*runs[0]) if runs else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
 
 
 def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """Differences of the sorted keys' high halves, low halves and counts, each apart (they compress well)."""
+    if len(counts) and counts.max() > MOST:
+        times = -(-counts // MOST)
+        last = counts - (times - 1) * MOST
+        keys, ends = np.repeat(keys, times), np.cumsum(times) - 1
+        counts = np.full(len(keys), MOST)
+        counts[ends] = last
     high = (keys >> np.uint64(32)).astype(np.uint32)
     step = np.diff(high, prepend=np.uint32(0)).astype(np.uint32)
-    return step.tobytes() + (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + np.minimum(counts, 2**32 - 1).astype(np.uint32).tobytes()
+    return step.tobytes() + (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + counts.astype(np.uint32).tobytes()
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +143,7 @@ def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple[np
 
 
 def _spread(frame: DataFrame, shards: int) -> DataFrame:
-    return frame.repartition(shards, "shard").sortWithinPartitions("shard")
+    return frame.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
 
 
 def _hash_shard(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -140,50 +155,54 @@ class Model:
     """Where the arrays are, and the few numbers that belong to all of them."""
 
     folder: str
-    shards: int
-    first: tuple[int, ...]  # number of words before each shard
+    words: int
     tokens: int
     texts: int
+    shards: int = 1  # of pairs
     discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
     low_discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
     low_total: int = 0
     low_left: float = 1.0
-    split: tuple[tuple[int, int, int, int], ...] = ()  # previous words that lie in several shards
-
-    @property
-    def words(self) -> int:
-        return self.first[-1]
 
 
 class Vocabulary:
-    """Ids and counts of words from the mapped shards."""
+    """Ids and counts of words from the mapped arrays."""
 
     def __init__(self, model: Model):
         self.model = model
-        parts = [arrays.load(model.folder, f"words-{s}", np.uint64) for s in range(model.shards)]
-        self.parts = [arrays.SortedHashes(p) for p in parts]
-        self.counts = np.concatenate([[model.texts], *(arrays.load(model.folder, f"counts-{s}", np.int64) for s in range(model.shards))])
-        self.before = np.concatenate([[0], np.cumsum(self.counts)])
+        self.hashes = arrays.SortedHashes(arrays.load(model.folder, "words", np.uint64), arrays.load(model.folder, "table", np.int64))
+        self.counts = arrays.load(model.folder, "counts", np.int64)  # of the begin context first
+        self.before = arrays.load(model.folder, "before", np.int64)
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Ids from 1; -1 for a word that was not counted."""
-        out = np.full(len(hashes), -1, dtype=np.int64)
-        shard = _hash_shard(hashes, self.model.shards)
-        order = np.argsort(shard, kind="stable")
-        edges = np.searchsorted(shard[order], np.arange(self.model.shards + 1))
-        for s in range(self.model.shards):
-            rows = order[edges[s] : edges[s + 1]]
-            if len(rows):
-                found = self.parts[s].find(hashes[rows])
-                out[rows] = np.where(found >= 0, found + (self.model.first[s] + 1), -1)
-        return out
+        found = self.hashes.find(hashes)
+        return np.where(found >= 0, found + 1, -1)
 
     def pair_shard(self, prev: np.ndarray, word: np.ndarray) -> np.ndarray:
         """The shard of a pair: pairs are laid out by the mass of tokens before them, and a previous
         word's own pairs by a hash of the word, so that no shard has more than its share."""
         share = (tk.mix(word.astype(np.uint64)) >> np.uint64(40)).astype(np.float64) / 2.0**24
         mass = self.before[prev] + share * self.counts[prev]
-        return np.minimum(mass * (self.model.shards / max(int(self.before[-1]), 1)), self.model.shards - 1).astype(np.int32)
+        total = self.model.tokens + self.model.texts
+        return np.minimum(mass * (self.model.shards / max(total, 1)), self.model.shards - 1).astype(np.int32)
+
+
+@functools.lru_cache(maxsize=1)
+def _vocabulary(model: Model) -> Vocabulary:
+    """One for each worker process, whatever the number of its tasks."""
+    return Vocabulary(model)
+
+
+def _alone(spark: SparkSession, work: Callable[[], None]) -> None:
+    """Runs ``work`` in one task; it streams, so its memory does not follow what it reads."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if any(batch.num_rows for batch in batches):
+            work()
+            yield pa.RecordBatch.from_pydict({"done": [1]})
+
+    spark.range(0, 1, 1, 1).mapInArrow(run, "done long").collect()
 
 
 def _count_words(docs: DataFrame, shards: int, folder: str) -> Model:
@@ -201,22 +220,41 @@ def _count_words(docs: DataFrame, shards: int, folder: str) -> Model:
             keys, counts = merged(held)
             yield from _sent(_hash_shard(keys, shards), keys, counts)
 
+    parts = f"{folder}-parts"
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, (keys, counts) in _by_shard(batches):
-            arrays.save(folder, f"words-{shard}", keys)
-            arrays.save(folder, f"counts-{shard}", counts)
+            arrays.save(parts, f"words-{shard}", keys)
+            arrays.save(parts, f"counts-{shard}", counts)
             ends = int(counts[keys == END].sum())
             yield pa.RecordBatch.from_pylist([{"shard": shard, "words": len(keys), "tokens": int(counts.sum()), "texts": ends}])
 
     runs = docs.select("text").mapInArrow(send, "shard int, run binary")
     rows = _spread(runs, shards).mapInArrow(gather, "shard long, words long, tokens long, texts long").collect()
-    found = {r["shard"]: r for r in rows}
-    for s in range(shards):
-        if s not in found:
-            arrays.save(folder, f"words-{s}", np.zeros(0, dtype=np.uint64))
-            arrays.save(folder, f"counts-{s}", np.zeros(0, dtype=np.int64))
-    first = np.concatenate([[0], np.cumsum([found[s]["words"] if s in found else 0 for s in range(shards)])])
-    return Model(folder, shards, tuple(int(x) for x in first), sum(r["tokens"] for r in rows), sum(r["texts"] for r in rows))
+    found, texts = sorted(r["shard"] for r in rows), sum(r["texts"] for r in rows)
+
+    def join() -> None:
+        """Shards are ranges of hashes, so their arrays in a row are sorted."""
+        words, counts, before = (arrays.Writer(folder, n, k) for n, k in (("words", np.uint64), ("counts", np.int64), ("before", np.int64)))
+        counts.add(np.array([texts]))
+        before.add(np.array([0, texts]))
+        mass = texts
+        for s in found:
+            words.add(arrays.load(parts, f"words-{s}", np.uint64))
+            own = arrays.load(parts, f"counts-{s}", np.int64)
+            counts.add(own)
+            before.add(mass + np.cumsum(own))
+            mass += int(own.sum())
+        for out in (words, counts, before):
+            out.close()
+        arrays.SortedHashes.save_table(folder, "table", arrays.load(folder, "words", np.uint64))
+
+    _alone(docs.sparkSession, join)
+    storage.drop(docs.sparkSession, parts)
+    model = Model(folder, sum(r["words"] for r in rows), sum(r["tokens"] for r in rows), texts)
+    if model.words >= 2**32 - 1:
+        raise ValueError("ids of words have 32 bits")
+    return model
 
 
 def _of_counts(counts: np.ndarray) -> list[int]:
@@ -235,11 +273,11 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
 
 
 def _count_pairs(docs: DataFrame, model: Model) -> Model:
-    shards, folder = model.shards, model.folder
+    shards, folder, parts = model.shards, model.folder, f"{model.folder}-parts"
     span = max(1, -(-(model.words + 1) // shards))  # ids of a shard of the lower order
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, size = None, [], 0
+        known, held, size = _vocabulary(model), [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             keys, counts = counted(np.concatenate(held))
@@ -247,7 +285,6 @@ def _count_pairs(docs: DataFrame, model: Model) -> Model:
             yield from _sent(known.pair_shard(prev, word), keys, counts)
 
         for batch in batches:
-            known = known or Vocabulary(model)
             for _, _, offsets, data in tk.slices(tk.text_column(batch)):
                 hashes, at = token_hashes(offsets, data)
                 ids = known.ids(hashes)
@@ -263,25 +300,24 @@ def _count_pairs(docs: DataFrame, model: Model) -> Model:
         for shard, (keys, counts) in _by_shard(batches):
             prev = (keys >> np.uint64(32)).astype(np.uint32)
             arrays.save(folder, f"pairs-{shard}", keys)
-            arrays.save(folder, f"seen-{shard}", np.minimum(counts, 2**32 - 1).astype(np.uint32))
+            arrays.Counts.save(folder, f"seen-{shard}", counts)
             start = np.flatnonzero(np.concatenate([[True], prev[1:] != prev[:-1]]))
             kinds = np.stack([np.add.reduceat((counts == 1).astype(np.int64), start), np.add.reduceat((counts == 2).astype(np.int64), start), np.add.reduceat((counts > 2).astype(np.int64), start)], axis=1)
-            arrays.save(folder, f"prev-{shard}", prev[start])
-            arrays.save(folder, f"kinds-{shard}", kinds.astype(np.uint32))
-            ends = [{"prev": int(prev[i]), "kinds": kinds[k].tolist()} for i, k in ((start[0], 0), (start[-1], len(start) - 1))]
+            arrays.save(parts, f"prev-{shard}", prev[start])
+            arrays.save(parts, f"kinds-{shard}", kinds)
             words, preceded = counted(keys & np.uint64(0xFFFFFFFF))
             part = (words.astype(np.int64) // span).astype(np.int32)
             for b in _sent(part, words, preceded):
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.nulls(1, pa.string())], names=["shard", "run", "told"])
 
-            told = json.dumps({"shard": shard, "of": _of_counts(counts), "ends": ends[: 1 + (len(start) > 1)]})
+            told = json.dumps({"shard": shard, "of": _of_counts(counts)})
             yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.nulls(1, pa.binary()), pa.array([told])], names=["shard", "run", "told"])
 
     def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, (words, counts) in _by_shard(batches):
             dense = np.zeros(span, dtype=np.uint32)
             dense[words.astype(np.int64) - shard * span] = counts
-            arrays.save(folder, f"low-{shard}", dense)
+            arrays.save(parts, f"low-{shard}", dense)
             n = _of_counts(counts)
             yield pa.RecordBatch.from_pylist([{"shard": shard, "total": int(counts.sum()), "n1": n[0], "n2": n[1], "n3": n[2], "n4": n[3], "many": int((counts > 2).sum())}])
 
@@ -292,31 +328,50 @@ def _count_pairs(docs: DataFrame, model: Model) -> Model:
     rows = _spread(passed.filter("told is null").select("shard", "run"), shards).mapInArrow(
         low, "shard long, total long, n1 long, n2 long, n3 long, n4 long, many long"
     ).collect()
-    have, low_have = {t["shard"] for t in told}, {r["shard"] for r in rows}
-    for s in range(shards):
-        if s not in have:
-            for name, kind in (("pairs", np.uint64), ("seen", np.uint32), ("prev", np.uint32), ("kinds", np.uint32)):
-                arrays.save(folder, f"{name}-{s}", np.zeros(0, dtype=kind))
-        if s not in low_have:
-            arrays.save(folder, f"low-{s}", np.zeros(span, dtype=np.uint32))
-    ends: dict[int, list] = {}
-    for t in told:
-        for e in t["ends"]:
-            ends.setdefault(e["prev"], []).append(e["kinds"])
-    split = tuple((p, *(int(sum(k[i] for k in kinds)) for i in range(3))) for p, kinds in sorted(ends.items()) if len(kinds) > 1)
     d = discounts([sum(t["of"][i] for t in told) for i in range(4)])
     n = [sum(r[f"n{i}"] for r in rows) for i in (1, 2, 3, 4)]
     ld, total = discounts(n), sum(r["total"] for r in rows)
     left = (ld[0] * n[0] + ld[1] * n[1] + ld[2] * sum(r["many"] for r in rows)) / total if total else 1.0
-    return Model(folder, shards, model.first, model.tokens, model.texts, d, ld, total, left, split)
+    have, low_have = sorted(t["shard"] for t in told), {r["shard"] for r in rows}
+
+    def join() -> None:
+        """The lower order by id, and what each previous word leaves to it."""
+        low = arrays.Writer(folder, "low", np.uint32)
+        for s in range(shards):
+            low.add(arrays.load(parts, f"low-{s}", np.uint32) if s in low_have else np.zeros(span, dtype=np.uint32))
+        low.close()
+        counts = arrays.load(folder, "counts", np.int64)
+        out, done = arrays.Writer(folder, "left", np.float64), 0
+        held = np.zeros((0, 4), dtype=np.int64)  # the last previous word: its pairs may go on in the next shard
+        for s in [*have, None]:
+            rows = held
+            if s is not None:
+                new = np.column_stack([arrays.load(parts, f"prev-{s}", np.uint32).astype(np.int64), arrays.load(parts, f"kinds-{s}", np.int64).reshape(-1, 3)])
+                if len(held) and new[0, 0] == held[0, 0]:
+                    new[0, 1:] += held[0, 1:]
+                    rows = new
+                else:
+                    rows = np.concatenate([held, new])
+                held, rows = rows[-1:], rows[:-1]
+            stop = len(counts) if s is None else int(held[0, 0])
+            share = np.ones(stop - done)
+            share[rows[:, 0] - done] = (rows[:, 1:] @ np.array(d)) / counts[rows[:, 0]]
+            out.add(share)
+            done = stop
+        out.close()
+
+    _alone(docs.sparkSession, join)
+    storage.drop(docs.sparkSession, parts)
+    return replace(model, discounts=d, low_discounts=ld, low_total=total, low_left=left)
 
 
 def fit(docs: DataFrame) -> Model:
     """Counts all rows of ``docs``."""
     spark = docs.sparkSession
     folder = storage.fresh(spark, "ngram")
-    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return _count_pairs(docs, _count_words(docs, shards, folder))
+    least = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    model = _count_words(docs, least, folder)
+    return _count_pairs(docs, replace(model, shards=max(least, -(-model.tokens // SHARD_TOKENS))))
 
 
 def _discounted(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
@@ -327,24 +382,11 @@ class Scorer:
     """Scores slices from the mapped arrays of a model."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, Vocabulary(model)
-        load = lambda name, s, kind: arrays.load(model.folder, f"{name}-{s}", kind)
-        shards = range(model.shards)
-        self.pairs = [load("pairs", s, np.uint64) for s in shards]
-        self.seen = [load("seen", s, np.uint32) for s in shards]
-        self.low = np.concatenate([load("low", s, np.uint32) for s in shards]).astype(np.int64)
-        # What a previous word leaves to the lower order, by id.
-        self.left = np.ones(model.words + 1)
-        for s in shards:
-            prev, kinds = load("prev", s, np.uint32), load("kinds", s, np.uint32).reshape(-1, 3)
-            self.left[prev] = kinds @ np.array(model.discounts)
-        for p, *kinds in model.split:
-            self.left[p] = np.dot(kinds, model.discounts)
-        held = self.left[: model.words + 1]
-        self.left = np.where(self.known.counts > 0, held / np.maximum(self.known.counts, 1), 1.0)
-        end = self.known.ids(np.array([END]))[0]
-        if end > 0:
-            self.left[end] = 1.0
+        self.model, self.known = model, _vocabulary(model)
+        self.low = arrays.load(model.folder, "low", np.uint32)
+        #: What a previous word leaves to the lower order, by id; an end is never followed.
+        self.left = arrays.load(model.folder, "left", np.float64)
+        self.shard = functools.cache(lambda s: (arrays.load(model.folder, f"pairs-{s}", np.uint64), arrays.Counts(model.folder, f"seen-{s}")))
 
     def _pair_counts(self, prev: np.ndarray, ids: np.ndarray) -> np.ndarray:
         out = np.zeros(len(ids), dtype=np.int64)
@@ -353,12 +395,14 @@ class Scorer:
         keys = (prev[rows].astype(np.uint64) << np.uint64(32)) | ids[rows].astype(np.uint64)
         order = np.argsort(keys, kind="stable")
         order = order[np.argsort(shard[order], kind="stable")]
-        edges = np.searchsorted(shard[order], np.arange(self.model.shards + 1))
-        for s in range(self.model.shards):
-            part = order[edges[s] : edges[s + 1]]
-            if len(part) and len(self.pairs[s]):
-                at = np.minimum(np.searchsorted(self.pairs[s], keys[part]), len(self.pairs[s]) - 1)
-                out[rows[part]] = np.where(self.pairs[s][at] == keys[part], self.seen[s][at], 0)
+        edge = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1)).tolist()
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            part = order[a:b]
+            pairs, seen = self.shard(int(shard[part[0]]))
+            if len(pairs):
+                at = np.minimum(np.searchsorted(pairs, keys[part]), len(pairs) - 1)
+                hit = pairs[at] == keys[part]
+                out[rows[part[hit]]] = seen[at[hit]]
         return out
 
     def score(self, offsets: np.ndarray, data: np.ndarray) -> dict[str, np.ndarray]:
@@ -367,23 +411,27 @@ class Scorer:
         ids = self.known.ids(hashes)
         prev = previous(ids, at)
         pairs = self._pair_counts(prev, ids)
-        seen = np.where(ids > 0, self.known.counts[ids], 0)
-        low = np.where(ids > 0, self.low[ids], 0)
-        q = _discounted(low, m.low_discounts) / max(m.low_total, 1) + m.low_left / (m.words + 1)
-        context = np.where(prev >= 0, self.known.counts[prev], 1)
-        p = _discounted(pairs, m.discounts) / np.maximum(context, 1) + np.where(prev >= 0, self.left[prev], 1.0) * q
+        counts = lambda which, i, none: np.where(i >= 0, which[np.maximum(i, 0)], none)
+        seen, low = (counts(x, ids, 0) for x in (self.known.counts, self.low))
+        q = _discounted(low.astype(np.int64), m.low_discounts) / max(m.low_total, 1) + m.low_left / (m.words + 1)
+        p = _discounted(pairs, m.discounts) / np.maximum(counts(self.known.counts, prev, 1), 1) + counts(self.left, prev, 1.0) * q
         base = np.log10((seen + 0.5) / (m.tokens + 0.5 * (m.words + 1)))
         add = lambda x: np.add.reduceat(x, at[:-1]) if len(at) > 1 else np.zeros(0)
         return {"n_tokens": np.diff(at), "n_known": add((seen > 0).astype(np.int64)), "base_score": add(base), "score": add(np.log10(p))}
 
 
+@functools.lru_cache(maxsize=1)
+def _scorer(model: Model) -> Scorer:
+    """One for each worker process, whatever the number of its tasks."""
+    return Scorer(model)
+
+
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, n_tokens, n_known, base_score, score and perplexity for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = None
+        scorer = _scorer(model)
         for batch in batches:
-            scorer = scorer or Scorer(model)
             passed = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             for first, end, offsets, data in tk.slices(tk.text_column(batch)):
                 got = scorer.score(offsets, data)
@@ -394,34 +442,3 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     source = docs.select(*dict.fromkeys([*keep, "text"]))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in keep]
     return source.mapInArrow(run, ", ".join([*kinds, "n_tokens long, n_known long, base_score double, score double, perplexity double"]))
-
-
-def brute_force(train: list[str], text: str) -> float:
-    """The same model over plain dictionaries, for tests."""
-    import re
-    from collections import Counter, defaultdict
-
-    def tokens(t: str) -> list[str]:
-        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
-        return [*re.findall(r"[^\x20\x09-\x0D]+", low), "</s>"]
-
-    pairs, context = Counter(), Counter()
-    for t in train:
-        for v, w in zip(["<s>", *tokens(t)], tokens(t), strict=False):
-            pairs[v, w] += 1
-            context[v] += 1
-    before = defaultdict(set)
-    for v, w in pairs:
-        before[w].add(v)
-    k = {w: len(s) for w, s in before.items()}
-    of = lambda values: [sum(1 for c in values if c == r) for r in (1, 2, 3, 4)]
-    d, e = discounts(of(list(pairs.values()))), discounts(of(list(k.values())))
-    cut = lambda c, x: c - [0.0, *x][min(c, 3)]
-    total = sum(k.values())
-    left = sum([0.0, *e][min(c, 3)] for c in k.values()) / total if total else 1.0
-    out = 0.0
-    for v, w in zip(["<s>", *tokens(text)], tokens(text), strict=False):
-        q = cut(k.get(w, 0), e) / max(total, 1) + left / (len(k) + 1)
-        held = sum([0.0, *d][min(c, 3)] for (x, _), c in pairs.items() if x == v) / context[v] if context[v] else 1.0
-        out += math.log10(cut(pairs[v, w], d) / max(context[v], 1) + held * q)
-    return out
