@@ -129,6 +129,20 @@ def next_row(docs: DataFrame, cursors: DataFrame, columns: int, start_column: in
     return _shaped(flat.withColumn("cursor", F.struct("seg", "g")), ["doc_id", "cursor"])
 
 
+def walk_from(docs: DataFrame, cursors: DataFrame, columns: int, options: Options = Options()) -> DataFrame:
+    """The rows from a cursor on, for one (doc_id, cursor, row, start_column) of each document; ``row`` is the
+    number of the first, which alone begins at the start column."""
+
+    def rows_of(layout, row):
+        for asked in row["asked"]:
+            found = layout.rows(columns, asked["start_column"], (asked["cursor"]["seg"], asked["cursor"]["g"]))
+            for n, line in enumerate(found, asked["row"]):
+                yield row["doc_id"], n, *row_values(line)
+
+    asked = with_requests(docs, cursors.select("doc_id", "cursor", "row", "start_column"), options)
+    return _shaped(run_kernel(asked, f"{_kept(docs, ())}row int, {_FLAT}", rows_of, options), ["doc_id", "row"])
+
+
 def materialize(docs: DataFrame, rows: DataFrame, options: Options = Options()) -> DataFrame:
     """Adds text and source_text to rows of ``walk`` (any subset of them).
 

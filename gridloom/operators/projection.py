@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.wrap import Layout, Row, check
+from gridloom.operators import ranges
 from gridloom.operators.kernel import Options, run_kernel, with_requests
 from gridloom.operators.layout import CURSOR
 
@@ -197,6 +198,22 @@ def project_range(docs: DataFrame, requests: DataFrame, columns: int, start_colu
     )
 
 
+FRAGMENT = "struct<row:int,src_start:int,src_end:int,start_col:int,end_col:int>"
+
+
+def project_range_ends(docs: DataFrame, requests: DataFrame, columns: int, start_column: int = 0, options: Options = Options()) -> DataFrame:
+    """Each (doc_id, q_start, q_end), its start snapped to the boundary before and its end to that after, with
+    the rows and columns of both and the fragments between."""
+
+    def answer(p, r):
+        first, last = p.offset(r["q_start"], "before"), p.offset(r["q_end"], "after")
+        parts = [dict(zip(("row", "src_start", "src_end", "start_col", "end_col"), f, strict=True)) for f in p.fragments(r["q_start"], r["q_end"])]
+        yield (r["doc_id"], r["q_start"], r["q_end"], first[0], first[1], first[3], last[0], last[1], last[3], parts)
+
+    schema = f"start_row int, start_col int, start_offset int, end_row int, end_col int, end_offset int, fragments array<{FRAGMENT}>"
+    return _answer(docs, requests.select("doc_id", "q_start", "q_end"), schema, answer, columns, start_column, options)
+
+
 def project_rows(rows: DataFrame) -> DataFrame:
     """Extents of rows: columns and source bounds."""
     return rows.select("doc_id", "row", F.col("start_column").alias("start_col"), (F.col("start_column") + F.col("width")).alias("end_col"), "src_start", "src_end")
@@ -218,10 +235,30 @@ def select_cells(docs: DataFrame, requests: DataFrame, columns: int, start_colum
     return _answer(docs, requests.select("doc_id", "a_row", "a_col", "f_row", "f_col"), schema, answer, columns, start_column, options)
 
 
-def extract(docs: DataFrame, requests: DataFrame, columns: int, start_column: int = 0, options: Options = Options()) -> DataFrame:
-    """Source text and visible text of each (doc_id, q_start, q_end)."""
-    schema = "source_text string, visible_rows array<string>, visible_text string"
-    return _answer(
-        docs, requests.select("doc_id", "q_start", "q_end"), schema,
-        lambda p, r: [(r["doc_id"], r["q_start"], r["q_end"], *p.extract(r["q_start"], r["q_end"]))], columns, start_column, options,
-    )
+def extract(
+    docs: DataFrame, requests: DataFrame, columns: int, start_column: int = 0, options: Options = Options(), annotated: DataFrame | None = None
+) -> DataFrame:
+    """Source text, visible text and the fragments of each (doc_id, q_start, q_end), with the annotated
+    ranges that it meets where an index of them is given (``ranges.create``)."""
+    asked = requests.select("doc_id", "q_start", "q_end").distinct()
+
+    def answer(p, r):
+        names = ("row", "src_start", "src_end", "start_col", "end_col")
+        parts = [dict(zip(names, f, strict=True)) for f in p.fragments(r["q_start"], r["q_end"])]
+        yield (r["doc_id"], r["q_start"], r["q_end"], *p.extract(r["q_start"], r["q_end"]), parts)
+
+    schema = f"source_text string, visible_rows array<string>, visible_text string, fragments array<{FRAGMENT}>"
+    found = _answer(docs, asked, schema, answer, columns, start_column, options)
+    if annotated is None:
+        return found
+    told = F.struct("src_start", F.negative("src_end").alias("before"), "id", "kind", "src_end")
+    met = ranges.for_source_range(annotated, asked).groupBy("doc_id", "q_start", "q_end").agg(F.sort_array(F.collect_list(told)).alias("m"))
+    shown = F.transform("m", lambda x: F.struct(x["id"].alias("id"), x["kind"].alias("kind"), x["src_start"].alias("src_start"), x["src_end"].alias("src_end")))
+    empty = F.array().cast("array<struct<id:string,kind:string,src_start:int,src_end:int>>")
+    return found.join(met, ["doc_id", "q_start", "q_end"], "left").withColumn("ranges", F.coalesce(shown, empty)).drop("m")
+
+
+def extract_selection(docs: DataFrame, selections: DataFrame, columns: int, start_column: int = 0, options: Options = Options(), annotated: DataFrame | None = None) -> DataFrame:
+    """``extract`` for selections of ``select_cells``, with their directions; a collapsed one has no text."""
+    asked = selections.select("doc_id", F.col("src_start").alias("q_start"), F.col("src_end").alias("q_end"), "direction", "collapsed").distinct()
+    return asked.join(extract(docs, asked, columns, start_column, options, annotated), ["doc_id", "q_start", "q_end"])

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _units(text: str) -> Column:
+    """A key that sorts texts by UTF-16 code units, as surrogates come before U+E000 and what follows it."""
+    return F.encode(F.col(text), "UTF-16BE")
+
+
 def _ordered(frame: DataFrame, by: list[str]) -> DataFrame:
-    return frame.orderBy(*by, "src_start", F.desc("src_end"), "id", "kind")
+    """By start, falling end, id and kind; ranges that agree in all keep the order of ``ord``, if there is one."""
+    return frame.orderBy(*by, "src_start", F.desc("src_end"), _units("id"), _units("kind"), *(["ord"] if "ord" in frame.columns else []))
 
 
 def invalid_ranges(ranges: DataFrame) -> DataFrame:
@@ -24,23 +30,36 @@ def invalid_ranges(ranges: DataFrame) -> DataFrame:
     return bad.unionByName(twice.select("doc_id", "id", F.lit("repeated id").alias("reason")))
 
 
-def create(ranges: DataFrame) -> DataFrame:
-    """The ranges, checked where they are read: bad bounds and empty names are errors."""
+def _checked(ranges: DataFrame) -> DataFrame:
     bad = (
         (F.coalesce(F.col("id"), F.lit("")) == "") | (F.coalesce(F.col("kind"), F.lit("")) == "")
         | F.coalesce((F.col("src_start") < 0) | (F.col("src_end") < F.col("src_start")), F.lit(True))
     )
+    if "data" in ranges.columns:
+        bad = bad | (F.col("data").isNotNull() & F.try_parse_json("data").isNull())
     checked = F.when(bad, F.raise_error(F.concat(F.lit("invalid range "), F.coalesce("id", F.lit("null")))).cast("int")).otherwise(F.col("src_start"))
     return ranges.withColumn("src_start", checked)
 
 
+def _unique(ranges: DataFrame) -> DataFrame:
+    """The ranges, with an error where they are read for an id that a document has twice.
+
+    A window over (document, id) needs one exchange on a key that is unique in valid data.
+    """
+    n = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "id"))
+    twice = F.raise_error(F.concat(F.lit("repeated range id "), F.col("id"))).cast("int")
+    return ranges.withColumn("_n", n).withColumn("src_start", F.when(F.col("_n") > 1, twice).otherwise(F.col("src_start"))).drop("_n")
+
+
+def create(ranges: DataFrame) -> DataFrame:
+    """The ranges, checked where they are read: bad bounds, empty names, data that is not JSON and ids that a
+    document has twice are errors."""
+    return _unique(_checked(ranges))
+
+
 def append(ranges: DataFrame, more: DataFrame) -> DataFrame:
     """Both sets of ranges; an id that a document has twice is an error where rows are read."""
-    both = create(ranges).unionByName(create(more), allowMissingColumns=True)
-    counts = both.groupBy("doc_id", "id").agg(F.count("*").alias("_n"))
-    joined = both.join(counts, ["doc_id", "id"])
-    twice = F.raise_error(F.concat(F.lit("repeated range id "), F.col("id"))).cast("int")
-    return joined.withColumn("src_start", F.when(F.col("_n") > 1, twice).otherwise(F.col("src_start"))).drop("_n")
+    return _unique(_checked(ranges).unionByName(_checked(more), allowMissingColumns=True))
 
 
 def holds(offset: Column) -> Column:

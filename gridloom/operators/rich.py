@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from gridloom.functions import ansi
 from gridloom.functions.segment import Prepared
 from gridloom.functions.wrap import check
+from gridloom.operators import telemetry
 from gridloom.operators.kernel import OUT_ROWS, Options, _batch, spread
 
 STYLE = "struct<fg:string,bg:string,bold:boolean,dim:boolean,italic:boolean,underline:boolean,inverse:boolean,strikethrough:boolean>"
@@ -138,6 +139,36 @@ def fragments(
     return _rows(docs, schema, rows_of, options, policy)
 
 
+def visible_for_raw(found: DataFrame, requests: DataFrame) -> DataFrame:
+    """Where each (doc_id, q_start, q_end) of the raw text lies in the visible one: the entries of
+    ``raw_map`` that it meets."""
+    asked = requests.select("doc_id", "q_start", "q_end")
+    return asked.join(found, "doc_id").filter((F.col("raw_start") < F.col("q_end")) & (F.col("raw_end") > F.col("q_start")))
+
+
+def raw_for_visible(found: DataFrame, requests: DataFrame) -> DataFrame:
+    """The entries of ``raw_map`` that each (doc_id, q_start, q_end) of the visible text meets."""
+    asked = requests.select("doc_id", "q_start", "q_end")
+    return asked.join(found, "doc_id").filter((F.col("src_start") < F.col("q_end")) & (F.col("src_end") > F.col("q_start")))
+
+
+def memory(docs: DataFrame, options: Options = Options(), policy: ansi.Policy = ansi.Policy()) -> DataFrame:
+    """Amounts and modelled bytes of each document's visible text, spans, diagnostics and raw map."""
+
+    def rows_of(doc, raw, rich):
+        units = lambda t: _utf16(t).offset(len(t))
+        styles = [s[5] for s in rich.spans if s[0] == "style"]
+        told = [d[k] or "" for d in rich.diagnostics for k in ("code", "fingerprint", "family", "sample")]
+        told += [s[5] for s in rich.spans if s[0] == "link"]
+        if policy.raw_retention == "capped-sample":
+            told.append(ansi.escape_sample(raw, policy.sample))
+        n, d, m = len(rich.spans), len(rich.diagnostics), len(rich.raw_map)
+        yield doc, units(rich.visible) + sum(map(units, told)), 2 * n + 4 * m + d, n + d + m + sum(map(len, styles)), n + m
+
+    found = _rows(docs, f"doc_id {_key(docs)}, chars int, slots int, entries int, ranges int", rows_of, options, policy)
+    return found.withColumn("bytes", telemetry.estimated_bytes(**{c: F.col(c) for c in ("chars", "slots", "entries", "ranges")}))
+
+
 def spans_for_source_range(found: DataFrame, start: int, end: int) -> DataFrame:
     """Spans that overlap a source range, in emission order."""
     return found.filter((F.col("src_start") < end) & (F.col("src_end") > start)).orderBy("doc_id", "ord")
@@ -149,3 +180,24 @@ def clipped_fragments(found: DataFrame, start: int, end: int) -> DataFrame:
     inside = each.filter((F.col("src_start") < end) & (F.col("src_end") > start))
     lo, hi = F.greatest("src_start", F.lit(start)), F.least("src_end", F.lit(end))
     return inside.select("doc_id", "row", lo.alias("src_start"), hi.alias("src_end"), F.substr("source_text", lo - F.col("src_start") + 1, hi - lo).alias("source_text"), "style", "link")
+
+
+def extract(
+    docs: DataFrame, requests: DataFrame, columns: int, start_column: int = 0, options: Options = Options(), policy: ansi.Policy = ansi.Policy(), reemit: str = "none"
+) -> DataFrame:
+    """Each (doc_id, q_start, q_end) of the visible text: its source text and its fragments within it, row by row."""
+    parts = fragments(docs, columns, start_column, options, policy, reemit).select("doc_id", "row", F.explode("fragments").alias("f"))
+    asked = requests.select("doc_id", "q_start", "q_end").distinct()
+    met = asked.join(parts, "doc_id").filter((F.col("f.src_start") < F.col("q_end")) & (F.col("f.src_end") > F.col("q_start")))
+    lo, hi = F.greatest("f.src_start", "q_start"), F.least("f.src_end", "q_end")
+    text = F.substr("f.source_text", lo - F.col("f.src_start") + 1, hi - lo)
+    cut = F.struct("row", lo.alias("src_start"), hi.alias("src_end"), text.alias("source_text"), F.col("f.style").alias("style"), F.col("f.link").alias("link"))
+    found = met.groupBy("doc_id", "q_start", "q_end").agg(F.array_sort(F.collect_list(cut)).alias("fragments"))
+    texts = visible(docs, options, policy).select("doc_id", F.col("text").alias("_text"))
+    whole = asked.join(texts, "doc_id").withColumn("source_text", F.substr("_text", F.col("q_start") + 1, F.greatest(F.lit(0), F.col("q_end") - F.col("q_start"))))
+    return whole.drop("_text").join(found, ["doc_id", "q_start", "q_end"], "left")
+
+
+def extract_selection(docs: DataFrame, selections: DataFrame, columns: int, **how) -> DataFrame:
+    """``extract`` for selections (``projection.select_cells`` over the visible texts)."""
+    return extract(docs, selections.select("doc_id", F.col("src_start").alias("q_start"), F.col("src_end").alias("q_end")), columns, **how)

@@ -5,12 +5,14 @@ Rows are an ordinary DataFrame; write or persist it where it is used several tim
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import functools
+from collections import OrderedDict
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators import layout
+from gridloom.operators.kernel import Options, gated
 
 
 def row_at(rows: DataFrame, row: int) -> DataFrame:
@@ -111,36 +113,119 @@ def valid_prefix(rows: DataFrame, first_invalid: int | None = None) -> DataFrame
     return rows.filter(F.col("row") < (1 if first_invalid is None else max(first_invalid, 1)))
 
 
-@dataclass
+class PageCache:
+    """Pages of rows that stay persisted while they are among the last ``max_pages`` asked for.
+
+    Counters tell hits, misses, builds, evictions and pages that an invalidation has dropped.
+    """
+
+    def __init__(self, rows: DataFrame, page_size: int = 64, max_pages: int = 16, generation: int = 0):
+        if page_size <= 0 or max_pages <= 0:
+            raise ValueError("a cache has pages, and pages have rows")
+        self.rows, self.page_size, self.max_pages, self.generation = rows, page_size, max_pages, generation
+        self.pages: OrderedDict[tuple[int, int], DataFrame] = OrderedDict()
+        self.counters = dict.fromkeys(("hits", "misses", "builds", "evictions", "invalidated_pages"), 0)
+
+    def get(self, start_row: int, row_count: int) -> DataFrame:
+        key = (start_row, row_count)
+        if key in self.pages:
+            self.counters["hits"] += 1
+            self.pages.move_to_end(key)
+            return self.pages[key]
+        found = page(self.rows, start_row, row_count, self.page_size)
+        self.counters["misses"] += 1
+        self.counters["builds"] += 1
+        self.pages[key] = found.persist()
+        if len(self.pages) > self.max_pages:
+            self._drop(next(iter(self.pages)), "evictions")
+        return found
+
+    def _drop(self, key: tuple[int, int], why: str) -> None:
+        self.pages.pop(key).unpersist()
+        self.counters[why] += 1
+
+    def invalidate(self, rows: DataFrame, generation: int, first_invalid_row: int | None = None) -> None:
+        """Goes on with new rows; pages whose asked-for span reaches the first invalid row are dropped, and
+        without one all are."""
+        if generation <= self.generation:
+            raise ValueError(f"generation {generation} does not follow {self.generation}")
+        for start, count in [k for k in self.pages if first_invalid_row is None or sum(k) > first_invalid_row]:
+            self._drop((start, count), "invalidated_pages")
+        self.rows, self.generation = rows, generation
+
+    def clear(self) -> None:
+        for key in list(self.pages):
+            self._drop(key, "evictions")
+
+
 class LayoutBundle:
-    """Rows and clusters of documents under one identity, with a generation that each change raises."""
+    """Rows, a page cache and a source index of documents under one layout, with a generation that each
+    append raises."""
+
+    def __init__(
+        self, docs: DataFrame, columns: int, start_column: int = 0, options: Options = Options(), page_size: int = 64, max_pages: int = 16,
+        interval: int = 64, generation: int = 0, rows: DataFrame | None = None,
+    ):
+        self.docs, self.columns, self.start_column, self.options, self.interval = docs, columns, start_column, options, interval
+        self.rows = layout.walk(docs, columns, start_column, options) if rows is None else rows
+        self.cache = PageCache(self.rows, page_size, max_pages, generation)
 
-    rows: DataFrame
-    key: str
-    page_size: int = 64
-    interval: int = 64
-    generation: int = 0
-    counters: dict[str, int] = field(default_factory=lambda: {"pages": 0, "invalidations": 0})
+    @property
+    def generation(self) -> int:
+        return self.cache.generation
+
+    @functools.cached_property
+    def source_index(self) -> DataFrame:
+        return layout.clusters(self.docs, self.options)
 
     def page(self, start_row: int, row_count: int) -> DataFrame:
-        self.counters["pages"] += 1
-        return page(self.rows, start_row, row_count, self.page_size)
+        return self.cache.get(start_row, row_count)
 
     def tail_page(self, row_count: int) -> DataFrame:
-        self.counters["pages"] += 1
-        return tail(self.rows, row_count, self.page_size)
+        return tail(self.rows, row_count, self.cache.page_size)
+
+    def total(self) -> DataFrame:
+        return total_rows(self.docs, self.rows)
 
-    def total(self, docs: DataFrame) -> DataFrame:
-        return total_rows(docs, self.rows)
+    def invalidate(self, docs: DataFrame, records: DataFrame, generation: int) -> LayoutBundle:
+        """The bundle of the next generation, for ``docs`` with their grown sources and the records of their
+        appends (``flow.replay``: doc_id, stable_prefix, first_invalid).
 
-    def invalidate(self, generation: int, new_rows: DataFrame, key: str | None = None) -> LayoutBundle:
-        """A bundle of the next generation over recomputed rows."""
+        A document whose source does not begin with the one before, as long as its record says, is an error
+        where rows are read.  Rows before the first that the append can reach stay; the others are laid out
+        again from there.  Documents without a record keep all their rows.
+        """
         if generation != self.generation + 1:
             raise ValueError(f"generation {generation} does not follow {self.generation}")
-        if key is not None and key != self.key:
-            raise ValueError("rows of another layout")
-        counters = self.counters | {"invalidations": self.counters["invalidations"] + 1}
-        return LayoutBundle(new_rows, self.key, self.page_size, self.interval, generation, counters)
+        told = records.groupBy("doc_id").agg(F.min("stable_prefix").alias("stable"), F.min("first_invalid").alias("first"))
+        old = gated(self.docs, self.options, over_cores=False).select("doc_id", F.col("text").alias("old"))
+        new = gated(docs, self.options, over_cores=False).select("doc_id", F.col("text").alias("text"))
+        units = F.octet_length(F.encode("old", "UTF-16BE")) / 2
+        grown = told.join(new, "doc_id").join(old, "doc_id", "left").withColumn("old", F.coalesce("old", F.lit("")))
+        broken = (units != F.col("stable")) | ~F.startswith("text", "old")
+        checked = F.when(broken, F.raise_error(F.concat(F.lit("not an append: document "), F.col("doc_id").cast("string"))).cast("int")).otherwise(F.col("first"))
+        bounds = grown.select("doc_id", checked.alias("first"))
+        # The first row that the change can reach, one earlier at an exact row start.
+        reached = self.rows.join(bounds, "doc_id")
+        hit = F.when(F.col("src_start") == F.col("first"), F.greatest(F.col("row") - 1, F.lit(0))).otherwise(F.col("row"))
+        asked = reached.groupBy("doc_id").agg(
+            F.coalesce(F.min(F.when(F.col("src_end") >= F.col("first"), hit)), F.max("row")).alias("from"),
+            F.map_from_entries(F.collect_list(F.struct("row", "start"))).alias("starts"),
+        )
+        begun = bounds.join(asked, "doc_id", "left").select(
+            "doc_id", F.coalesce(F.col("starts")[F.col("from")], layout.start_cursor()).alias("cursor"), F.coalesce("from", F.lit(0)).alias("row")
+        )
+        begun = begun.withColumn("start_column", F.when(F.col("row") == 0, self.start_column).otherwise(0))
+        suffix = layout.walk_from(docs, begun, self.columns, self.options)
+        kept = self.rows.join(begun.select("doc_id", F.col("row").alias("_from")), "doc_id", "left").filter("_from is null or row < _from").drop("_from")
+        rows = kept.unionByName(suffix)
+        out = LayoutBundle(docs, self.columns, self.start_column, self.options, self.cache.page_size, self.cache.max_pages, self.interval, generation, rows)
+        self.cache.clear()
+        out.cache.counters = self.cache.counters
+        return out
 
     def metadata(self) -> dict:
-        return {"generation": self.generation, "layout_key": self.key, "interval": self.interval, "page_size": self.page_size}
+        return {
+            "generation": self.generation, "layout_key": self.options.key, "columns": self.columns, "start_column": self.start_column,
+            "interval": self.interval, "page_size": self.cache.page_size, "max_pages": self.cache.max_pages,
+        }

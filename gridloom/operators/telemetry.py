@@ -32,3 +32,26 @@ def counted(frame: DataFrame, name: str, **counters: Column) -> tuple[DataFrame,
     """The frame with counters that an action on it fills in (off unless asked for)."""
     seen = Observation(name)
     return frame.observe(seen, *[c.alias(n) for n, c in counters.items()]), seen
+
+
+class Counters:
+    """Named counters of the driver; off until they are enabled."""
+
+    def __init__(self):
+        self.on, self.values = False, {}
+
+    def enable(self) -> None:
+        self.on = True
+
+    def disable(self) -> None:
+        self.on = False
+
+    def record(self, name: str, amount: int = 1) -> None:
+        if self.on:
+            self.values[name] = self.values.get(name, 0) + amount
+
+    def snapshot(self) -> dict[str, int]:
+        return dict(sorted(self.values.items()))
+
+    def reset(self) -> None:
+        self.values = {}

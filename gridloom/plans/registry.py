@@ -298,6 +298,30 @@ def search_ignoring_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+def search_ignoring_accented_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each ``the`` as THÉ and each s as a long s, which only folds to it: capital S alone is a hit for s."""
+    text = F.regexp_replace(F.regexp_replace("text", "the", "THÉ"), "s", "\u017f")
+    docs = _docs(spark, sf_dir).withColumn("text", text)
+    count = lambda query, name: search.match_count(search.search(docs, query, case_sensitive=False, options=KEPT)).withColumn("query", F.lit(name))
+    return count("thé", "thé").unionAll(count("s", "s"))
+
+
+def search_projected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits with the rows and cells of their ends."""
+    docs = _letters(spark, sf_dir)
+    found = search.project_matches(docs, search.search(docs, "the", options=KEPT), 80, options=KEPT)
+    return found.select("doc_id", "match_index", "start_row", "start_col", "end_row", "end_col", F.size("fragments").alias("fragments"))
+
+
+def search_after_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hit at or after the middle of each text, and the last before it."""
+    docs = _docs(spark, sf_dir)
+    found = search.search(docs, "the", options=KEPT)
+    asked = docs.filter("text is not null").select("doc_id", F.floor(F.length("text") / 2).cast("int").alias("offset"))
+    side = lambda frame, name: frame.select("doc_id", F.lit(name).alias("side"), "offset", "match_index", "src_start")
+    return side(search.after_offset(found, asked), "after").unionAll(side(search.before_offset(found, asked), "before"))
+
+
 def search_whole_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search.search(_docs(spark, sf_dir), "the", whole_word=True, options=KEPT)
     return found.select("doc_id", "src_start", "src_end")
@@ -370,14 +394,25 @@ def append_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "seq", "generation", "appended", "stable_prefix", (F.col("stable_prefix") + F.length("source_delta")).alias("length"))
 
 
+def append_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of conversations after their last turn: those before the first that it can reach are kept from the
+    layout of the turns before it."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), "text")
+    records = flow.replay(turns.withColumn("text", F.regexp_replace("text", "[^a-z \n]", "x")), KEPT)
+    last = records.groupBy("doc_id").agg(F.max("generation").alias("last"))
+    grown = records.join(last, "doc_id")
+    bundle = rows.LayoutBundle(flow.sources(grown.filter("generation < last")), 80, options=KEPT)
+    return _told(bundle.invalidate(flow.sources(records), grown.filter("generation = last"), 1).rows)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         line_stats_by_lang, sanitize_plain, quarantine_plain, normalize_normal, normalize_prewrap, text_width_narrow, text_width_ambiguous_wide,
         tab_advance, walk_lines, walk_rows, walk_rows_narrow, walk_rows_normal, walk_many_widths, materialize_rows, materialize_all_rows, layout_rows, line_stats, prepare_segments, row_at, page_rows, tail_rows,
         index_stats, cursor_for_offset, project_offset, project_cell, project_range, selection_extract, ranges_at, ranges_overlap, ranges_append,
-        search_literal, search_ignoring_case, search_whole_word, search_regex, search_scoped, search_limit, search_before_after, search_range,
-        rich_visible, rich_spans, rich_fragments, rich_diagnostics, append_flow,
+        search_literal, search_ignoring_case, search_ignoring_accented_case, search_projected, search_after_each, search_whole_word, search_regex, search_scoped, search_limit, search_before_after, search_range,
+        rich_visible, rich_spans, rich_fragments, rich_diagnostics, append_flow, append_rows,
         text_width_narrow_all, text_width_ambiguous_wide_all, prepare_segments_documents, cursor_for_offset_documents,
         project_offset_documents, project_cell_documents, project_range_documents, selection_extract_documents,
     )
@@ -405,10 +440,14 @@ def _lines_sql(table: str = "documents", key: str = "doc_id") -> str:
 _LETTERS = "letters AS (SELECT doc_id, lang, regexp_replace(text, '[^a-z ' || chr(10) || ']', 'x', 'g') AS text FROM documents WHERE text IS NOT NULL)"
 
 
-def _wrapped_sql(columns: int) -> str:
+_GROWN = """letters AS (SELECT conv_id AS doc_id, NULL AS lang, string_agg(regexp_replace(coalesce(text, ''), '[^a-z ' || chr(10) || ']', 'x', 'g'), ''
+        ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id)"""
+
+
+def _wrapped_sql(columns: int, letters: str = _LETTERS) -> str:
     """Rows of the letters with spaces kept: a row is what is left of a line, or what ends in the last space
     that fits, or as many characters as fit."""
-    return f"""{_LETTERS}, parted AS (
+    return f"""{letters}, parted AS (
         SELECT doc_id, lang, text, CASE WHEN text = '' THEN [] WHEN ends_with(text, chr(10))
             THEN string_split(text[1:length(text) - 1], chr(10)) ELSE string_split(text, chr(10)) END AS lines
         FROM letters
@@ -529,6 +568,23 @@ ORACLES = {
     "search_literal": f"WITH {_HITS} SELECT doc_id, match_index, src_start, src_end FROM hit",
     "search_ignoring_case": """SELECT doc_id, CAST(len(string_split(lower(text), 'the')) - 1 AS BIGINT) AS n FROM documents
         WHERE contains(lower(text), 'the')""",
+    "search_ignoring_accented_case": """WITH t AS (SELECT doc_id, replace(text, 'the', 'THÉ') AS text FROM documents), c AS (
+            SELECT doc_id, 'thé' AS query, len(string_split(lower(text), 'thé')) - 1 AS matches FROM t
+            UNION ALL SELECT doc_id, 's', len(string_split(text, 'S')) - 1 FROM t
+        ) SELECT doc_id, query, CAST(matches AS BIGINT) AS matches FROM c WHERE matches > 0""",
+    "search_projected": f"""WITH {_wrapped_sql(80)}, {_HITS.replace("text FROM documents WHERE text IS NOT NULL", "text FROM letters")}, ends AS (
+            SELECT h.doc_id, match_index, h.src_start, h.src_end FROM hit h
+        ), first AS (
+            SELECT e.*, l.row AS start_row, e.src_start - l.src_start AS start_col FROM ends e ASOF JOIN lined l ON e.doc_id = l.doc_id AND e.src_start >= l.src_start
+        ), last AS (
+            SELECT f.*, l.row AS end_row, CASE WHEN l.src_end = f.src_end AND l.break_kind = 'wrap' THEN NULL ELSE f.src_end - l.src_start END AS end_col, l.src_start AS at
+            FROM first f ASOF JOIN lined l ON f.doc_id = l.doc_id AND f.src_end >= l.src_start
+        ) SELECT doc_id, match_index, start_row, CAST(start_col AS INT) AS start_col, end_row, CAST(end_col AS INT) AS end_col,
+            CAST(CASE WHEN at < src_end THEN end_row - start_row + 1 ELSE end_row - start_row END AS INT) AS fragments FROM last""",
+    "search_after_each": f"""WITH {_HITS}, asked AS (SELECT doc_id, CAST(length(text) // 2 AS INT) AS "offset" FROM documents WHERE text IS NOT NULL)
+        SELECT doc_id, 'after' AS side, "offset", min(match_index) AS match_index, min(src_start) AS src_start
+        FROM hit JOIN asked USING (doc_id) WHERE src_start >= "offset" GROUP BY ALL
+        UNION ALL SELECT doc_id, 'before', "offset", max(match_index), max(src_start) FROM hit JOIN asked USING (doc_id) WHERE src_start < "offset" GROUP BY ALL""",
     "search_whole_word": f"""WITH {_HITS} SELECT doc_id, src_start, src_end FROM hit
         WHERE NOT regexp_matches(text[src_start:src_start], '^[0-9A-Za-z_]$') AND NOT regexp_matches(text[src_end + 1:src_end + 1], '^[0-9A-Za-z_]$')""",
     "search_regex": """WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{3,}')) AS t FROM documents)
@@ -557,6 +613,7 @@ ORACLES = {
         SELECT doc_id, seq, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seq, text) - 1 AS INT) AS generation, CAST(length(text) AS INT) AS appended,
             CAST(coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY seq, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS stable_prefix,
             CAST(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY seq, text) AS INT) AS length FROM t""",
+    "append_rows": f"WITH {_wrapped_sql(80, _GROWN)} SELECT {_TOLD} FROM lined",
     "text_width_narrow_all": f"WITH {_ALL_LINES} SELECT source_table, doc_id, CAST(line AS INT) AS line, CAST(length(t) AS INT) AS width FROM q",
     "text_width_ambiguous_wide_all": f"""WITH {_ALL_LINES} SELECT source_table, doc_id, CAST(line AS INT) AS line,
         CAST(length(t) + len(regexp_extract_all(t, '[ÆÐ×ØÞßàáæèéêìíðòó÷øùúüþ]')) AS INT) AS width FROM q""",

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gridloom.functions.width import clusters
@@ -143,6 +144,15 @@ def replay(appends: DataFrame, options: Options = Options(), window: int = WINDO
     return rows.mapInArrow(run, f"doc_id {key}, seq {seq}, {RECORD}")
 
 
+def sources(records: DataFrame, generation: int | None = None) -> DataFrame:
+    """doc_id, generation and the whole source of each document after its last append, or after the one of a
+    generation (documents that have not come so far are as they are)."""
+    held = records if generation is None else records.filter(F.col("generation") <= generation)
+    parts = F.sort_array(F.collect_list(F.struct("generation", "source_delta")))
+    text = F.array_join(F.transform("parts", lambda p: p["source_delta"]), "").alias("text")
+    return held.groupBy("doc_id").agg(parts.alias("parts"), F.max("generation").alias("generation")).select("doc_id", "generation", text)
+
+
 def stream(appends: DataFrame, white_space: str = "normal", window: int = WINDOW) -> DataFrame:
     """The same for a streaming DataFrame; appends of one micro-batch are ordered by seq."""
 
