@@ -38,8 +38,8 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all texts with their bins."""
-    return packing.pack_documents(docs)
+    """Pieces of all texts, with their masked texts and their bins."""
+    return packing.with_texts(packing.pack_documents(docs), docs)
 
 
 STAGES = [

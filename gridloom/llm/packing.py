@@ -90,11 +90,11 @@ def best_fit(measured: DataFrame, capacity: int = CAPACITY, shard_texts: int = S
         measured.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(shards)).cast("int"))
         .repartitionById(shards, F.col("shard"))
         .sortWithinPartitions("shard", "doc_id", "n_words", "cluster", "source")
-        .select("doc_id", "source", "n_words", "cluster", "shard")
+        .select("doc_id", "source", "n_words", "cluster", "shard", "text_key")
     )
 
     def shard_rows(shard: int, cols: list[list]) -> pa.RecordBatch:
-        ids, source, words, cluster = cols
+        ids, source, words, cluster, keys = cols
         numbers = [{k: n for n, k in enumerate(dict.fromkeys(c for c in col if c is not None))} for col in (source, cluster)]
         pieces = []
         for row, n in enumerate(words):
@@ -109,13 +109,13 @@ def best_fit(measured: DataFrame, capacity: int = CAPACITY, shard_texts: int = S
         for (size, row, k), b in zip(pieces, bins, strict=True):
             at = filled.get(b, 0)
             filled[b] = at + size
-            out.append((ids[row], words[row], k, k * capacity, k * capacity + size, (shard << 32) | b, at))
-        out += [(ids[row], 0, 0, 0, 0, None, None) for row, n in enumerate(words) if not n]
-        kinds = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("piece", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("bin_id", pa.int64()), ("bin_offset", pa.int64())]
+            out.append((ids[row], words[row], k, k * capacity, k * capacity + size, (shard << 32) | b, at, keys[row]))
+        out += [(ids[row], 0, 0, 0, 0, None, None, keys[row]) for row, n in enumerate(words) if not n]
+        kinds = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("piece", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("bin_id", pa.int64()), ("bin_offset", pa.int64()), ("text_key", pa.int64())]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], type=t) for i, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, cols = None, [[], [], [], []]
+        at, cols = None, [[] for _ in range(5)]
         for batch in batches:
             shard = batch.column(4).to_numpy()
             edges = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
@@ -123,14 +123,42 @@ def best_fit(measured: DataFrame, capacity: int = CAPACITY, shard_texts: int = S
                 if b > a:
                     if at is not None and shard[a] != at:
                         yield shard_rows(at, cols)
-                        cols = [[], [], [], []]
+                        cols = [[] for _ in range(5)]
                     at = int(shard[a])
-                    for i in range(4):
-                        cols[i] += batch.column(i).slice(a, b - a).to_pylist()
+                    for i, own in enumerate(cols):
+                        own += batch.column(i if i < 4 else 5).slice(a, b - a).to_pylist()
         if at is not None:
             yield shard_rows(at, cols)
 
-    return placed.mapInArrow(run, "doc_id long, n_words long, piece long, start long, end long, bin_id long, bin_offset long")
+    return placed.mapInArrow(run, "doc_id long, n_words long, piece long, start long, end long, bin_id long, bin_offset long, text_key long")
+
+
+def with_texts(packed: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pieces of ``best_fit`` with their source and their text, from the first of its words to the end of
+    the last.  A text meets all its pieces at once, so it moves and is cut once; texts without words have
+    no pieces to cut and keep a null text."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("source").cast("string").alias("source"), "text")
+    names = ["n_words", "piece", "start", "end", "bin_id", "bin_offset"]
+    grouped = packed.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct(*names)).alias("pieces"))
+    sources = keyed.groupBy("doc_id", "text_key").agg(F.min("source").alias("source"), F.any_value("text").alias("text"))
+    met = sources.withColumnRenamed("doc_id", "_id").join(grouped.withColumnRenamed("text_key", "_key"), F.expr("_id <=> doc_id and text_key = _key"))
+    kinds = ", ".join(f"{n} long" for n in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, offsets, data in tk.slices(tk.text_column(batch)):
+                words, body = tk.Words(offsets, data), data.tobytes()
+                rows = []
+                for i, own in enumerate(batch.column(3).slice(first, end - first).to_pylist()):
+                    at = int(words.rows[i])
+                    for p in sorted(own, key=lambda p: (p["piece"], p["bin_id"] or 0)):
+                        cut = body[words.starts[at + p["start"]] : words.ends[at + p["end"] - 1]].decode() if p["end"] > p["start"] else None
+                        rows.append((batch.column(0)[first + i].as_py(), batch.column(1)[first + i].as_py(), *(p[n] for n in names), cut))
+                types = [pa.int64(), pa.string(), *[pa.int64()] * len(names), pa.string()]
+                cols = zip(*rows, strict=True) if rows else [[] for _ in types]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "source", *names, "text"])
+
+    return met.select("doc_id", "source", "text", "pieces").mapInArrow(run, f"doc_id long, source string, {kinds}, text string")
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
