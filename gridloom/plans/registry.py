@@ -577,7 +577,7 @@ ORACLES = {
         ), first AS (
             SELECT e.*, l.row AS start_row, e.src_start - l.src_start AS start_col FROM ends e ASOF JOIN lined l ON e.doc_id = l.doc_id AND e.src_start >= l.src_start
         ), last AS (
-            SELECT f.*, l.row AS end_row, CASE WHEN l.src_end = f.src_end AND l.break_kind = 'wrap' THEN NULL ELSE f.src_end - l.src_start END AS end_col, l.src_start AS at
+            SELECT f.*, l.row AS end_row, f.src_end - l.src_start AS end_col, l.src_start AS at
             FROM first f ASOF JOIN lined l ON f.doc_id = l.doc_id AND f.src_end >= l.src_start
         ) SELECT doc_id, match_index, start_row, CAST(start_col AS INT) AS start_col, end_row, CAST(end_col AS INT) AS end_col,
             CAST(CASE WHEN at < src_end THEN end_row - start_row + 1 ELSE end_row - start_row END AS INT) AS fragments FROM last""",
