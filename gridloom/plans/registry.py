@@ -577,10 +577,10 @@ ORACLES = {
         ), first AS (
             SELECT e.*, l.row AS start_row, e.src_start - l.src_start AS start_col FROM ends e ASOF JOIN lined l ON e.doc_id = l.doc_id AND e.src_start >= l.src_start
         ), last AS (
-            SELECT f.*, l.row AS end_row, f.src_end - l.src_start AS end_col, l.src_start AS at
+            SELECT f.*, l.row AS end_row, f.src_end - l.src_start AS end_col, l.src_start AS begun
             FROM first f ASOF JOIN lined l ON f.doc_id = l.doc_id AND f.src_end >= l.src_start
         ) SELECT doc_id, match_index, start_row, CAST(start_col AS INT) AS start_col, end_row, CAST(end_col AS INT) AS end_col,
-            CAST(CASE WHEN at < src_end THEN end_row - start_row + 1 ELSE end_row - start_row END AS INT) AS fragments FROM last""",
+            CAST(CASE WHEN begun < src_end THEN end_row - start_row + 1 ELSE end_row - start_row END AS INT) AS fragments FROM last""",
     "search_after_each": f"""WITH {_HITS}, asked AS (SELECT doc_id, CAST(length(text) // 2 AS INT) AS "offset" FROM documents WHERE text IS NOT NULL)
         SELECT doc_id, 'after' AS side, "offset", min(match_index) AS match_index, min(src_start) AS src_start
         FROM hit JOIN asked USING (doc_id) WHERE src_start >= "offset" GROUP BY ALL
@@ -613,6 +613,14 @@ ORACLES = {
         SELECT doc_id, seq, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seq, text) - 1 AS INT) AS generation, CAST(length(text) AS INT) AS appended,
             CAST(coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY seq, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS stable_prefix,
             CAST(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY seq, text) AS INT) AS length FROM t""",
+    "rich_fragments": f"""WITH {_lines_sql("conversations", "conv_id * 1000 + turn")}, marked AS (
+            SELECT doc_id, line, trim(regexp_replace(replace(replace(line, 'the', chr(1) || 'the' || chr(1)), ' of ', ' ' || chr(1) || 'of' || chr(1) || ' '),
+                chr(1) || '+', chr(1), 'g'), chr(1)) AS edges FROM lined
+        ) SELECT doc_id, count(*) AS rows, CAST(sum(CASE WHEN line = '' THEN 0 ELSE len(string_split(edges, chr(1))) END) AS BIGINT) AS parts,
+            CAST(0 AS BIGINT) AS torn FROM marked GROUP BY doc_id""",
+    "selection_extract_documents": """WITH cut AS (SELECT doc_id, text[length(text) // 4 + 1:length(text) - length(text) // 4] AS t FROM documents WHERE text IS NOT NULL)
+        SELECT doc_id, md5(t) AS source_md5, md5(trim(t, chr(10))) AS visible_md5,
+            CAST(CASE WHEN trim(t, chr(10)) = '' THEN 0 ELSE len(string_split(trim(t, chr(10)), chr(10))) END AS INT) AS visible_rows FROM cut""",
     "append_rows": f"WITH {_wrapped_sql(80, _GROWN)} SELECT {_TOLD} FROM lined",
     "text_width_narrow_all": f"WITH {_ALL_LINES} SELECT source_table, doc_id, CAST(line AS INT) AS line, CAST(length(t) AS INT) AS width FROM q",
     "text_width_ambiguous_wide_all": f"""WITH {_ALL_LINES} SELECT source_table, doc_id, CAST(line AS INT) AS line,
