@@ -12,7 +12,9 @@ Sorted words are the leaves of the trie in depth-first order; the walk keeps the
 leaf and goes back to the common prefix, so no nodes need to be kept.
 
 A worker remembers words in two generations of about ``REMEMBERED``; what neither has met lately is
-encoded again, which costs time and changes nothing.  Texts are processed whole; null and empty texts have no ids.
+encoded again, which costs time and changes nothing.  A vocabulary file that cuts texts in another way
+is refused when it is loaded; one that lacks a single byte's letter makes a text that needs it an error,
+as there is no unknown token.  Texts are processed whole; null and empty texts have no ids.
 Repeated rows get the same ids; other columns are carried along as asked.
 """
 
@@ -61,6 +63,25 @@ def normalise(text: str) -> str:
     return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
 
 
+#: How a vocabulary file of this kind says that it cuts texts; others would need other code.
+_CUTS = {
+    "normalizer": ["NFC", "Replace", "Lowercase"],
+    "pre_tokenizer": ["Split", "ByteLevel"],
+    "pattern": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+}
+
+
+def _check_cuts(parts: dict) -> None:
+    """An error for a file whose normaliser, pieces or model are not those that this module follows."""
+    norms = (parts.get("normalizer") or {}).get("normalizers", [])
+    cuts = (parts.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    model = parts["model"]
+    told = {"normalizer": [n["type"] for n in norms], "pre_tokenizer": [c["type"] for c in cuts], "pattern": cuts[0].get("pattern", {}).get("Regex") if cuts else None}
+    plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    if told != _CUTS or model.get("end_of_word_suffix") != _END or not plain:
+        raise ValueError(f"a vocabulary that cuts texts in another way: {told}")
+
+
 @dataclass
 class Vocabulary:
     """Ids, merges and special tokens of a word-end BPE."""
@@ -73,6 +94,7 @@ class Vocabulary:
     def load(path: str) -> Vocabulary:
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)
+        _check_cuts(parts)
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in parts["model"]["merges"]]
         return Vocabulary(parts["model"]["vocab"], merges, {t["content"]: t["id"] for t in parts["added_tokens"]})
 

@@ -7,7 +7,8 @@ Grammar of a formatted conversation (roles and bodies hold no control string)::
 
 A turn is first rendered as it stands and parsed again.  If the parse does not give back the same
 role and text, the turn is rendered escaped: each control string gets one more backslash after its
-first character, which no parse can mistake and which unescaping takes away again.  The parser
+first character, which no parse can mistake and which unescaping takes away again, so one escape makes
+any text identical.  The parser
 always unescapes, so a text that already looks escaped conflicts too and is escaped once more.
 Finally the whole conversation is parsed and compared with its source; a difference is an error.
 
@@ -60,15 +61,16 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     )
     plain = render(F.col("role"), F.col("text"))
     same = parse(plain) == F.array(F.struct(F.col("role"), F.col("text")))
-    piece = F.when(same, plain).otherwise(render(escape(F.col("role")), escape(F.col("text"))))
+    # Only the source and its verdict move; a turn's rendering is made where its conversation is put together.
     grouped = (
-        source.withColumn("piece", piece)
+        source.withColumn("plain", same)
         .groupBy("conv_id")
-        .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "piece"))).alias("rows"))
+        .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "plain"))).alias("rows"))
     )
+    shown = lambda r: F.when(r["plain"], render(r["role"], r["text"])).otherwise(render(escape(r["role"]), escape(r["text"])))
     joined = grouped.select(
         "conv_id",
-        F.array_join("rows.piece", "").alias("formatted"),
+        F.array_join(F.transform("rows", shown), "").alias("formatted"),
         F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text"))).alias("source"),
     ).withColumn("turns", parse(F.col("formatted")))
     broken = F.raise_error(F.concat(F.lit("conversation does not survive its round trip: "), F.col("conv_id").cast("string")))

@@ -375,7 +375,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     members = (
         shared.join(mixed, "key", "left_semi")
         .select("key", "rep")
-        .distinct()
         .join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
         .select("key", "rep", F.coalesce("root", "rep").alias("root"), F.lit(2 * SLOTS).alias("bytes"))
     )

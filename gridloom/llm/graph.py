@@ -42,11 +42,11 @@ def components(edges: DataFrame) -> DataFrame:
         # Large star: every larger neighbour of u is tied to the least of u and its neighbours.
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(apart(least, "u", "w"), F.col("u") == F.col("w")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
+        # Its rows are no more than the edges, so they are not made distinct before the next step.
+        large = both.join(apart(least, "u", "w"), F.col("u") == F.col("w")).filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # Small star: u and its smaller neighbours are tied to the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(apart(low, "u", "w"), F.col("u") == F.col("w"))
+        joined = large.join(low, "u")
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
         step = storage.Scratch(edges.sparkSession)
         e = step.table(small.filter("u <> v").distinct(), "edges")

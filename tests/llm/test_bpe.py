@@ -30,6 +30,28 @@ def test_ids_and_decoding_are_the_librarys(both):
         assert told.decode() == library.decode(want.ids, skip_special_tokens=False)
 
 
+def test_other_vocabularies_are_refused(both, tmp_path):
+    import json
+
+    with open(vocabulary_path(), encoding="utf-8") as f:
+        whole = json.load(f)
+    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Whitespace"}]}}, {"model": whole["model"] | {"byte_fallback": True}}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(whole | change))
+        with pytest.raises(ValueError, match="another way"):
+            bpe.Vocabulary.load(str(path))
+    lacking = bpe.Vocabulary({k: v for k, v in both[0].ids.items() if k not in ("q", "q</w>")}, [m for m in both[0].merges if "q" not in m[0] + m[1]], {})
+    with pytest.raises(ValueError, match="no encoding"):
+        bpe.Encoder(lacking).encode([b"q"])
+
+
+def test_one_text_of_megabytes(both):
+    text = " ".join(f"word{i % 9973} it's {i}" for i in range(150_000))
+    ((ids, told),) = bpe.Encoder(both[0]).encode([text.encode()])
+    want = both[1].encode(text, add_special_tokens=False)
+    assert len(text) > 2_000_000 and np.frombuffer(ids, dtype="<u4").tolist() == want.ids and told.decode() == both[1].decode(want.ids, skip_special_tokens=False)
+
+
 def test_forgetting_changes_nothing(both, monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 3)
     encoder, texts = bpe.Encoder(both[0]), [b"one two three four", b"five six one two", b"three four seven", b"one two"]
