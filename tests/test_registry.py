@@ -13,7 +13,7 @@ def tables(spark, tmp_path_factory):
     top = tmp_path_factory.mktemp("sf")
     docs = {i: "\n".join(f"line {k} of text {i}" for k in range(n)) for i, n in enumerate((1, 3, 9, 400), 1)}
     items = {1: "a b\nc", 2: "one"}
-    spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(f"{top}/documents.parquet")
+    spark.createDataFrame([(i, t, "en") for i, t in docs.items()], "doc_id long, text string, lang string").write.parquet(f"{top}/documents.parquet")
     spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{top}/benchmark.parquet")
     return str(top), docs, items
 
