@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm.queries import op01, op02, op03, op04, op05, op06, op07, op08, op09, op10
+from gridloom.llm.queries import bases, op01, op02, op03, op04, op05, op06, op07, op08, op09, op10
 
 QUERIES = {
     "op1_minhash_near_dedup": op01.op1_minhash_near_dedup,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_document_fingerprints": op08.op8_document_fingerprints,
     "op9_chat_formatting": op09.op9_chat_formatting,
     "op10_quality_classifier": op10.op10_quality_classifier,
+    "secret_scans_base": bases.secret_scans_base,
+    "fingerprint_edits": bases.fingerprint_edits,
 }
 
-ORACLES = {
+ORACLES = bases.ORACLES | {
     "op1_minhash_near_dedup": op01.ORACLE,
     "op6_quality_rules": op06.ORACLE,
     "op7_url_filters": op07.ORACLE,
