@@ -51,11 +51,13 @@ class Options:
 
 
 def spread(docs: DataFrame) -> DataFrame:
-    """Documents over at least as many partitions as there are cores; a table of many files stays as it is."""
+    """Documents over the cores where the table has fewer files than there are cores, as a file of one row
+    group is one task's work however many splits it has; a table of many files stays as it is."""
     if docs.isStreaming:
         return docs
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+    files = len(docs.inputFiles()) or docs.rdd.getNumPartitions()
+    return docs if files >= cores else docs.repartition(2 * cores)
 
 
 def gated(docs: DataFrame, options: Options, text: str = "text", over_cores: bool = True) -> DataFrame:
@@ -104,10 +106,17 @@ def run_kernel(frame: DataFrame, schema: str, rows_of: Callable[..., Iterable[tu
 
 def with_requests(docs: DataFrame, requests: DataFrame, options: Options) -> DataFrame:
     """Each document that is asked about, once, with all its requests as an array ``asked``: a text is moved
-    and prepared once, however many requests there are.  A document's requests are bounded by its text."""
+    and prepared once, however many requests there are.  A document's requests are bounded by its text.
+
+    Both sides are dealt to a given number of partitions, which the join keeps: the kernel's work follows
+    the texts, and partitions that were put together for their bytes would leave cores idle.
+    """
+    spark = docs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     names = [F.col(f"`{c}`") for c in requests.columns if c != "doc_id"]
-    grouped = requests.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("asked"))
-    return gated(docs, options, over_cores=False).select("doc_id", "text").join(grouped, "doc_id")
+    grouped = requests.repartition(parts, "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("asked"))
+    texts = gated(docs, options, over_cores=False).select("doc_id", "text").repartition(parts, "doc_id")
+    return texts.join(grouped, "doc_id")
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
