@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """``documents`` (all columns, or some) over at least as many partitions as there are cores; a table of
-    many files is read as it is."""
+    """``documents`` (all columns, or some); over the cores where the table has fewer files than there are
+    cores, as a file of one row group is one task's work.  A table of many files is read as it is."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     docs = docs.select(*columns) if columns else docs
     cores = spark.sparkContext.defaultParallelism
-    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+    return docs if len(docs.inputFiles()) >= cores else docs.repartition(2 * cores)
