@@ -35,6 +35,7 @@ _STRING_FAMILY = {"\x1bP": "dcs", "\x90": "dcs", "\x1bX": "sos", "\x98": "sos",
 _SCHEME = regex.compile(r"([A-Za-z][A-Za-z0-9+.\-]*):")
 
 
+# The choices and limits of a policy, and the codes of diagnostics wherever this module tells one.
 @dataclass(frozen=True)
 class Policy:
     profile: str = "default"
