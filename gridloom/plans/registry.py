@@ -210,10 +210,13 @@ def project_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def selection_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selections with all their lines, empty ones at the ends too; without a text there is nothing to tell."""
     docs = _items(spark, sf_dir)
     asked = docs.select("doc_id", F.lit(9).alias("q_start"), F.lit(250).alias("q_end"))
-    found = projection.extract(docs, asked, UNBOUNDED, options=KEPT)
-    return found.select("doc_id", "source_text", "visible_text", F.size("visible_rows").alias("visible_rows"))
+    found = projection.extract(docs, asked, UNBOUNDED, options=KEPT, edges=True)
+    told = found.select("doc_id", "source_text", "visible_text", F.size("visible_rows").alias("visible_rows"))
+    none = docs.filter("text is null").select("doc_id", "text", "text", F.lit(None).cast("int"))
+    return told.unionAll(none)
 
 
 def _asked_within(docs: DataFrame) -> DataFrame:

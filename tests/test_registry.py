@@ -40,3 +40,21 @@ def test_projections_and_widths_see_documents(spark, tables):
     ranged = registry.QUERIES["project_range_documents"](spark, top).collect()
     assert {i: sum(r.src_end - r.src_start for r in ranged if r.doc_id == i) for i in docs} == {i: len(t.replace("\n", "")) for i, t in middle.items()}
     assert {r[0] for r in found("prepare_segments_documents", "doc_id")} == set(docs)
+
+
+def test_selections_keep_empty_lines_at_their_ends(spark, tmp_path):
+    texts = {1: "12345678\n\n\nab\n\n", 2: "123456789\nab", 3: "x" * 249 + "\n\nab", 4: "x" * 248 + "\n\nab", 5: "short", 6: "", 7: "123456789", 8: None, 9: "12345678\n"}
+    spark.createDataFrame(list(texts.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = {r.doc_id: tuple(r)[1:] for r in registry.QUERIES["selection_extract"](spark, str(tmp_path)).collect()}
+    cut = {i: t and t[9:250] for i, t in texts.items()}
+    assert found == {i: (t, t, None if t is None else t.count("\n") + 1) for i, t in cut.items()}
+
+
+def test_a_selection_to_the_end_of_a_wrapped_row_has_no_empty_row(spark):
+    from gridloom.functions.segment import prepare
+    from gridloom.functions.wrap import Layout
+    from gridloom.operators.projection import Projector
+
+    p = Projector(Layout(prepare("abcdefgh\n\nij", keep_spaces=True)), 4, 0)
+    assert [p.extract(a, b, True)[1] for a, b in ((0, 4), (4, 8), (0, 9), (0, 10), (9, 12), (2, 2))] == [["abcd"], ["efgh"], ["abcd", "efgh", ""], ["abcd", "efgh", "", ""], ["", "ij"], [""]]
+    assert [p.extract(a, b)[1] for a, b in ((0, 10), (9, 12), (2, 2))] == [["abcd", "efgh"], ["ij"], []]
