@@ -378,7 +378,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         .join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
         .select("key", "rep", F.coalesce("root", "rep").alias("root"), F.lit(2 * SLOTS).alias("bytes"))
     )
-    met = open_meetings(members, "key", SIG_BLOCK).join(sigs, "rep")
+    # Written, as the meetings read them twice: to count the components of a bucket and to deal its members.
+    met = open_meetings(held.table(members, "members"), "key", SIG_BLOCK).join(sigs, "rep")
     more = held.table(_meet(met, "key", _near_links(distance), ["root", "sig"]), "near")
     told = roots.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
     groups = held.table(graph.components(told.unionAll(more)), "groups") if not more.isEmpty() else roots

@@ -127,3 +127,16 @@ def test_meetings_hold_every_pair_of_different_components_once_or_more(spark, bl
         seen |= {(*sorted((int(ids[i]), int(ids[j]))),) for i in one for j in two if root[i] != root[j]}
     root = {i: r for g, i, r, _ in rows if g == "g"}
     assert seen == {(i, j) for i in root for j in root if i < j and root[i] != root[j]}
+
+
+def test_members_of_buckets_are_worked_out_once(spark, copies, monkeypatch):
+    """Meetings read their members twice, so these come from a table and not from the joins that find them."""
+    given = []
+
+    def meetings(members, by, block, really=dedup.open_meetings):
+        given.append(members._jdf.queryExecution().optimizedPlan().toString())
+        return really(members, by, block)
+
+    monkeypatch.setattr(dedup, "open_meetings", meetings)
+    dedup.near_duplicates(spark.createDataFrame(copies, "doc_id long, text string"), 3, 85).collect()
+    assert given and all("Join" not in plan for plan in given)
