@@ -10,15 +10,17 @@ from collections import deque
 from collections.abc import Sequence
 from itertools import islice
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.functions import bidi
+from gridloom.functions import bidi, dense
 from gridloom.functions import width as W
 from gridloom.functions.wrap import Row, check
-from gridloom.operators.kernel import Options, gated, run_kernel, with_requests
+from gridloom.operators.kernel import Columns, Options, gated, run_kernel, with_requests
 
 CURSOR = "struct<seg:int,g:int>"
 #: A row as the kernel gives it; ``_shaped`` makes its structs, without Python.
@@ -49,17 +51,33 @@ def _kept(docs: DataFrame, keep: Sequence[str]) -> str:
     return "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in ("doc_id", *keep))
 
 
+def _dense_segments(p: dense.Dense) -> list[pa.Array]:
+    """Texts, kinds, starts and breaks of the segments; no string is made of any."""
+    units = np.frombuffer(p.source.encode("utf-16-le"), dtype=np.uint16)
+    ends = np.zeros(len(units) + 1, dtype=np.int32)  # of characters in UTF-8; none has four bytes
+    np.cumsum(1 + (units >= 0x80) + (units >= 0x800), out=ends[1:])
+    places = ends[np.append(p.at, len(units))]
+    texts = pa.StringArray.from_buffers(len(p.at), pa.py_buffer(places), pa.py_buffer(p.source.encode()))
+    return [texts, pa.array(dense.KINDS).take(pa.array(p.codes)), pa.array(p.at.astype(np.int32)), pa.array(p.parts)]
+
+
 def prepare(docs: DataFrame, options: Options = Options()) -> DataFrame:
     """One row per document: source, its length and segments, and the layout identity."""
 
+    of = [pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.int32()]
+    fields = [pa.field(n, t) for n, t in zip(("text", "kind", "src_start", "break_after", "level"), of, strict=True)]
+
     def rows_of(layout, row):
         p = layout.prepared
-        level = bidi.levels(p.source)
-        segments = [
-            {"text": t, "kind": k, "src_start": p.offset(s), "break_after": b, "level": level[s] if level else None}
-            for t, k, s, b in zip(p.texts, p.kinds, p.starts, p.breaks, strict=True)
-        ]
-        yield row["doc_id"], p.source, p.offset(len(p.source)), layout.tab, layout.hyphen, options.key, segments
+        if isinstance(p, dense.Dense):
+            n, each = len(p.at), [*_dense_segments(p), pa.nulls(len(p.at), pa.int32())]
+        else:
+            n, level = len(p.texts), bidi.levels(p.source)
+            starts = p.starts if p.utf16 is None else [p.offset(s) for s in p.starts]
+            levels = pa.array([level[s] for s in p.starts], type=pa.int32()) if level else pa.nulls(n, pa.int32())
+            each = [*(pa.array(v, type=t) for v, t in zip((p.texts, p.kinds, starts, p.breaks), of, strict=False)), levels]
+        segments = pa.ListArray.from_arrays(pa.array([0, n], type=pa.int32()), pa.StructArray.from_arrays(each, fields=fields), type=pa.list_(pa.field("element", pa.struct(fields))))
+        return Columns([[row["doc_id"]], [p.source], [p.offset(len(p.source))], [layout.tab], [layout.hyphen], [options.key], segments])
 
     key = docs.schema["doc_id"].dataType.simpleString()
     schema = (

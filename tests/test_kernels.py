@@ -286,3 +286,46 @@ def test_appends_equal_one_text(mode):
 )
 def test_levels(text, levels):
     assert bidi.levels(text) == levels
+
+
+def test_batches_follow_the_texts_and_not_their_number(spark):
+    import pyarrow as pa
+
+    from gridloom.operators import kernel
+
+    class Frame:
+        mapInArrow = staticmethod(lambda run, kind: run)
+
+    def rows_of(lay, row):
+        yield row["doc_id"], list(lay.prepared.texts)
+
+    run = kernel.run_kernel(Frame(), "doc_id long, texts array<string>", rows_of, kernel.Options())
+    texts = ["a b " * 500 + str(k) for k in range(900)]
+    found = list(run(iter([pa.RecordBatch.from_pydict({"doc_id": list(range(900)), "text": texts})])))
+    assert max(len(b.column(1).flatten()) for b in found) <= kernel.OUT_CHARS + 2001
+    assert [i for b in found for i in b.column(0).to_pylist()] == list(range(900))
+
+
+@pytest.mark.parametrize("letters", ["ab|c|Éa|12| | |\n", "a|b|­|​| |xyz", "世|界|\n| ", "世|­|​| |\n", "ab| |​|­­|\t|  |\n|3"])
+def test_dense_texts_are_laid_out_as_others(letters, monkeypatch):
+    from gridloom.functions import dense
+
+    monkeypatch.setattr(dense, "LEAST", 1)
+    r, names = random.Random(3), ("start", "start_g", "end", "end_g", "src_start", "src_end", "width", "kind")
+    for _ in range(150):
+        text, keep = "".join(r.choice(letters.split("|")) for _ in range(r.randint(1, 50))), r.random() < 0.5
+        text = text if keep else " ".join(text.replace("\t", " ").replace("\n", " ").split(" ")).strip(" ")
+        if not text:
+            continue
+        found, units = dense.prepare(text, keep), segment._units(text, keep, False)
+        assert (found.texts, found.kinds, found.starts, found.breaks) == units, text
+        plain, lay = wrap.Layout(segment.Prepared(text, *units)), wrap.Layout(found)
+        assert plain.before == lay.before
+        for c in (1, 2, 3, 5, 8, 12):
+            if (told := dense.rows(lay, c, 0)) is None:
+                assert "\t" in text
+                continue
+            rows = list(plain.rows(c, 0))
+            flat = [(*x.start, *x.end, x.src_start, x.src_end, x.width, dense.ENDS.index(x.break_kind)) for x in rows]
+            assert list(zip(*(getattr(told, n).tolist() for n in names), strict=True)) == flat, (text, c)
+            assert list(zip(*told.texts(), strict=True)) == [plain.texts(x) for x in rows], (text, c)

@@ -34,3 +34,18 @@ def test_widths_and_rows_of_injected_characters(spark, tables):
     assert (last.generation, last.text_md5) == (1, hashlib.md5(b"one the  two of three").hexdigest())
     told = {r.doc_id: r.text_md5 for r in more.append_normalised(spark, top).collect()}
     assert told == {7: hashlib.md5(b"one the two of three").hexdigest(), 8: hashlib.md5(b"").hexdigest()}
+
+
+def test_segments_of_all_kinds_of_texts_are_told_alike(spark):
+    from gridloom.functions import segment
+    from gridloom.operators import layout
+
+    texts = {1: "ab Éa c­­d​世\t\n" * 9, 2: "世界­ ​x " * 12, 3: "ab, (c) אב 3.5", 4: "a\U0001F600 b"}
+    texts[1] = texts[1].replace("世", "")
+    texts[2] = texts[2].replace("​x", "​")
+    found = layout.prepare(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), more.KEPT).collect()
+    for r in found:
+        want = segment.Prepared(texts[r.doc_id], *segment._units(texts[r.doc_id], True, False))
+        told = [(s.text, s.kind, s.src_start, s.break_after) for s in r.segments]
+        assert told == list(zip(want.texts, want.kinds, map(want.offset, want.starts), want.breaks, strict=True))
+        assert {s.level is None for s in r.segments} == {r.doc_id != 3}
