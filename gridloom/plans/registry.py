@@ -234,7 +234,7 @@ def _middle(docs: DataFrame) -> DataFrame:
 
 def cursor_for_offset_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
-    return projection.cursor_for_offset(layout.clusters(docs, KEPT), _asked_within(docs)).select("doc_id", "offset", "src_offset", "exact")
+    return projection.snap_offset(docs, _asked_within(docs), options=KEPT).select("doc_id", "offset", "src_offset", "exact")
 
 
 def project_offset_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,6 +36,28 @@ def test_widths_and_rows_of_injected_characters(spark, tables):
     assert told == {7: hashlib.md5(b"one the two of three").hexdigest(), 8: hashlib.md5(b"").hexdigest()}
 
 
+def test_cursors_are_found_without_a_row_for_each_boundary(spark, tables):
+    top, _ = tables
+    for query in (registry.cursor_for_offset_documents, more.cursor_round_trip, more.project_cursors):
+        plan = query(spark, top)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "MapInArrow" in plan
+
+
+def test_cursors_at_texts_are_those_of_their_boundaries(spark):
+    from gridloom.operators import layout, projection, rows
+
+    docs = spark.createDataFrame([(1, "ab é \U0001F468‍\U0001F469x\ncd\n"), (2, "世\U00020000界 a-b"), (3, "")], "doc_id long, text string")
+    asked = spark.createDataFrame([(i, o) for i in (1, 2, 3) for o in range(-1, 20)], "doc_id long, offset int")
+    marks, told = layout.clusters(docs, more.KEPT), lambda f: sorted(map(tuple, f.collect()))
+    for bias in projection.BIASES:
+        found = projection.snap_offset(docs, asked, bias, more.KEPT)
+        assert told(found) == told(projection.cursor_for_offset(marks, asked, bias))
+    at = spark.createDataFrame([(i, (s, g)) for i in (1, 2, 3) for s in range(9) for g in range(3)], "doc_id long, cursor struct<seg:int,g:int>")
+    held = rows.row_for_cursor(layout.walk(docs, 3, options=more.KEPT), at).select("doc_id", "cursor", "row")
+    want = projection.offset_for_cursor(marks, at).join(held, ["doc_id", "cursor"]).select("doc_id", "cursor", "src_offset", "row")
+    assert told(projection.locate_cursor(docs, at, 3, options=more.KEPT)) == told(want)
+
+
 def test_segments_of_all_kinds_of_texts_are_told_alike(spark):
     from gridloom.functions import segment
     from gridloom.operators import layout
