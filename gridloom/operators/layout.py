@@ -101,8 +101,22 @@ def walk(
     for c in widths:
         check(c, start_column)
 
+    whole = not first_row and row_count is None and last_rows is None
+
     def rows_of(layout, row):
         own = [row[c] for c in ("doc_id", *keep)]
+        if whole and len(widths) == 1 and (found := dense.rows(layout, widths[0], start_column)) is not None:
+            return dense_rows(found, own)
+        return plain_rows(layout, own)
+
+    def dense_rows(found, own):
+        n, c = len(found.start), found.columns
+        over = [w if w > c else None for w in found.width.tolist()] if (found.width > c).any() else [None] * n
+        told = [found.start, found.start_g, found.end, found.end_g, found.src_start, found.src_end, found.width, [c] * n, [0] * n]
+        kinds = [dense.ENDS[k] for k in found.kind.tolist()]
+        return Columns([*([v] * n for v in own), np.arange(n), *told, kinds, over, *(found.texts() if texts else ())])
+
+    def plain_rows(layout, own):
         for c in widths:
             found = enumerate(layout.rows(c, start_column))
             if first_row or row_count is not None:
